@@ -1,6 +1,6 @@
 """Runnable queries over the given tables, each with its SQL oracle where SQL can say it."""
 
-from . import marts, silver  # noqa: F401
+from . import basics, marts, silver  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "query", "table"]
