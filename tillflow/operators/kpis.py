@@ -5,9 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import percent_or_zero
+
 
 def leader(df: DataFrame, group: str, value: Column) -> DataFrame:
     """Group with the largest sum; ties go to the first name. NULL groups do not take part."""
     totals = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(value).alias("value"))
     best = totals.agg(F.min_by(F.struct(F.col(group).cast("string").alias("leader"), "value"), F.struct(-F.col("value"), F.col(group))).alias("b"))
     return best.select(F.lit(group).alias("dimension"), "b.leader", "b.value")
+
+
+def rank_groups(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """Groups by descending sum, ties by name. The window numbers one row per group."""
+    from pyspark.sql import Window as W
+
+    totals = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(value).alias("revenue"))
+    order = W.partitionBy(F.lit(0)).orderBy(F.col("revenue").desc(), F.col(group))
+    return totals.withColumn("rank", F.row_number().over(order))
+
+
+def month_share(df: DataFrame, month: str, value: Column) -> DataFrame:
+    """Revenue, transactions and share of the total per month."""
+    from pyspark.sql import Window as W
+
+    grouped = df.groupBy(F.col(month).alias("period")).agg(F.sum(value).alias("r"), F.count(value).alias("transactions"))
+    whole = F.sum("r").over(W.partitionBy(F.lit(0)))
+    return grouped.select(
+        "period",
+        F.col("r").cast("double").alias("revenue"),
+        "transactions",
+        F.round(percent_or_zero(F.col("r"), whole), 6).alias("share_pct"),
+    )
+
+
+# Alert limits in percent and in score points.
+ACCOUNT_LIMIT = 35.0
+CATEGORY_LIMIT = 60.0
+SCORE_LIMIT = 80.0
+
+
+def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, account: str, category: str) -> DataFrame:
+    """Alert rows for missing, duplicate and negative rows and for concentration.
+
+    Row-level counts ride along with the per-key fold that finds duplicates, account and category
+    totals with their own folds; the three one-row results meet as scalars.
+    """
+    from ..plans.baskets import alert_rows
+
+    def flag(cond: Column) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    per_key = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        flag(F.col(revenue).isNull() | F.col(profit).isNull()).alias("missing"),
+        flag(F.col(profit) < 0).alias("losses"),
+        F.sum(revenue).alias("total"),
+    )
+    rows = per_key.agg(
+        F.sum(F.col("n") - 1).alias("duplicates"), F.sum("missing").alias("missing"), F.sum("losses").alias("losses"), F.sum("total").alias("total")
+    )
+
+    def largest(group: str) -> Column:
+        return df.groupBy(group).agg(F.sum(revenue).alias("g")).agg(F.max("g").alias("m")).scalar()
+
+    rows = rows.withColumns(
+        {
+            "account_pct": F.round(percent_or_zero(largest(account), F.col("total")), 6),
+            "category_pct": F.round(percent_or_zero(largest(category), F.col("total")), 6),
+        }
+    )
+    return alert_rows(
+        rows,
+        [
+            ("WARNING", "missing_values", F.col("missing"), F.col("missing") > 0),
+            ("WARNING", "duplicate_rows", F.col("duplicates"), F.col("duplicates") > 0),
+            ("WARNING", "negative_profit", F.col("losses"), F.col("losses") > 0),
+            ("WARNING", "account_concentration", F.col("account_pct"), F.col("account_pct") > ACCOUNT_LIMIT),
+            ("WARNING", "category_concentration", F.col("category_pct"), F.col("category_pct") > CATEGORY_LIMIT),
+        ],
+    )
