@@ -22,3 +22,19 @@ def period_compare(df: DataFrame, moment: str, tie: str, value: str) -> DataFram
         pct_delta(a, b).alias("difference_pct"),
         (b >= a).alias("is_growth"),
     )
+
+
+def quality_delta(before: DataFrame, after: DataFrame, numeric: list[str], dates: list[str]) -> DataFrame:
+    """Score and issue changes between two snapshots of a table."""
+    from .profile import quality_score
+
+    fields = F.struct("quality_score", "missing_values", "duplicate_rows")
+    a = quality_score(before, numeric, dates).select(fields.alias("a")).scalar()
+    b = quality_score(after, numeric, dates)
+    return b.select(
+        a["quality_score"].alias("score_before"),
+        F.col("quality_score").alias("score_after"),
+        F.round(F.col("quality_score") - a["quality_score"], 2).alias("score_delta"),
+        (F.col("missing_values") - a["missing_values"]).alias("missing_delta"),
+        (F.col("duplicate_rows") - a["duplicate_rows"]).alias("duplicate_delta"),
+    )

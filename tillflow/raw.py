@@ -167,3 +167,30 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), F.col("source")).alias("review_comment_title"),
         F.col("text").alias("review_comment_message"),
     )
+
+
+def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an uploaded file would look: gaps, placeholders, copies, outliers, bad dates."""
+    key = F.col("event_id")
+    copies = F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    label = (
+        F.when(key % 13 == 0, F.lit(None).cast("string"))
+        .when(key % 17 == 0, F.lit("  N/A "))
+        .when(key % 19 == 0, F.lit("-"))
+        .when(key % 5 == 0, F.concat(F.lit("  "), F.col("event_type"), F.lit("\t")))
+        .otherwise(F.col("event_type"))
+    )
+    amount = F.when(key % 11 == 0, F.lit(None).cast("double")).when(key % 97 == 0, F.col("value") + 10000).otherwise(F.col("value"))
+    seen = (
+        F.when(key % 29 == 0, F.lit("bad date"))
+        .when(key % 31 == 0, F.lit(None).cast("string"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    )
+    return load(spark, sf_dir, "events").withColumn("_copy", F.explode(copies)).select(
+        key.alias("record_id"),
+        label.alias("label"),
+        amount.alias("amount"),
+        F.col("user_id").cast("double").alias("units"),
+        seen.alias("seen_on"),
+        F.lit("log").alias("origin"),
+    )
