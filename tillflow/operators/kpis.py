@@ -84,3 +84,211 @@ def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, ac
             ("WARNING", "category_concentration", F.col("category_pct"), F.col("category_pct") > CATEGORY_LIMIT),
         ],
     )
+
+
+def _scalar(df: DataFrame) -> Column:
+    """All columns of a one-row frame as one struct."""
+    return df.agg(F.first(F.struct(*df.columns)).alias("s")).scalar()
+
+
+def kpi_row(df: DataFrame, roles: dict[str, str | None], tie: str) -> DataFrame:
+    """Headline figures of a table by the role of its columns, in one row.
+
+    Five measures need a distinct count; they share one unpivoted fold instead of an expanded
+    aggregate. Growth compares the earlier half of the rows with the later one.
+    """
+    from .profile import column_counts
+    from .ranking import half_split
+
+    revenue, profit, cost, quantity = (roles.get(r) for r in ("revenue", "profit", "cost", "quantity"))
+    null = F.lit(None).cast("double")
+    rev = F.col(revenue)
+    base = df.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(rev).alias("_rev"),
+        F.avg(rev).cast("double").alias("average_revenue"),
+        (F.sum(profit) if profit else null).alias("_profit"),
+        (F.avg(cost).cast("double") if cost else F.lit(0.0)).alias("average_cost"),
+        (F.sum(quantity).cast("double") if quantity else F.count(F.lit(1)).cast("double")).alias("total_quantity"),
+    )
+    entities = {r: roles.get(r) for r in ("order_id", "customer", "product", "category", "region") if roles.get(r)}
+    counts = column_counts(df, list(entities.values()))
+    distinct = counts.agg(F.map_from_entries(F.collect_list(F.struct("column", "unique_count"))).alias("m")).scalar()
+
+    def unique(role: str) -> Column:
+        return distinct[entities[role]] if role in entities else F.lit(None).cast("bigint")
+
+    out = base.withColumns({f"_{r}": unique(r) for r in ("order_id", "customer", "product", "category", "region")})
+    orders = F.coalesce(F.col("_order_id"), F.col("row_count"))
+    if roles.get("date"):
+        half = _scalar(half_split(df, roles["date"], tie, revenue))
+        enough = (half["rows"] >= 4) & (half["first_rows"] >= 2)
+        out = out.withColumn("_half", half)
+        growth = F.when(enough & (half["first_sum"] > 0), percent_or_zero(half["second_sum"] - half["first_sum"], half["first_sum"]))
+        previous = F.when(enough, half["first_sum"].cast("double"))
+    else:
+        growth, previous = null, null
+    tops = {}
+    for role in ("category", "region"):
+        best = _scalar(leader(df, roles[role], rev)) if roles.get(role) else None
+        tops[f"top_{role}_name"] = best["leader"] if best is not None else F.lit(None).cast("string")
+        tops[f"top_{role}_val"] = best["value"].cast("double") if best is not None else F.lit(0.0)
+    return out.select(
+        "row_count",
+        F.col("_rev").cast("double").alias("total_revenue"),
+        orders.alias("total_transactions"),
+        "total_quantity",
+        "average_revenue",
+        (F.col("_rev").cast("double") / F.greatest(F.lit(1), orders)).alias("average_transaction_value"),
+        F.col("_profit").cast("double").alias("total_profit"),
+        F.when(F.col("_rev") > 0, F.col("_profit").cast("double") / F.col("_rev").cast("double") * 100.0).alias("profit_margin"),
+        "average_cost",
+        F.col("_customer").alias("unique_customers"),
+        F.col("_product").alias("unique_products"),
+        F.col("_category").alias("unique_categories"),
+        F.col("_region").alias("unique_regions"),
+        growth.alias("growth_pct"),
+        previous.alias("prev_period_revenue"),
+        *[c.alias(a) for a, c in tops.items()],
+    )
+
+
+def kpi_cards(kpis: DataFrame, domain: str, roles: dict[str, str | None]) -> DataFrame:
+    """The measures shown for a domain, each with its source column, formula and confidence."""
+    def card(kpi: str, value: str, source: str | None, formula: str, confidence: int) -> Column:
+        return F.struct(
+            F.lit(kpi).alias("kpi_id"),
+            F.col(value).cast("double").alias("value"),
+            F.lit(source or "records").alias("source_column"),
+            F.lit(formula).alias("formula"),
+            F.lit(confidence).alias("confidence"),
+            F.col("row_count").alias("rows_included"),
+        )
+
+    rev, profit, cat, cust, prod, qty = (roles.get(r) for r in ("revenue", "profit", "category", "customer", "product", "quantity"))
+    rows = card("records", "row_count", None, "count(*)", 99)
+    total = card("total_value", "total_revenue", rev, f"sum({rev})", 95) if rev else None
+    kinds = card("categories", "unique_categories", cat, f"count(distinct {cat})", 90) if cat else None
+    gain = card("profit", "total_profit", profit, f"sum({profit})", 94) if profit else None
+    paid = bool(rev) and any(w in rev.lower() for w in ("salary", "compensation", "pay"))
+    mean = card("average_value", "average_revenue", rev, f"avg({rev})", 92) if rev else None
+    units = card("units", "total_quantity", qty, f"sum({qty})" if qty else "count(*)", 95)
+    goods = card("products", "unique_products", prod, f"count(distinct {prod})", 90) if prod else None
+    people = card("customers", "unique_customers", cust, f"count(distinct {cust})", 90) if cust else None
+    if domain.startswith("HR"):
+        cards = [rows, *([mean, total] if paid else []), kinds]
+    elif domain.startswith("Marketing"):
+        cards = [total, rows, kinds]
+    elif domain.startswith("Inventory"):
+        cards = [units, total, goods if goods is not None else kinds]
+    elif domain.startswith("Financial"):
+        cards = [total, gain, rows, kinds]
+    elif domain.startswith("Healthcare"):
+        cards = [rows, total, kinds]
+    else:
+        cards = [total, mean, gain, people if people is not None else kinds]
+    return kpis.select(F.explode(F.array(*[c for c in cards if c is not None])).alias("c")).select("c.*")
+
+
+def driver_decomposition(df: DataFrame, revenue: str, tie: str, date: str | None, category: str | None, region: str | None) -> DataFrame:
+    """What moved a metric: the shift between halves and the leading category and region."""
+    from .ranking import half_split
+
+    total = df.agg(F.sum(revenue).alias("t")).scalar()
+    parts = []
+    if date:
+        half = half_split(df, date, tie, revenue).filter(F.col("first_rows") >= 3)
+        diff = F.col("second_sum") - F.col("first_sum")
+        parts.append(
+            half.select(
+                F.lit("period_shift").alias("driver"),
+                F.lit(revenue).alias("subject"),
+                diff.cast("double").alias("value"),
+                percent_or_zero(diff, F.col("first_sum")).alias("pct"),
+                F.when(diff >= 0, "positive").otherwise("negative").alias("type"),
+            )
+        )
+    for driver, group in (("segment", category), ("region", region if region != category else None)):
+        if group:
+            parts.append(
+                leader(df, group, F.col(revenue)).select(
+                    F.lit(driver).alias("driver"),
+                    F.col("leader").alias("subject"),
+                    F.col("value").cast("double").alias("value"),
+                    percent_or_zero(F.col("value"), total).alias("pct"),
+                    F.lit("info").alias("type"),
+                )
+            )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# Attainment limits in percent.
+ON_TRACK, AT_RISK = 80.0, 50.0
+
+
+def target_status(df: DataFrame, actual: str, target: str) -> DataFrame:
+    """Attainment, gap and status of every (actual, target) row; no status without a positive target."""
+    a, t = F.col(actual).cast("double"), F.col(target).cast("double")
+    has = t > 0
+    attained = F.when(has, a / t * 100.0)
+    needed = F.when(a > 0, F.try_divide(t - a, a) * 100.0).otherwise(100.0)
+    status = (
+        F.when(~has, "NO TARGET")
+        .when(a >= t, "EXCEEDED")
+        .when(attained >= ON_TRACK, "ON TRACK")
+        .when(attained >= AT_RISK, "AT RISK")
+        .otherwise("BEHIND")
+    )
+    return df.withColumns(
+        {
+            "attainment_pct": F.when(has, F.round(attained, 2)).otherwise(0.0),
+            "remaining": F.when(has, F.round(F.greatest(F.lit(0.0), t - a), 2)),
+            "gap": F.when(has, F.round(t - a, 2)),
+            "required_growth_pct": F.when(has, F.round(F.greatest(F.lit(0.0), needed), 1)),
+            "status": status,
+        }
+    )
+
+
+def insight_facts(df: DataFrame, kpis: DataFrame, roles: dict[str, str | None]) -> DataFrame:
+    """Fact rows (type, subject, value, share): summary, margin, leaders, Pareto, hygiene."""
+    from ..plans.customers import pareto
+    from .profile import duplicates, light_profile
+
+    def fact(kind: str, subject: Column, value: Column, share: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), subject.cast("string").alias("subject"), value.cast("double").alias("value"), share.cast("double").alias("share_pct"))
+
+    revenue, customer = roles["revenue"], roles.get("customer")
+    total = F.col("total_revenue")
+    missing, copies = light_profile(df).select("missing_cells").scalar(), duplicates(df).select("duplicate_rows").scalar()
+    frame = kpis.withColumns({"_missing": missing, "_copies": copies})
+    facts = [fact("summary", F.lit(revenue), total, F.col("growth_pct"))]
+    if roles.get("profit"):
+        facts.append(fact("profitability", F.lit(roles["profit"]), F.col("total_profit"), F.col("profit_margin")))
+    for role in ("category", "region"):
+        if roles.get(role):
+            facts.append(fact(role, F.col(f"top_{role}_name"), F.col(f"top_{role}_val"), percent_or_zero(F.col(f"top_{role}_val"), total)))
+    if customer:
+        accounts = df.filter(F.col(customer).isNotNull()).groupBy(customer).agg(F.sum(revenue).alias("_r"))
+        p = _scalar(pareto(accounts, "_r"))
+        frame = frame.withColumn("_p", p)
+        facts.append(fact("customer", F.lit("top_20_pct"), F.col("_p.floor20_accounts"), F.col("_p.floor20_share_pct")))
+    clean = (F.col("_missing") == 0) & (F.col("_copies") == 0)
+    facts.append(fact("quality", F.when(clean, "clean").otherwise("attention"), F.col("_missing") + F.col("_copies"), F.lit(None)))
+    return frame.select(F.explode(F.array(*facts)).alias("f")).select("f.*")
+
+
+def top_findings(kpis: DataFrame, anomalies: DataFrame, quality: DataFrame) -> DataFrame:
+    """Volume, concentration, first anomaly and quality as numbered rows."""
+    def row(number: int, badge: str, subject: Column, value: Column, pct: Column) -> list[Column]:
+        return [F.lit(number).alias("rank"), F.lit(badge).alias("badge"), subject.cast("string").alias("subject"), value.cast("double").alias("value"), pct.cast("double").alias("pct")]
+
+    volume = kpis.select(*row(1, "PERFORMANCE", F.lit("revenue"), F.col("total_revenue"), F.col("growth_pct")))
+    share = percent_or_zero(F.col("top_category_val"), F.col("total_revenue"))
+    leading = kpis.filter(F.col("top_category_name").isNotNull()).select(*row(2, "LEADER", F.col("top_category_name"), F.col("top_category_val"), share))
+    first = anomalies.orderBy("period").limit(1).select(*row(3, "ANOMALY", F.date_format("period", "yyyy-MM"), F.col("observed"), F.col("deviation_pct")))
+    score = quality.select(*row(4, "DATA QUALITY", F.col("rating"), F.col("quality_score"), F.lit(None)))
+    return volume.unionByName(leading).unionByName(first).unionByName(score)

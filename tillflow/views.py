@@ -97,3 +97,24 @@ def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log with a zoned timestamp, as watermarks need it."""
     return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def retail_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order items with everything known about them: the frame an analyst would upload."""
+    items = order_items(spark, sf_dir)
+    headers = order_headers(spark, sf_dir).select("order_id", "customer_id", "order_status", "purchased_at")
+    people = customers(spark, sf_dir).select("customer_id", "region")
+    goods = products(spark, sf_dir).select("product_id", "product_name", "category")
+    joined = items.join(headers, "order_id").join(people, "customer_id").join(goods, "product_id")
+    return joined.select(
+        "order_id",
+        F.col("purchased_at").alias("order_date"),
+        "customer_id",
+        "product_name",
+        "category",
+        "region",
+        "quantity",
+        F.col("total_item_value").alias("revenue"),
+        (F.col("item_price") - F.col("freight_value")).alias("profit"),
+        F.col("order_status").alias("status"),
+    )
