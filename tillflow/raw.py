@@ -194,3 +194,31 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen.alias("seen_on"),
         F.lit("log").alias("origin"),
     )
+
+
+def order_event_messages(events: DataFrame) -> DataFrame:
+    """Event log rows as order messages (JSON in ``value``) with bad fields, broken texts and copies.
+
+    Works on a static frame and on a stream of the event log alike.
+    """
+    key = F.col("event_id")
+    copies = F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    base = events.withColumn("_copy", F.explode(copies))
+    price = F.col("value").cast("decimal(12,2)").cast("double")
+    body = F.to_json(
+        F.struct(
+            _text(key).alias("event_id"),
+            F.lit("ORDER_ITEM_CREATED").alias("event_type"),
+            F.date_format("ts", TEXT_TIME).alias("event_timestamp"),
+            F.when(key % 41 != 0, F.concat_ws("-", _text("user_id"), _text(F.floor(key / 3)))).alias("order_id"),
+            (key % 3 + 1).cast("int").alias("order_item_id"),
+            _text("user_id").alias("customer_id"),
+            F.when(key % 47 == 0, -price - 1).otherwise(price).alias("price"),
+            (key % 7).cast("double").alias("freight_value"),
+            F.when(key % 53 == 0, F.lit(0)).otherwise((key % 3 + 1).cast("int")).alias("quantity"),
+            F.col("event_type").alias("order_status"),
+            F.lit("replay").alias("source"),
+            F.when(key % 43 == 0, F.lit("0.9")).otherwise(F.lit("1.0")).alias("schema_version"),
+        )
+    )
+    return base.select(F.when(key % 59 == 0, F.concat(F.lit("{broken "), _text(key))).otherwise(body).alias("value"))
