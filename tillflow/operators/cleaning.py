@@ -105,13 +105,13 @@ def bounds(df: DataFrame, column: str, method: str, factor: float) -> Column:
 
 def handle_outliers(df: DataFrame, column: str, method: str = "iqr", action: str = "clip", factor: float = IQR_FACTOR) -> DataFrame:
     """Clip to the bounds or drop what lies outside; NULL is kept either way."""
-    b = bounds(df, column, method, factor)
-    v = _number(column)
+    marked = df.withColumn("_bounds", bounds(df, column, method, factor))
+    v, lower, upper = _number(column), F.col("_bounds.lower"), F.col("_bounds.upper")
     if action == "drop":
-        outside = F.coalesce((v < b["lower"]) | (v > b["upper"]), F.lit(False))
-        return df.filter(~outside)
+        outside = F.coalesce((v < lower) | (v > upper), F.lit(False))
+        return marked.filter(~outside).drop("_bounds")
     # greatest/least skip NULL: a missing value must stay missing, missing bounds change nothing.
-    return df.withColumn(column, F.when(v.isNotNull(), F.least(F.greatest(v, b["lower"]), b["upper"])))
+    return marked.withColumn(column, F.when(v.isNotNull(), F.least(F.greatest(v, lower), upper))).drop("_bounds")
 
 
 def strip_whitespace(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -220,5 +220,6 @@ def changed_cells(before: DataFrame, after: DataFrame, step: str, columns: list[
 
     spark = before.sparkSession
     a, b = fold(before, "a"), fold(after, "b")
-    base = spark.range(1).select(F.lit(step).alias("step"), a["rows"].alias("rows_before"), b["rows"].alias("rows_after"))
+    base = spark.range(1).select(F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
+    base = base.select("step", F.col("a.rows").alias("rows_before"), F.col("b.rows").alias("rows_after"))
     return base.withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))

@@ -30,13 +30,13 @@ def quality_delta(before: DataFrame, after: DataFrame, numeric: list[str], dates
 
     fields = F.struct("quality_score", "missing_values", "duplicate_rows")
     a = quality_score(before, numeric, dates).select(fields.alias("a")).scalar()
-    b = quality_score(after, numeric, dates)
+    b = quality_score(after, numeric, dates).withColumn("_a", a)
     return b.select(
-        a["quality_score"].alias("score_before"),
+        F.col("_a.quality_score").alias("score_before"),
         F.col("quality_score").alias("score_after"),
-        F.round(F.col("quality_score") - a["quality_score"], 2).alias("score_delta"),
-        (F.col("missing_values") - a["missing_values"]).alias("missing_delta"),
-        (F.col("duplicate_rows") - a["duplicate_rows"]).alias("duplicate_delta"),
+        F.round(F.col("quality_score") - F.col("_a.quality_score"), 2).alias("score_delta"),
+        (F.col("missing_values") - F.col("_a.missing_values")).alias("missing_delta"),
+        (F.col("duplicate_rows") - F.col("_a.duplicate_rows")).alias("duplicate_delta"),
     )
 
 
@@ -65,16 +65,13 @@ def dataset_compare(a: DataFrame, b: DataFrame, mapping: dict[str, str]) -> Data
     """Row counts and numeric measures of mapped columns side by side with their changes."""
     left = numeric_measures(a, list(mapping))
     right = numeric_measures(b.select(*[F.col(cb).alias(ca) for ca, cb in mapping.items()]), list(mapping))
-    rows_a = a.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows_b = b.agg(F.count(F.lit(1)).alias("n")).scalar()
     la = left.select("column", *[F.col(m).alias(f"{m}_a") for m in MEASURES])
     lb = right.select("column", *[F.col(m).alias(f"{m}_b") for m in MEASURES])
-    out = la.join(lb, "column")
+    counts = {"rows_a": a.agg(F.count(F.lit(1)).alias("n")).scalar(), "rows_b": b.agg(F.count(F.lit(1)).alias("n")).scalar()}
+    out = la.join(lb, "column").withColumns(counts)
     return out.withColumns(
         {
-            "rows_a": rows_a,
-            "rows_b": rows_b,
-            "rows_pct": pct_delta(rows_a, rows_b),
+            "rows_pct": pct_delta(F.col("rows_a"), F.col("rows_b")),
             "sum_diff": F.col("sum_b") - F.col("sum_a"),
             "sum_pct": pct_delta(F.col("sum_a"), F.col("sum_b")),
             "mean_pct": pct_delta(F.col("mean_a"), F.col("mean_b")),

@@ -113,26 +113,30 @@ def kpi_row(df: DataFrame, roles: dict[str, str | None], tie: str) -> DataFrame:
     )
     entities = {r: roles.get(r) for r in ("order_id", "customer", "product", "category", "region") if roles.get(r)}
     counts = column_counts(df, list(entities.values()))
-    distinct = counts.agg(F.map_from_entries(F.collect_list(F.struct("column", "unique_count"))).alias("m")).scalar()
+    base = base.withColumn("_distinct", counts.agg(F.map_from_entries(F.collect_list(F.struct("column", "unique_count"))).alias("m")).scalar())
 
     def unique(role: str) -> Column:
-        return distinct[entities[role]] if role in entities else F.lit(None).cast("bigint")
+        return F.col("_distinct")[entities[role]] if role in entities else F.lit(None).cast("bigint")
 
     out = base.withColumns({f"_{r}": unique(r) for r in ("order_id", "customer", "product", "category", "region")})
     orders = F.coalesce(F.col("_order_id"), F.col("row_count"))
     if roles.get("date"):
-        half = _scalar(half_split(df, roles["date"], tie, revenue))
-        enough = (half["rows"] >= 4) & (half["first_rows"] >= 2)
-        out = out.withColumn("_half", half)
-        growth = F.when(enough & (half["first_sum"] > 0), percent_or_zero(half["second_sum"] - half["first_sum"], half["first_sum"]))
-        previous = F.when(enough, half["first_sum"].cast("double"))
+        out = out.withColumn("_half", _scalar(half_split(df, roles["date"], tie, revenue)))
+        first, second = F.col("_half.first_sum"), F.col("_half.second_sum")
+        enough = (F.col("_half.rows") >= 4) & (F.col("_half.first_rows") >= 2)
+        growth = F.when(enough & (first > 0), percent_or_zero(second - first, first))
+        previous = F.when(enough, first.cast("double"))
     else:
         growth, previous = null, null
     tops = {}
     for role in ("category", "region"):
-        best = _scalar(leader(df, roles[role], rev)) if roles.get(role) else None
-        tops[f"top_{role}_name"] = best["leader"] if best is not None else F.lit(None).cast("string")
-        tops[f"top_{role}_val"] = best["value"].cast("double") if best is not None else F.lit(0.0)
+        if roles.get(role):
+            out = out.withColumn(f"_top_{role}", _scalar(leader(df, roles[role], rev)))
+            tops[f"top_{role}_name"] = F.col(f"_top_{role}.leader")
+            tops[f"top_{role}_val"] = F.col(f"_top_{role}.value").cast("double")
+        else:
+            tops[f"top_{role}_name"] = F.lit(None).cast("string")
+            tops[f"top_{role}_val"] = F.lit(0.0)
     return out.select(
         "row_count",
         F.col("_rev").cast("double").alias("total_revenue"),

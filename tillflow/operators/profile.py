@@ -178,13 +178,13 @@ def quality_score(df: DataFrame, numeric: list[str], dates: list[str]) -> DataFr
     far = outliers(df, numeric).agg(F.struct(F.coalesce(F.sum("outlier_count"), F.lit(0)).alias("outliers")).alias("s")).scalar() if numeric else zero
     values = df.agg(sum((F.count(c) for c in numeric), F.lit(0)).alias("v")).scalar()
     bad = invalid_dates(df, dates).agg(F.sum("invalid_count").alias("b")).scalar() if dates else F.lit(0)
-    base = duplicates(df).select(
+    base = duplicates(df).withColumns({"_cells": cells, "_far": far}).select(
         "row_count",
         "duplicate_rows",
-        cells["missing"].alias("missing_values"),
-        cells["cells"].alias("cells"),
-        cells["constants"].alias("constant_columns"),
-        far["outliers"].alias("outlier_count"),
+        F.col("_cells.missing").alias("missing_values"),
+        F.col("_cells.cells").alias("cells"),
+        F.col("_cells.constants").alias("constant_columns"),
+        F.col("_far.outliers").alias("outlier_count"),
         values.alias("numeric_values"),
         bad.alias("invalid_dates"),
     )
@@ -264,7 +264,8 @@ def issue_rows(df: DataFrame, kind: str, column: str | None = None) -> DataFrame
         return folded.filter(bad_date(column))
     if kind == "outliers":
         fence = outlier_bounds(df, [column]).agg(F.first(F.struct("lower", "upper")).alias("f")).scalar()
-        return folded.filter((F.col(column) < fence["lower"]) | (F.col(column) > fence["upper"]))
+        marked = folded.withColumn("_fence", fence)
+        return marked.filter((F.col(column) < F.col("_fence.lower")) | (F.col(column) > F.col("_fence.upper"))).drop("_fence")
     return folded.filter(_has_null(df) | (F.col("occurrences") > 1))
 
 

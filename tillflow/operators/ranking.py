@@ -157,18 +157,23 @@ def half_split(df: DataFrame, moment: str, tie: str, value: str) -> DataFrame:
         )
         return frame.filter(F.col("_to") >= need).agg(F.min_by(fields, F.col(by)).alias("cut"))
 
-    day_cut = cut(days, "_d", F.col("_half"), ["_n", "_all", "_half"])
-    d = day_cut.scalar()
-    inside = rows.filter(F.col("_d") == d["at"])
-    need = d["_half"] - d["before"]
-    bin_cut = cut(count_by(inside, "_b"), "_b", need, [])
-    b = bin_cut.scalar()
-    last = inside.filter(F.col("_b") == b["at"]).groupBy("_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Each cut is one row. It joins a frame as one scalar column, so its plan appears only where needed.
+    d = cut(days, "_d", F.col("_half"), ["_n", "_all", "_half"]).scalar()
+    bins = count_by(rows.filter(F.col("_d") == d["at"]), "_b").withColumn("_day", d)
+    need = F.col("_day._half") - F.col("_day.before")
+    spot = F.struct(F.col("_day.at").alias("_d"), F.col("_b"))
+    b = cut(bins.withColumns({"_spot": spot, "_need": need}), "_b", need, ["_spot", "_need", "_day"]).scalar()
+    last = rows.filter(F.struct("_d", "_b") == b["_spot"]).groupBy("_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
     walk = everything.orderBy("_t", "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = last.withColumn("_rest", need - b["before"] - F.sum("_c").over(walk) + F.col("_c"))
+    last = last.withColumn("_bin", b)
+    last = last.withColumn("_rest", F.col("_bin._need") - F.col("_bin.before") - F.sum("_c").over(walk) + F.col("_c"))
     taken = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_rest")))
-    part = last.agg(F.coalesce(F.sum(F.col("_v") * taken), F.lit(0)).alias("_part"))
-    out = part.select(
-        d["_n"].alias("rows"), d["_half"].alias("first_rows"), (d["sum"] + b["sum"] + F.col("_part")).alias("first_sum"), d["_all"].alias("_all")
+    part = last.agg(F.sum(F.col("_v") * taken).alias("_part"), F.first("_bin").alias("_bin"))
+    part = part.filter(F.col("_bin").isNotNull())
+    first = F.col("_bin._day.sum") + F.col("_bin.sum") + F.col("_part")
+    return part.select(
+        F.col("_bin._day._n").alias("rows"),
+        F.col("_bin._day._half").alias("first_rows"),
+        first.alias("first_sum"),
+        (F.col("_bin._day._all") - first).alias("second_sum"),
     )
-    return out.select("rows", "first_rows", "first_sum", (F.col("_all") - F.col("first_sum")).alias("second_sum"))

@@ -484,9 +484,9 @@ def match_rows(a: DataFrame, b: DataFrame) -> DataFrame:
             F.lit(cb).cast("string").alias("col_b"),
             F.lit(method).alias("method"),
             F.lit(confidence).alias("confidence"),
-            (fa[ca] if ca else none).alias("filled_a"),
-            (fb[cb] if cb else none).alias("filled_b"),
+            (F.col("_fa")[ca] if ca else none).alias("filled_a"),
+            (F.col("_fb")[cb] if cb else none).alias("filled_b"),
         )
         for ca, cb, method, confidence in rows
     ]
-    return a.sparkSession.range(1).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return a.sparkSession.range(1).select(fa.alias("_fa"), fb.alias("_fb")).select(F.explode(F.array(*entries)).alias("e")).select("e.*")

@@ -15,12 +15,13 @@ def price_histogram(items: DataFrame, column: str, buckets: int) -> DataFrame:
     price = F.col(column).cast("double")
     bounds = items.agg(F.struct(F.min(price).alias("lo"), F.max(price).alias("hi")).alias("b")).scalar()
     quart = column_quantiles(items.select(price.alias("price")), ["price"], [0.25, 0.5, 0.75]).select("q").scalar()
-    place = F.floor((price - bounds["lo"]) * buckets / (bounds["hi"] - bounds["lo"])) + 1
-    hist = items.groupBy(F.least(place, F.lit(buckets)).alias("bucket")).agg(
+    placed = items.withColumn("_b", bounds)
+    place = F.floor((price - F.col("_b.lo")) * buckets / (F.col("_b.hi") - F.col("_b.lo"))) + 1
+    hist = placed.groupBy(F.least(place, F.lit(buckets)).alias("bucket")).agg(
         F.count(F.lit(1)).alias("items"), F.sum(column).cast("double").alias("revenue")
     )
-    return hist.select(
-        "bucket", "items", "revenue", *[F.round(quart[i], 6).alias(a) for i, a in enumerate(("p25", "median", "p75"))]
+    return hist.withColumn("_q", quart).select(
+        "bucket", "items", "revenue", *[F.round(F.col("_q")[i], 6).alias(a) for i, a in enumerate(("p25", "median", "p75"))]
     )
 
 

@@ -29,16 +29,17 @@ def rfm_tiers(per_customer: DataFrame) -> DataFrame:
     )
     found = column_quantiles(measured, ["recency_days", "frequency", "monetary"], QUINTILES)
     borders = found.agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("m")).scalar()
+    measured = measured.withColumn("_borders", borders)
 
     def score(column: str, reverse: bool = False) -> Column:
-        border = borders[column]
+        border = F.col("_borders")[column]
         below = sum((F.when(F.col(column) > border[i], 1).otherwise(0) for i in range(4)), F.lit(0))
         return (5 - below) if reverse else (1 + below)
 
     scored = measured.withColumns({"r": score("recency_days", True), "f": score("frequency"), "m": score("monetary")})
     total = F.col("r") + F.col("f") + F.col("m")
     tier = F.when(total >= 12, "Champions").when(total >= 9, "Loyal").when(total >= 6, "Regular").otherwise("At Risk")
-    return scored.withColumn("tier", tier)
+    return scored.withColumn("tier", tier).drop("_borders")
 
 
 def inactivity(last_seen: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import compare, drill, kpis, profile, schema_infer
 from ..operators import timeseries as ts
-from ..plans import marts
+from ..session import materialize
 from . import quality as dirty_queries
 from .quality import DIRTY, SCORE
 from .registry import query, table
@@ -165,7 +165,8 @@ GROWTH_PCT = f"{dbl('p2 - p1')} * 100.0 / {dbl('p1')}"
 
 
 def retail(spark, sf):
-    frame = views.retail_frame(spark, sf)
+    """The analyst's table, stored once: KPIs, halves and leaders are separate passes over it."""
+    frame = materialize(views.retail_frame(spark, sf), "retail")
     return frame, schema_infer.roles(frame)
 
 

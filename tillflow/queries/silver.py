@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import raw
 from ..operators import rules
 from ..plans import gold, silver
+from ..session import materialize
 from .registry import query
 from .sqlbits import FREIGHT, big, dbl, mean_money
 
@@ -218,6 +219,14 @@ def lake_of(spark, sf):
     return silver.Silver(lambda entity: getattr(raw, entity)(spark, sf))
 
 
+def settled_lake(spark, sf):
+    """Like :func:`lake_of`, with the parents that several children need written once."""
+    def settle(entity, frame):
+        return materialize(frame, entity) if entity in ("customers", "products", "sellers", "orders") else frame
+
+    return silver.Silver(lambda entity: getattr(raw, entity)(spark, sf), settle)
+
+
 def text_time(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
@@ -387,7 +396,7 @@ ENTITIES = {
     f"(SELECT 'TOTAL' AS entity, {big('sum(input_count)')} AS input_count, {big('sum(valid_count)')} AS valid_count, {big('sum(quarantined_count)')} AS quarantined_count FROM m)",
 )
 def dq_report(spark, sf):
-    lake = lake_of(spark, sf)
+    lake = settled_lake(spark, sf)
     return rules.report([rules.metrics(lake.flagged(e), e) for e in ENTITIES])
 
 
@@ -493,7 +502,7 @@ FACT = """fact AS (SELECT sha256(i.order_id || '||' || cast(i.order_item_id as v
     {dbl('freight_value')} AS freight_value, {dbl('gross_item_value')} AS gross_item_value, {dbl('total_item_value')} AS total_item_value, order_year_month FROM fact""",
 )
 def fact_sales(spark, sf):
-    out = build_fact(lake_of(spark, sf))
+    out = build_fact(settled_lake(spark, sf))
     times = ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date")
     amounts = ("item_price", "freight_value", "gross_item_value", "total_item_value")
     return out.withColumns({**{c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times}, **{c: F.col(c).cast("double") for c in amounts}})
@@ -509,7 +518,7 @@ def fact_sales(spark, sf):
     {big('sum(CASE WHEN seller_key IS NULL THEN 1 ELSE 0 END)')} AS orphan_seller_keys FROM fact""",
 )
 def fact_metrics(spark, sf):
-    return gold.fact_metrics(build_fact(lake_of(spark, sf)))
+    return gold.fact_metrics(build_fact(settled_lake(spark, sf)))
 
 
 @query(
