@@ -33,12 +33,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n) with value as text; texts above 64 characters as their SHA-256."""
-    entries = []
-    for c in columns or df.columns:
-        text = F.col(c).cast("string")
-        key = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-        entries.append(F.struct(F.lit(c).alias("column"), key.alias("value")))
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    def entry(c: str) -> str:
+        text = f"cast(`{c}` AS string)"
+        return f"named_struct('column', '{c}', 'value', if(length({text}) > {LONG_TEXT}, sha2({text}, 256), {text}))"
+
+    entries = ", ".join(entry(c) for c in columns or df.columns)
+    long = df.select(F.expr(f"explode(array({entries}))").alias("e")).select("e.*")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

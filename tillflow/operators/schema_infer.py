@@ -196,38 +196,50 @@ def kind_of(data_type: DataType) -> str:
     return "text"
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column_evidence(name: str, kind: str) -> str:
+    """SQL of one column's evidence; as text it costs one call, whatever the number of measures."""
+    c, text = _quoted(name), f"cast({_quoted(name)} AS string)"
+    numeric = kind in ("integer", "float")
+    number = f"cast({c} AS double)" if numeric else "cast(NULL AS double)"
+    flags = ", ".join(_text_literal(v) for v in BOOLEAN_TEXT)
+    measures = {
+        "boolean_like": f"{text} IN ({flags})" + (f" OR {number} IN (0.0D, 1.0D)" if numeric else ""),
+        "with_at": f"contains({text}, '@')",
+        "email_like": f"trim({text}) RLIKE {_text_literal(EMAIL_PATTERN)}",
+        "parsed": f"try_to_timestamp({text}) IS NOT NULL" if kind == "text" else str(kind == "temporal").lower(),
+        "with_colon": f"contains({text}, ':')",
+        "with_clock": f"date_format({c}, 'HH:mm:ss') <> '00:00:00'" if kind == "temporal" else "false",
+        "with_currency": f"{text} RLIKE {_text_literal(CURRENCY_SIGNS)}",
+        "fractions": f"{number} % 1 <> 0",
+    }
+    counted = ", ".join(f"'{alias}', count_if({cond})" for alias, cond in measures.items())
+    return (
+        f"named_struct('column', {_text_literal(name)}, 'kind', '{kind}', 'filled', count({c}), {counted}, "
+        f"'low', min({number}), 'high', max({number}), 'mean_length', avg(length({text})))"
+    )
+
+
+COLUMNS_PER_PASS = 100
+
+
 def value_evidence(df: DataFrame) -> DataFrame:
-    """One row per column with what its values show, from a single aggregate without a shuffle of values."""
-    entries = []
-    for f in df.schema.fields:
-        c, kind = F.col(f.name), kind_of(f.dataType)
-        text = c.cast("string")
-        number = c.cast("double") if kind in ("integer", "float") else F.lit(None).cast("double")
-        clock = F.date_format(c, "HH:mm:ss") != "00:00:00" if kind == "temporal" else F.lit(False)
-        parsed = F.try_to_timestamp(text).isNotNull() if kind == "text" else F.lit(kind == "temporal")
-
-        def hits(cond: Column) -> Column:
-            return F.count(F.when(cond, 1))
-
-        entries.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(kind).alias("kind"),
-                F.count(c).alias("filled"),
-                hits(text.isin(BOOLEAN_TEXT) | (number.isin(0.0, 1.0) if kind in ("integer", "float") else F.lit(False))).alias("boolean_like"),
-                hits(text.contains("@")).alias("with_at"),
-                hits(F.trim(text).rlike(EMAIL_PATTERN)).alias("email_like"),
-                hits(parsed).alias("parsed"),
-                hits(text.contains(":")).alias("with_colon"),
-                hits(clock).alias("with_clock"),
-                hits(text.rlike(CURRENCY_SIGNS)).alias("with_currency"),
-                F.min(number).alias("low"),
-                F.max(number).alias("high"),
-                hits(number % 1 != 0).alias("fractions"),
-                F.avg(F.length(text)).alias("mean_length"),
-            )
-        )
-    return df.agg(F.array(*entries).alias("a")).select(F.explode("a").alias("e")).select("e.*")
+    """One row per column with what its values show, from one aggregate per hundred columns and
+    without a shuffle of values."""
+    out = None
+    fields = df.schema.fields
+    for start in range(0, len(fields), COLUMNS_PER_PASS):
+        parts = [_column_evidence(f.name, kind_of(f.dataType)) for f in fields[start : start + COLUMNS_PER_PASS]]
+        rows = df.agg(F.expr(f"array({', '.join(parts)})").alias("a")).select(F.explode("a").alias("e")).select("e.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def name_evidence(df: DataFrame) -> DataFrame:
@@ -246,22 +258,14 @@ def name_evidence(df: DataFrame) -> DataFrame:
         "n_text": TEXT_PARTS,
         "n_simple_date": SIMPLE_DATE_PARTS,
     }
+    header = ["column", "position", "n_year", "n_paid", "n_simple_id", *rules]
     rows = []
     for position, name in enumerate(df.columns):
         clean = clean_name(name)
-        flags = [F.lit(_has(clean, parts)).alias(flag) for flag, parts in rules.items()]
         simple_id = name.lower().endswith(SIMPLE_ID_ENDS) or name.lower() == "sku"
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(position).alias("position"),
-                F.lit(clean == "year").alias("n_year"),
-                F.lit(clean == "paid").alias("n_paid"),
-                F.lit(simple_id).alias("n_simple_id"),
-                *flags,
-            )
-        )
-    return df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+        flags = [clean == "year", clean == "paid", simple_id, *[_has(clean, parts) for parts in rules.values()]]
+        rows.append(f"({_text_literal(name)}, {position}, {', '.join(str(f).lower() for f in flags)})")
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({', '.join(_quoted(h) for h in header)})")
 
 
 def evidence(df: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def partitioned_write(spark, sf):
     path = shared_dir(spark, "partitioned") + "/lineitem"
     items = table(spark, sf, "lineitem").withColumn("ship_year", F.date_format("l_shipdate", "yyyy"))
     for _ in range(2):
-        bronze.write_table(items.repartition("ship_year"), path, ["ship_year"])
+        bronze.write_table(items, path, ["ship_year"])
     back = spark.read.parquet(path)
     per_order = back.groupBy(F.col("ship_year").cast("string").alias("ship_year"), "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     return per_order.groupBy("ship_year").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("orders"))
@@ -367,6 +367,6 @@ def backfill_range(spark, sf):
     path = shared_dir(spark, "backfill") + "/orders"
     right = views.order_headers(spark, sf).select("order_id", "order_amount", F.year("purchased_at").alias("order_year"))
     wrong = right.withColumn("order_amount", F.when(F.col("order_year").isin(1996, 1997), F.lit(0).cast("decimal(12,2)")).otherwise(F.col("order_amount")))
-    bronze.write_table(wrong.repartition("order_year"), path, ["order_year"])
-    versions.backfill(right.repartition("order_year"), path, "order_year", 1996, 1997)
+    bronze.write_table(wrong, path, ["order_year"])
+    versions.backfill(right, path, "order_year", 1996, 1997)
     return spark.read.parquet(path).groupBy("order_year").agg(F.count(F.lit(1)).alias("orders"), F.sum("order_amount").cast("double").alias("amount"))

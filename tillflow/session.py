@@ -31,17 +31,14 @@ def get_session(app: str = "tillflow", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once below the shared folder and read it back.
 
     For frames that several passes use: the passes then scan the columns they need instead of
     repeating the joins behind the frame, and a lost executor costs a re-read, not a re-computation.
     """
     path = shared_dir(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -22,7 +22,14 @@ def audit_columns(df: DataFrame, system: str, version: str, ingested_at: str, so
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Idempotent overwrite; partitioned tables replace only the partitions they bring."""
+    """Idempotent overwrite; partitioned tables replace only the partitions they bring.
+
+    Rows are rebalanced by the partition columns first: adaptive execution splits a large partition
+    over several tasks and packs small ones, so the number of files follows the data and not
+    tasks times partitions.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "snappy")
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
