@@ -46,20 +46,16 @@ def monthly(spark, sf):
     {dbl('lo')} AS smallest, {dbl('hi')} AS largest, round(md, 4) AS median FROM t""",
 )
 def resample_monthly(spark, sf):
-    frame = gapped(spark, sf)
-
-    def one(agg, name):
-        return ts.resample(frame, "purchased_at", "order_amount", "monthly", agg).withColumnRenamed("value", name)
-
-    out = ts.label(one("sum", "total"), "monthly")
-    for agg, name in [("avg", "average"), ("count", "orders"), ("min", "smallest"), ("max", "largest"), ("median", "median")]:
-        out = out.join(one(agg, name), "period")
-    return out.withColumns(
-        {
-            **{c: F.col(c).cast("double") for c in ("total", "smallest", "largest")},
-            "average": F.round(F.col("average").cast("double"), 4),
-            "median": F.round("median", 4),
-        }
+    out = ts.label(ts.resample_measures(gapped(spark, sf), "purchased_at", "order_amount", "monthly"), "monthly")
+    return out.select(
+        "period",
+        "period_label",
+        F.col("sum").cast("double").alias("total"),
+        F.round(F.col("avg").cast("double"), 4).alias("average"),
+        F.col("count").alias("orders"),
+        F.col("min").cast("double").alias("smallest"),
+        F.col("max").cast("double").alias("largest"),
+        F.round("median", 4).alias("median"),
     )
 
 
