@@ -94,8 +94,8 @@ def _scalar(df: DataFrame) -> Column:
 def kpi_row(df: DataFrame, roles: dict[str, str | None], tie: str) -> DataFrame:
     """Headline figures of a table by the role of its columns, in one row.
 
-    Five measures need a distinct count; they share one unpivoted fold instead of an expanded
-    aggregate. Growth compares the earlier half of the rows with the later one.
+    Five measures need a distinct count; each column is counted on its own instead of expanding
+    every row five times. Growth compares the earlier half of the rows with the later one.
     """
     from .profile import column_counts
     from .ranking import half_split

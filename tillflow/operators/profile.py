@@ -1,8 +1,9 @@
 """Profiles, outliers, invalid dates and quality scores of any table.
 
-Distinct counts of many columns in one ``agg`` would expand every row once per column and distinct
-key set. Here the table is unpivoted to (column, value) and counted with map-side combine: what is
-shuffled is one entry per distinct value and task. Long texts enter as their hash.
+Distinct counts of many columns in one ``agg`` would expand every row once per column. Here every
+column is grouped on its own, which a columnar source serves with one read of each column, and
+combined on the map side: what is shuffled is one entry per distinct value and task. Long texts
+enter as their hash.
 """
 
 from __future__ import annotations
@@ -31,25 +32,26 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, n) with value as text; texts above 64 characters as their SHA-256."""
-    def entry(c: str) -> str:
-        text = f"cast(`{c}` AS string)"
-        return f"named_struct('column', '{c}', 'value', if(length({text}) > {LONG_TEXT}, sha2({text}, 256), {text}))"
-
-    entries = ", ".join(entry(c) for c in columns or df.columns)
-    long = df.select(F.expr(f"explode(array({entries}))").alias("e")).select("e.*")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows, nulls and distinct values per column."""
-    counts = value_counts(df, columns)
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
-    )
+    """Rows, nulls and distinct values per column.
+
+    Each column is grouped on its own: a columnar source then reads every column once, keys keep
+    their type, and values are combined on the map side before anything is shuffled. The frame
+    should be stored (see ``materialize``) when much work stands behind it.
+    """
+    kinds = dict(df.dtypes)
+    out = None
+    for c in columns or df.columns:
+        name = f"`{c}`"
+        key = f"if(length({name}) > {LONG_TEXT}, sha2({name}, 256), {name})" if kinds[c] == "string" else name
+        counted = df.groupBy(F.expr(key).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        row = counted.selectExpr(
+            f"'{c}' AS column", "v", "n"
+        ).groupBy("column").agg(
+            F.sum("n").alias("row_count"), F.expr("coalesce(sum(if(v IS NULL, n, 0)), 0)").alias("null_count"), F.count("v").alias("unique_count")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def light_profile(df: DataFrame) -> DataFrame:

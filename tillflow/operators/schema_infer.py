@@ -206,24 +206,40 @@ def _text_literal(value: str) -> str:
 
 def _column_evidence(name: str, kind: str) -> str:
     """SQL of one column's evidence; as text it costs one call, whatever the number of measures."""
-    c, text = _quoted(name), f"cast({_quoted(name)} AS string)"
+    c = _quoted(name)
     numeric = kind in ("integer", "float")
     number = f"cast({c} AS double)" if numeric else "cast(NULL AS double)"
     flags = ", ".join(_text_literal(v) for v in BOOLEAN_TEXT)
-    measures = {
-        "boolean_like": f"{text} IN ({flags})" + (f" OR {number} IN (0.0D, 1.0D)" if numeric else ""),
-        "with_at": f"contains({text}, '@')",
-        "email_like": f"trim({text}) RLIKE {_text_literal(EMAIL_PATTERN)}",
-        "parsed": f"try_to_timestamp({text}) IS NOT NULL" if kind == "text" else str(kind == "temporal").lower(),
-        "with_colon": f"contains({text}, ':')",
-        "with_clock": f"date_format({c}, 'HH:mm:ss') <> '00:00:00'" if kind == "temporal" else "false",
-        "with_currency": f"{text} RLIKE {_text_literal(CURRENCY_SIGNS)}",
-        "fractions": f"{number} % 1 <> 0",
-    }
+    # Only texts are looked at as text, and parsed as dates only when the name suggests one: no
+    # rule asks for more, and turning every number into text would dominate the scan.
+    dated = _has(clean_name(name), [*DATE_PARTS, *SIMPLE_DATE_PARTS])
+    if kind == "text":
+        measures = {
+            "boolean_like": f"{c} IN ({flags})",
+            "with_at": f"contains({c}, '@')",
+            "email_like": f"contains({c}, '@') AND trim({c}) RLIKE {_text_literal(EMAIL_PATTERN)}",
+            "parsed": f"try_to_timestamp({c}) IS NOT NULL" if dated else "false",
+            "with_colon": f"contains({c}, ':')",
+            "with_clock": "false",
+            "with_currency": f"{c} RLIKE {_text_literal(CURRENCY_SIGNS)}",
+            "fractions": "false",
+        }
+    else:
+        measures = {
+            "boolean_like": f"{number} IN (0.0D, 1.0D)" if numeric else "false",
+            "with_at": "false",
+            "email_like": "false",
+            "parsed": f"{c} IS NOT NULL" if kind == "temporal" else "false",
+            "with_colon": "false",
+            "with_clock": f"date_format({c}, 'HH:mm:ss') <> '00:00:00'" if kind == "temporal" else "false",
+            "with_currency": "false",
+            "fractions": f"{number} % 1 <> 0" if numeric else "false",
+        }
+    length = f"avg(length({c}))" if kind == "text" else "cast(NULL AS double)"
     counted = ", ".join(f"'{alias}', count_if({cond})" for alias, cond in measures.items())
     return (
         f"named_struct('column', {_text_literal(name)}, 'kind', '{kind}', 'filled', count({c}), {counted}, "
-        f"'low', min({number}), 'high', max({number}), 'mean_length', avg(length({text})))"
+        f"'low', min({number}), 'high', max({number}), 'mean_length', {length})"
     )
 
 
