@@ -203,3 +203,36 @@ def test_batch_run_is_repeatable_and_gated(spark, sf, tmp_path):
     assert reports["reconciliation"].first().reconciliation_status == "EXACT_MATCH"
     metric = reports["fact_metrics"].first()
     assert metric.grain_violations_count == 0 and metric.fact_row_count > 0
+
+
+LANDING = {
+    "orders": "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
+    "o1,c1,Delivered,2018-01-01 10:00:00,2018-01-01 11:00:00,,2018-01-09 10:00:00,2018-01-20 00:00:00\n"
+    "o2,c2,shipped,2018-02-01 10:00:00,,,,2018-02-20 00:00:00\n"
+    "o3,c9,shipped,2018-02-02 10:00:00,,,,2018-02-20 00:00:00\n"
+    "o1,c1,Delivered,2018-01-01 10:00:00,2018-01-01 11:00:00,,2018-01-09 10:00:00,2018-01-20 00:00:00\n",
+    "order_items": "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
+    "o1,1,p1,s1,2018-01-05 00:00:00,100.00,15.50\no1,2,p1,s1,2018-01-05 00:00:00,50.00,0.00\no2,1,p1,s9,2018-02-05 00:00:00,10.00,1.00\n",
+    "products": "product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm\n"
+    "p1,brinquedos,10,20,1,500,10,20,30\n",
+    "customers": "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\nc1,u1,01310,sao paulo,sp\nc2,u2,22041,rio,RJ\n",
+    "payments": "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,Credit_Card,1,165.50\n",
+    "reviews": "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
+    'r1,o1,5,,"good\n""stuff""",2018-01-10 00:00:00,2018-01-11 00:00:00\nr2,o1,9,,,2018-01-10 00:00:00,\n',
+    "sellers": "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01310,sao paulo,SP\n",
+    "geolocation": "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n01310,-23.5,-46.6,sao paulo,SP\n01310,48.8,2.3,paris,SP\n",
+    "categories": "product_category_name,product_category_name_english\nbrinquedos,toys\n",
+}
+
+
+def test_batch_run_over_csv_files(spark, tmp_path):
+    for entity, text in LANDING.items():
+        (tmp_path / f"{entity}.csv").write_text(text)
+    run = BatchRun(spark, str(tmp_path / "lake"), "b1", "2024-02-01 00:00:00")
+    reports = run.run(lambda e: files.read_csv(spark, str(tmp_path / f"{e}.csv")), limit_pct=60.0)
+    quality = {r.entity: (r.input_count, r.quarantined_count) for r in reports["quality"].collect()}
+    assert quality["orders"] == (3, 1) and quality["order_items"] == (3, 1) and quality["reviews"] == (2, 1) and quality["geolocation"] == (2, 1)
+    fact = run.read("gold", "fact_sales").orderBy("order_item_id").collect()
+    assert [(float(r.total_item_value), r.order_date_key, r.delivery_days, r.is_delayed) for r in fact] == [(115.5, 20180101, 8, False), (50.0, 20180101, 8, False)]
+    assert run.read("gold", "dim_product").first().product_category_name == "toys"
+    assert reports["reconciliation"].first().reconciliation_status == "EXACT_MATCH"

@@ -72,9 +72,9 @@ def impute_missing(
     bucket: Column | None = None,
 ) -> DataFrame:
     if strategy in ("ffill", "bfill"):
-        if not order:
-            raise ValueError("directional fill needs an explicit order")
-        return fill_directional(df, keys or [], order, column, bucket if bucket is not None else F.lit(0), strategy == "bfill")
+        if not order or bucket is None:
+            raise ValueError("directional fill needs an explicit order and a bucket of it")
+        return fill_directional(df, keys or [], order, column, bucket, strategy == "bfill")
     value = fill_value(df, column, strategy, constant).cast(df.schema[column].dataType)
     return df.withColumn(column, F.coalesce(F.col(column), value))
 

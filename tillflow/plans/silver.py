@@ -37,9 +37,14 @@ def _trim(*cols: str) -> dict[str, Column]:
     return {c: F.trim(c) for c in cols}
 
 
+def _parsed(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Timestamps from the text columns that the source has."""
+    return {c: parse_timestamp(c) for c in columns if c in df.columns}
+
+
 def _total_order(df: DataFrame, first: list[str] | None = None) -> list[Column]:
-    """Order by the stated columns, then by all others: equal rows are the only ties left."""
-    first = first or []
+    """Order by the stated columns that exist, then by all others: equal rows are the only ties left."""
+    first = [c for c in first or [] if c in df.columns]
     return [F.col(c).asc_nulls_last() for c in [*first, *[c for c in df.columns if c not in first]]]
 
 
@@ -168,10 +173,12 @@ def delivery_fields(purchased: Column, delivered: Column, estimated: Column) ->
 
 def orders(raw: DataFrame, valid_customers: DataFrame) -> DataFrame:
     times = ["order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date"]
+    others = ["order_approved_at", "order_delivered_carrier_date"]
     clean = raw.withColumns(_trim("order_id", "customer_id")).withColumns(
-        {"order_status": F.lower(F.trim("order_status")), **{c: parse_timestamp(c) for c in times}}
+        {"order_status": F.lower(F.trim("order_status")), **_parsed(raw, [*times, *others])}
     )
     clean = clean.withColumns(delivery_fields(*[F.col(c) for c in times]))
+    # A line number, where the source has one, says which copy came first.
     unique = keep_one(clean, ["order_id"], _total_order(clean, ["_line"])).drop("_line")
     checked = probe(unique, valid_customers, {"customer_id": "customer_id"}, "_customer_exists")
     bought, delivered = F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
@@ -194,7 +201,7 @@ def order_items(raw: DataFrame, valid_orders: DataFrame, valid_products: DataFra
         {
             **_trim("order_id", "product_id", "seller_id"),
             "order_item_id": F.col("order_item_id").try_cast("int"),
-            "shipping_limit_date": parse_timestamp("shipping_limit_date"),
+            **_parsed(raw, ["shipping_limit_date"]),
             "price": price,
             "freight_value": cost,
             "total_item_amount": (price + cost).cast("decimal(12,2)"),
@@ -246,6 +253,7 @@ def reviews(raw: DataFrame, valid_orders: DataFrame) -> DataFrame:
     clean = raw.withColumns(_trim("review_id", "order_id", "review_comment_title", "review_comment_message")).withColumn(
         "review_score", F.col("review_score").try_cast("int")
     )
+    clean = clean.withColumns(_parsed(raw, ["review_creation_date", "review_answer_timestamp"]))
     unique = keep_one(clean, ["review_id", "order_id"], _total_order(clean))
     checked = probe(unique, valid_orders, {"order_id": "order_id"}, "_order")
     return flag(

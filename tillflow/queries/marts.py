@@ -8,6 +8,8 @@ from .. import views
 from ..functions.dates import date_key
 from ..functions.keys import surrogate_key
 from ..functions.numbers import ratio
+from ..operators.reconcile import column_tests as tests
+from ..operators.reconcile import revenue_reconciliation
 from ..plans import marts
 from .registry import query, table
 from .sqlbits import CUSTOMERS, HEADERS, ITEMS, LINES, PRODUCTS, SELLERS, big, dbl, mean_money
@@ -147,13 +149,7 @@ def revenue_reconcile(spark, sf):
     """Source items against a target that lacks the pending orders, so that a variance shows."""
     items = views.order_items(spark, sf)
     open_orders = views.order_headers(spark, sf).filter(F.col("order_status") != "P").select("order_id")
-    return marts_reconcile(items, items.join(open_orders, "order_id"))
-
-
-def marts_reconcile(source, target):
-    from ..operators.reconcile import revenue_reconciliation
-
-    return revenue_reconciliation(source, target)
+    return revenue_reconciliation(items, items.join(open_orders, "order_id"))
 
 
 @query(
@@ -169,8 +165,6 @@ def marts_reconcile(source, target):
     UNION ALL SELECT 'non_negative:total_item_value', {big('neg')}, neg = 0 FROM q""",
 )
 def column_tests(spark, sf):
-    from ..operators.reconcile import column_tests as tests
-
     return tests(
         views.order_items(spark, sf),
         key=["order_id", "order_item_id"],

@@ -153,9 +153,6 @@ def issue_rows(spark, sf):
 
 
 # The cleaned copy: copies removed, amount filled with 0.
-CLEANED_SCORE = SCORE
-
-
 @query(
     "quality_delta",
     f"""WITH {DIRTY}, {SCORE}, a AS (SELECT * FROM scored),
