@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, mixing, piece_tokens, quality, sharding, token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,20 @@ FROM documents d JOIN g ON g.t = coalesce(d.text, '')"""
 @query("op10_exact_dedup", EXACT_SQL)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(documents(spark, sf_dir))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of an installed vocabulary file; every node has the same package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op1_piece_tokens")
+def op1_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
