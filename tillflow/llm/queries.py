@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_tokens, quality, sharding, token_files
+from . import exact_dedup, mixing, piece_tokens, quality, sharding, simhash, token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,8 @@ def op1_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir))
