@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_tokens, quality, sharding, simhash, token_files
+from . import exact_dedup, mixing, piece_tokens, quality, sharding, simhash, substring_dedup, token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -135,3 +135,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
+
+
+SUBSTRING_SQL = rf"""
+WITH t AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+runs AS (
+  SELECT doc_id, i, count(*) OVER d AS n, string_agg(word, ' ') OVER d AS run
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+firsts AS (SELECT run, min(doc_id) AS least FROM runs WHERE n = 13 GROUP BY run),
+hits AS (SELECT r.doc_id, r.i FROM runs r JOIN firsts f ON f.run = r.run WHERE r.n = 13 AND f.least < r.doc_id),
+marked AS (
+  SELECT words.doc_id, words.i, word, max(CASE WHEN hits.i IS NULL THEN 0 ELSE 1 END)
+    OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN hits ON hits.doc_id = words.doc_id AND hits.i = words.i),
+kept AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS s FROM marked GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
+
+@query("op6_substring_dedup", SUBSTRING_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir), with_text=False).drop("kept_text")
