@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_tokens, quality, sharding, simhash, substring_dedup, token_files
+from . import exact_dedup, language_id, mixing, piece_tokens, quality, sharding, simhash, substring_dedup, token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -157,3 +157,8 @@ FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 @query("op6_substring_dedup", SUBSTRING_SQL)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), with_text=False).drop("kept_text")
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
