@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, piece_tokens, quality, sharding, simhash, substring_dedup, token_files
+from . import exact_dedup, html_text, language_id, mixing, piece_tokens, quality, sharding, simhash, substring_dedup, token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -162,3 +162,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
