@@ -15,8 +15,13 @@ ESCAPE = 0
 PAYLOAD = 60
 
 
+_SHORT = np.array([max(1, i.bit_length()) for i in range(1 << 16)], dtype=np.uint8)
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, at least one."""
+    if int(ids.max(initial=0)) < len(_SHORT):
+        return _SHORT[ids]
     out = np.ones(len(ids), dtype=np.uint8)
     for bit in range(1, int(ids.max(initial=0)).bit_length()):
         out += ids >> np.uint64(bit) > 0
@@ -40,6 +45,8 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             choice[room >= count] = selector
             continue
         fits = bits <= width
+        if np.count_nonzero(fits) < count:
+            continue
         done = 1  # fits[i] tells of the ids i to i + done - 1
         while done < count and fits.any():
             step = min(done, count - done)

@@ -36,6 +36,8 @@ BLOCK_IDS = 1 << 17
 #: Units that a worker process remembers from batch to batch, and units in one call of the library.
 MEMO_UNITS = 900_000
 TOGETHER = 200
+#: White space other than the space and the line feed.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<long>, counts binary, offsets binary, words binary"
 
 
@@ -74,26 +76,32 @@ class UnitTokenizer:
     def units_of(self, text: str) -> list[str] | None:
         """Units without their leading space; None if the text has other white space, repeats or special tokens."""
         spread = text.replace("\n", " \n")
-        if not text or "\n \n" in spread or "  " in spread or spread[0] == " " or spread[-1] in " \n" or any(s in text for s in self.special):
+        if not text or "\n \n" in spread or "  " in spread or spread[0] == " " or spread[-1] in " \n" or any(c in text for c in OTHER_SPACE) or any(x in text for x in self.special):
             return None
-        units, words = spread.split(" "), text.split()
-        return units if len(units) == len(words) and sum(map(len, words)) + len(words) - 1 == len(text) else None
+        return spread.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
         cut = [self.units_of(t) for t in texts]
         # The first unit of a text has no space before it; it is known by the form after a line feed.
         for units in cut:
             if units is not None:
                 units[0] = "\n" + units[0]
-        memo = self.memo
-        new = list({u for u in chain.from_iterable(u for u in cut if u is not None) if u not in memo})
-        memo.update(zip(new, self.units([u if u[:1] == "\n" else " " + u for u in new])))
+        # One look into the memo per unit; the places of unknown units are filled in afterwards.
+        get = self.memo.get
+        found = [None if units is None else list(map(get, units)) for units in cut]
+        gaps = [[] if ids is None or None not in ids else [i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = list({units[i] for units, places in zip(cut, gaps) for i in places})
+        learned = dict(zip(new, self.units([u if u[:1] == "\n" else " " + u for u in new])))
+        for units, ids, places in zip(cut, found, gaps):
+            for i in places:
+                ids[i] = learned[units[i]]
+        if len(self.memo) > MEMO_UNITS:
+            # Units that came back are worth keeping; the rest makes room.
+            self.memo = {u: x for units, ids in zip(cut, found) if ids is not None for u, x in zip(units, ids) if u not in learned}
+        self.memo.update(learned)
         rest = iter(self.whole([t for t, u in zip(texts, cut) if u is None]))
-        get = memo.__getitem__
-        return [next(rest) if units is None else b"".join(map(get, units))[4:] for units in cut]
+        return [next(rest) if ids is None else b"".join(ids)[4:] for ids in found]
 
 
 _tokenizers: dict[str, UnitTokenizer] = {}
