@@ -97,8 +97,7 @@ class UnitTokenizer:
             for i in places:
                 ids[i] = learned[units[i]]
         if len(self.memo) > MEMO_UNITS:
-            # Units that came back are worth keeping; the rest makes room.
-            self.memo = {u: x for units, ids in zip(cut, found) if ids is not None for u, x in zip(units, ids) if u not in learned}
+            self.memo.clear()
         self.memo.update(learned)
         rest = iter(self.whole([t for t, u in zip(texts, cut) if u is None]))
         return [next(rest) if ids is None else b"".join(ids)[4:] for ids in found]
