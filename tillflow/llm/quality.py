@@ -33,7 +33,6 @@ REPEAT_PERCENT = 20
 WINDOW = 5
 #: Rows of the sample on which cost and selectivity are measured; results do not depend on it.
 SAMPLE_ROWS = 500
-SAMPLE_FRACTION = 0.05
 
 
 def repeat_words(words: Column, size: int = WINDOW) -> Column:
@@ -104,7 +103,8 @@ def measured(sample: DataFrame, text_col: str, rules: Sequence[Rule]) -> list[tu
 
 def ordered(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> list[Rule]:
     """Rules by rejection per cost on a bounded sample, largest first."""
-    sample = materialize(docs.select(text_col).sample(SAMPLE_FRACTION, seed=7).limit(SAMPLE_ROWS), "quality-sample")
+    share = min(1.0, 2 * SAMPLE_ROWS / max(docs.count(), 1))
+    sample = materialize(docs.select(text_col).sample(share, seed=7).limit(SAMPLE_ROWS), "quality-sample")
     return [rule for rule, cost, share in sorted(measured(sample, text_col, rules), key=lambda x: -x[2] / max(x[1], 1e-6))]
 
 
