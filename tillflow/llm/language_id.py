@@ -34,6 +34,8 @@ TRAIN_WORDS = 48_000
 HIDDEN = 12
 EMBED = 8
 EPOCHS = 2
+#: A small sample is gone through more often, up to this many batches.
+LEAST_BATCHES = 400
 BATCH = 256
 LONG = 24
 GROUP = 8_192
@@ -152,6 +154,7 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], epochs:
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
     order = np.argsort([len(w) for w in words], kind="stable")
     batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+    epochs = max(epochs, -(-LEAST_BATCHES // len(batches)))
     total = epochs * len(batches)
     for _ in range(epochs):
         for b in rng.permutation(len(batches)).tolist():

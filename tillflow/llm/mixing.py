@@ -53,7 +53,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     after = walk.rowsBetween(W.currentRow, W.unboundedFollowing)
     wanted = F.lit(total) * F.sum("source_size").over(W.partitionBy())
     table = table.withColumn("level", (wanted - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(W.partitionBy())
+    # The level rises while sources are capped and falls after the first that is not: its largest value counts.
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(W.partitionBy())
     full = F.col("cap").cast("double")
     return table.select("source", "source_size", F.least(full, F.coalesce(level * F.col("weight"), full)).alias("target"))
 

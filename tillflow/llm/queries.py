@@ -86,7 +86,7 @@ l AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / (sum(weight) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lv
   FROM w WINDOW p AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source NULLS LAST)),
-g AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT min(lv) FROM l WHERE lv * weight <= cap) * weight, cap::DOUBLE)) AS target FROM l),
+g AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT max(lv) FROM l WHERE lv * weight <= cap) * weight, cap::DOUBLE)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio FROM g),
 u AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.source, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest,
