@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import let, words_of
+from .words import grouped, let, words_of
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 120
@@ -217,10 +217,10 @@ class Labeller:
             np.add.at(sums, np.array([owner[i] for i in group]), np.concatenate((found, found.sum(axis=1, keepdims=True)), axis=1))
         self.sums = np.concatenate((self.sums, sums))
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if len(self.number) > MEMO_WORDS:
             self.number, self.sums = {}, self.sums[:0]
-        cut = [(t or "").split() for t in texts]
+        cut = [t.split() for t in texts]
         known = self.number
         self.learn(list(dict.fromkeys(w for words in cut for w in words if w not in known)))
         languages, scores = [], []
@@ -248,7 +248,8 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
             _labellers.clear()
             _labellers[key] = Labeller(network)
         for batch in batches:
-            languages, scores = _labellers[key].label(batch.column("text").to_pylist())
+            found = [_labellers[key].label(group) for group in grouped([t or "" for t in batch.column("text").to_pylist()])]
+            languages, scores = [x for f in found for x in f[0]], [x for f in found for x in f[1]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -31,10 +31,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import grouped
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 #: Units that a worker process remembers from batch to batch.
-MEMO_UNITS = 600_000
+MEMO_UNITS = 500_000
 #: Units that are encoded together; longer ones than LONG go one by one.
 TOGETHER = 40_000
 LONG = 64
@@ -282,7 +284,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
         for batch in batches:
-            found = model.digests([t or "" for t in batch.column("text").to_pylist()])
+            found = [d for group in grouped([t or "" for t in batch.column("text").to_pylist()]) for d in model.digests(group)]
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tillflow.session import shared_dir
 
 from .simple8b import pack, unpack
+from .words import grouped
 
 BLOCK_IDS = 1 << 17
 #: Units that a worker process remembers from batch to batch, and units in one call of the library.
@@ -121,7 +122,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
         context = TaskContext.get()
         part, block = context.partitionId() if context else 0, 0
         for batch in batches:
-            encoded = [e + end for e in tokenizer.encode([t or "" for t in batch.column("text").to_pylist()])]
+            encoded = [e + end for group in grouped([t or "" for t in batch.column("text").to_pylist()]) for e in tokenizer.encode(group)]
             ids = batch.column("doc_id").to_pylist()
             lengths = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
             first = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,3 +24,20 @@ def word_count(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value to a name inside one expression, so that it is computed once per row."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Characters of text that a worker cuts into words at a time.
+GROUP_CHARS = 4_000_000
+
+
+def grouped(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts in groups of about `limit` characters; every text is whole and in one group."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
