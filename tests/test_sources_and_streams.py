@@ -236,3 +236,32 @@ def test_batch_run_over_csv_files(spark, tmp_path):
     assert [(float(r.total_item_value), r.order_date_key, r.delivery_days, r.is_delayed) for r in fact] == [(115.5, 20180101, 8, False), (50.0, 20180101, 8, False)]
     assert run.read("gold", "dim_product").first().product_category_name == "toys"
     assert reports["reconciliation"].first().reconciliation_status == "EXACT_MATCH"
+
+
+def test_late_routing_keeps_events_without_a_time(spark, tmp_path):
+    from tillflow.streaming import orders as so
+
+    root, handle = str(tmp_path), so.route_late(str(tmp_path))
+    rows = [[("a", "2024-01-01 10:00:00"), ("b", None)], [("c", "2024-01-01 09:00:00"), ("d", "2024-01-01 10:05:00"), ("e", None)]]
+    for number, batch in enumerate(rows):
+        handle(spark.createDataFrame(batch, "event_id string, t string").selectExpr("event_id", "CAST(t AS timestamp) AS event_timestamp"), number)
+    found = {kind: sorted(r["event_id"] for r in spark.read.parquet(f"{root}/{kind}").collect()) for kind in ("on_time", "late", "undated")}
+    assert found == {"on_time": ["a", "d"], "late": ["c"], "undated": ["b", "e"]}
+
+
+def test_histogram_of_one_price(spark):
+    from tillflow.plans.baskets import price_histogram
+
+    rows = price_histogram(spark.createDataFrame([(5.0,), (5.0,), (None,)], "price double"), "price", 10).collect()
+    assert sorted((r["bucket"], r["items"]) for r in rows if r["bucket"] is not None) == [(1, 2)]
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine():
+    from tillflow.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError):
+        shared_dir(type("S", (), {"conf": Conf()})(), "x")

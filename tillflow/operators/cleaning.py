@@ -199,10 +199,12 @@ def apply_recipe(df: DataFrame, recipe: list[dict]) -> tuple[DataFrame, list[dic
     for number, step in enumerate(recipe, start=1):
         action, params = step.get("action"), step.get("params", {})
         entry = {"step": number, "action": action, "error": None}
+        if action not in STEPS:
+            entry["error"] = "unknown operation"
+            history.append(entry)
+            continue
         try:
             df = STEPS[action](df, **params)
-        except KeyError:
-            entry["error"] = "unknown operation"
         except Exception as exc:  # noqa: BLE001 - the message goes into the history
             entry["error"] = str(exc).splitlines()[0]
         history.append(entry)

@@ -16,8 +16,10 @@ def price_histogram(items: DataFrame, column: str, buckets: int) -> DataFrame:
     bounds = items.agg(F.struct(F.min(price).alias("lo"), F.max(price).alias("hi")).alias("b")).scalar()
     quart = column_quantiles(items.select(price.alias("price")), ["price"], [0.25, 0.5, 0.75]).select("q").scalar()
     placed = items.withColumn("_b", bounds)
-    place = F.floor((price - F.col("_b.lo")) * buckets / (F.col("_b.hi") - F.col("_b.lo"))) + 1
-    hist = placed.groupBy(F.least(place, F.lit(buckets)).alias("bucket")).agg(
+    # One constant price has no width: all its rows are in the first bucket.
+    share = F.coalesce(F.try_divide((price - F.col("_b.lo")) * buckets, F.col("_b.hi") - F.col("_b.lo")), F.lit(0.0))
+    place = F.when(price.isNotNull(), F.least(F.floor(share) + 1, F.lit(buckets)))
+    hist = placed.groupBy(place.alias("bucket")).agg(
         F.count(F.lit(1)).alias("items"), F.sum(column).cast("double").alias("revenue")
     )
     return hist.withColumn("_q", quart).select(

@@ -274,10 +274,10 @@ def silver_geo(spark, sf):
     return silver.centroids(lake_of(spark, sf).valid("geolocation"))
 
 
-@query("geo_centroid", f"WITH {GEO} SELECT geolocation_zip_code_prefix, geolocation_state, geolocation_city, latitude, longitude, _coordinate_samples_count AS samples FROM centroid WHERE _coordinate_samples_count > 1")
+@query("geo_centroid", f"WITH {GEO} SELECT geolocation_zip_code_prefix, geolocation_state, geolocation_city, latitude, longitude, _coordinate_samples_count AS samples FROM centroid")
 def geo_centroid(spark, sf):
     out = silver.centroids(lake_of(spark, sf).valid("geolocation"))
-    return out.withColumnRenamed("_coordinate_samples_count", "samples").filter(F.col("samples") > 1)
+    return out.withColumnRenamed("_coordinate_samples_count", "samples")
 
 
 @query(

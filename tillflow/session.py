@@ -54,5 +54,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(os.environ.get("TILLFLOW_SCRATCH", "/tmp"), "tillflow")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -133,4 +133,4 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """First 16 hex digits of the SHA-256 of each file's bytes."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.substring(F.sha2("content", 256), 1, 16).alias("fingerprint"))
+    return files.select("path", "length", F.sha2("content", 256).alias("fingerprint"))

@@ -242,7 +242,8 @@ def micro_batch(root: str):
 
 def route_late(root: str):
     """Batch handler that sends events older than the newest seen so far minus ten minutes to their
-    own quarantine. The newest event time is kept per batch, so a retry compares with the same mark."""
+    own quarantine, and events without a time to another. The newest event time is kept per batch, so a
+    retry compares with the same mark."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         overwrite_batch(batch, f"{root}/incoming", batch_id)
@@ -252,8 +253,10 @@ def route_late(root: str):
             seen = spark.read.parquet(f"{root}/marks").filter(F.col("batch_id") < batch_id)
             mark = seen.agg(F.max("newest")).first()[0]
         late = F.lit(False) if mark is None else F.col("event_timestamp") < F.lit(mark) - F.expr(f"interval {LATE_SECONDS} seconds")
-        overwrite_batch(events.filter(~late), f"{root}/on_time", batch_id)
-        overwrite_batch(events.filter(late), f"{root}/late", batch_id)
+        dated = F.col("event_timestamp").isNotNull()
+        overwrite_batch(events.filter(dated & ~late), f"{root}/on_time", batch_id)
+        overwrite_batch(events.filter(dated & late), f"{root}/late", batch_id)
+        overwrite_batch(events.filter(~dated), f"{root}/undated", batch_id)
         overwrite_batch(events.agg(F.max("event_timestamp").alias("newest")), f"{root}/marks", batch_id)
 
     return handle
