@@ -54,7 +54,9 @@ def plan(df):
 def test_scans_read_only_what_is_needed(spark, sf):
     text = plan(QUERIES["regional_sales"](spark, sf))
     assert "l_shipdate" not in text and "BatchEvalPython" not in text and "CartesianProduct" not in text
-    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,200000.0)]" in plan(QUERIES["parquet_scan"](spark, sf))
+    scan = QUERIES["parquet_scan"](spark, sf)
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan(scan)
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,200000.0)]" in plan(scan.filter("o_totalprice > 200000"))
 
 
 @pytest.mark.parametrize("key", ["regional_sales", "daily_sales", "product_performance", "customer_value", "executive_kpis", "basket_pairs", "profile_columns", "record_diff"])

@@ -207,16 +207,15 @@ def trend_overlay(a: DataFrame, b: DataFrame, moment_a: str, moment_b: str, valu
 # Change in percent that makes a metric fact important, score change worth a fact.
 HIGH_IMPACT_PCT = 10.0
 SCORE_CHANGE = 0.1
-METRIC_FACTS = 3
 
 
-def comparison_facts(compared: DataFrame, quality: DataFrame, metrics: list[str]) -> DataFrame:
-    """Fact rows of a comparison: volume, the first metrics in order, quality."""
+def comparison_facts(compared: DataFrame, quality: DataFrame, metrics: list[str], first: int | None = None) -> DataFrame:
+    """Fact rows of a comparison: volume, all metrics (or the first few, for a short report), quality."""
     volume = compared.limit(1).filter(F.col("rows_a") != F.col("rows_b")).select(
         F.lit("volume").alias("type"), F.lit("rows").alias("subject"), (F.col("rows_b") - F.col("rows_a")).cast("double").alias("difference"),
         F.col("rows_pct").alias("change_pct"), F.lit("High").alias("impact"),
     )
-    metric = compared.filter(F.col("column").isin(metrics[:METRIC_FACTS]) & (F.col("sum_diff") != 0)).select(
+    metric = compared.filter(F.col("column").isin(metrics[:first]) & (F.col("sum_diff") != 0)).select(
         F.lit("metric").alias("type"), F.col("column").alias("subject"), F.col("sum_diff").alias("difference"), F.col("sum_pct").alias("change_pct"),
         F.when(F.abs("sum_pct") > HIGH_IMPACT_PCT, "High").otherwise("Medium").alias("impact"),
     )

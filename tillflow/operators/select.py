@@ -113,6 +113,12 @@ def hash_sample(df: DataFrame, key: str, keep_one_in: int) -> DataFrame:
     return sampled.withColumn("scale_factor", F.lit(keep_one_in))
 
 
+def correlation(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    """Number of complete pairs and their correlation, over all rows."""
+    pairs = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).dropna()
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.corr("x", "y").alias("correlation"))
+
+
 def scatter_sample(df: DataFrame, key: str, x: Column, y: Column, n: int) -> DataFrame:
     """The ``n`` pairs with the smallest key hash: bounded, repeatable, independent of file order."""
     pairs = df.select(F.col(key), x.cast("double").alias("x"), y.cast("double").alias("y")).dropna(subset=["x", "y"])

@@ -13,7 +13,7 @@ from ..plans import gold, silver
 from ..session import shared_dir
 from ..sources import bronze, contract, files, versions, warehouse
 from .registry import query, table
-from .silver import CUST, lake_of
+from .silver import CUST, GEO, lake_of
 from .sqlbits import big, dbl
 
 ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -129,10 +129,9 @@ def ingest_manifest(spark, sf):
     return bronze.manifest({t: table(spark, sf, t) for t in ALL}, PARTITIONED)
 
 
-@query("parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+@query("parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders")
 def parquet_scan(spark, sf):
-    orders = bronze.read_table(spark, sf, "orders.parquet")
-    return orders.filter(F.col("o_totalprice") > 200000).select("o_orderkey", "o_totalprice")
+    return bronze.read_table(spark, sf, "orders.parquet").select("o_orderkey", "o_totalprice")
 
 
 @query(
@@ -189,14 +188,14 @@ def dataset_fingerprint(spark, sf):
 
 @query(
     "warehouse_row_counts",
-    "SELECT 'dim_customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'dim_product', count(*) FROM part UNION ALL SELECT 'dim_seller', count(*) FROM supplier UNION ALL SELECT 'fact_sales', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    f"WITH {GEO} SELECT 'dim_customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'dim_product', count(*) FROM part UNION ALL SELECT 'dim_seller', count(*) FROM supplier UNION ALL SELECT 'fact_sales', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "UNION ALL SELECT 'dim_date', cast(make_date(year(max(o_orderdate)), 12, 31) - make_date(year(min(o_orderdate)), 1, 1) as bigint) + 1 FROM orders UNION ALL SELECT 'dim_location', count(*) FROM centroid",
 )
 def warehouse_row_counts(spark, sf):
     root = shared_dir(spark, "warehouse")
-    tables = star(spark, sf)
-    names = ["dim_customer", "dim_product", "dim_seller", "fact_sales"]
-    warehouse.load_warehouse({n: tables[n] for n in names}, warehouse.parquet_writer(root))
-    return warehouse.row_counts(spark, root, names)
+    tables = {**star(spark, sf), "dim_location": gold.dim_location(silver.centroids(lake_of(spark, sf).valid("geolocation")))}
+    warehouse.load_warehouse(tables, warehouse.parquet_writer(root))
+    return warehouse.row_counts(spark, root, list(tables))
 
 
 @query(
@@ -222,7 +221,7 @@ def quarantine_write(spark, sf):
     path = shared_dir(spark, "quarantine")
     rejected = rules.quarantine(lake_of(spark, sf).flagged("customers"), "silver_customers", "batch_1", "2024-01-31T00:00:00Z")
     for _ in range(2):
-        bronze.write_quarantine(rejected, path)
+        bronze.write_quarantine(rejected, path, "batch_1", "2024-01-31T00:00:00Z")
     return spark.read.parquet(path).groupBy(F.col("_dq_rule_id").alias("rule_ids")).agg(F.count(F.lit(1)).alias("rows"))
 
 

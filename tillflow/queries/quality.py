@@ -121,7 +121,7 @@ def quality_score_simple(spark, sf):
     return profile.simple_score(dirty(spark, sf))
 
 
-REASON = "concat_ws(' | ', CASE WHEN {m} > 0 THEN 'Missing values in: ' || array_to_string(list_slice(list_filter([{names}], lambda x: x IS NOT NULL), 1, 3), ', ') END, CASE WHEN n > 1 THEN 'Duplicate row' END)".format(
+REASON = "concat_ws(' | ', CASE WHEN {m} > 0 THEN 'Missing values in: ' || array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ', ') END, CASE WHEN n > 1 THEN 'Duplicate row' END)".format(
     m=f"({MISSING})", names=", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in COLUMNS)
 )
 

@@ -56,7 +56,7 @@ def clock(c):
 @query(
     "fact_to_events",
     f"""WITH {LINES} SELECT sha256(cast(order_id as varchar) || '||' || cast(order_item_id as varchar)) AS event_id, strftime(purchased_at, {TS}) AS event_timestamp, cast(order_id as varchar) AS order_id, order_item_id,
-    substr(sha256(cast(customer_id as varchar) || '||v1'), 1, 32) AS customer_id, {dbl('item_price')} AS price, {dbl('freight_value')} AS freight_value, order_status FROM lines""",
+    sha256(cast(customer_id as varchar) || '||v1') AS customer_id, {dbl('item_price')} AS price, {dbl('freight_value')} AS freight_value, order_status FROM lines""",
 )
 def fact_to_events(spark, sf):
     lines = views.order_items(spark, sf).join(views.order_headers(spark, sf), "order_id")
@@ -149,22 +149,23 @@ def stream_dedup(spark, sf):
     return out.select("event_id", "order_id", F.col("total_amount").cast("double").alias("total_amount"))
 
 
-@query("stream_sliding")
+def last_parts(spark, sf, name, slide, keys):
+    """Update mode: every batch writes the (window, order) parts it changed; the last state of each counts."""
+    root = shared_dir(spark, name)
+    parts = so.order_parts(so.deduplicate(rules.valid(checked(spark, sf, True))), slide, keys)
+    so.run_batches(parts, lambda df, batch_id: so.overwrite_batch(df, f"{root}/data", batch_id), f"{root}/checkpoint", "update")
+    newest = W.partitionBy("w", "order_id", *keys).orderBy(F.col("batch_id").desc())
+    return spark.read.parquet(f"{root}/data").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
+
+
+@query("stream_sliding", f"WITH {EV} {windowed_sql(SLIDES, 'order_status,')} GROUP BY w, order_status")
 def stream_sliding(spark, sf):
-    """Update mode: every batch writes the windows it changed; the last state of each is the result."""
-    root = shared_dir(spark, "stream_sliding")
-    windows = so.sliding(so.deduplicate(rules.valid(checked(spark, sf, True))))
-    so.run_batches(windows, lambda df, batch_id: so.overwrite_batch(df, f"{root}/data", batch_id), f"{root}/checkpoint", "update")
-    newest = W.partitionBy("window_start", "order_status").orderBy(F.col("batch_id").desc())
-    states = spark.read.parquet(f"{root}/data").withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
-    return shown(states.drop("_rn", "batch_id"))
+    return shown(so.fold_parts(last_parts(spark, sf, "stream_sliding", so.SLIDE, ["order_status"]), ["order_status"]))
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", f"WITH {EV} {windowed_sql(TUMBLES, '')} GROUP BY w")
 def stream_tumbling(spark, sf):
-    """Append mode: a window appears once, when the watermark has passed its end."""
-    stream = so.tumbling(so.deduplicate(rules.valid(checked(spark, sf, True))))
-    return shown(sink(spark, stream, "stream_tumbling"))
+    return shown(so.fold_parts(last_parts(spark, sf, "stream_tumbling", so.WINDOW, []), []))
 
 
 @query("stream_foreach_batch", f"WITH {EV}, k AS ({KPI_SQL.split(EV)[1]}) SELECT valid_events AS silver_rows, quarantined_events AS quarantine_rows, gross_revenue, unique_orders FROM k")

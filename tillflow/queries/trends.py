@@ -17,29 +17,38 @@ from .sqlbits import CUSTOMERS, HEADERS, ITEMS, LINES, PRODUCTS, SELLERS, big, d
 
 # Orders without those of every June, so that the calendar has gaps to fill.
 GAPPED = "gapped AS (SELECT o_orderdate AS d, cast(o_totalprice as decimal(12,2)) AS v, o_custkey FROM orders WHERE month(o_orderdate) <> 6)"
+WHOLE = "whole AS (SELECT o_orderdate AS d, cast(o_totalprice as decimal(12,2)) AS v, o_custkey FROM orders)"
 
 
-def series_sql(unit: str, step: str, bucket: str | None = None) -> str:
+def series_sql(unit: str, step: str, bucket: str | None = None, rows: str = "gapped") -> str:
     bucket = bucket or f"cast(date_trunc('{unit}', d) as date)"
-    return f"""{GAPPED}, b AS (SELECT {bucket} AS period, sum(v) AS s, avg(v) AS a, count(v) AS c, min(v) AS lo, max(v) AS hi, median(v::double) AS md FROM gapped GROUP BY 1),
+    return f"""{GAPPED if rows == 'gapped' else WHOLE}, b AS (SELECT {bucket} AS period, sum(v) AS s, avg(v) AS a, count(v) AS c, min(v) AS lo, max(v) AS hi, median(v::double) AS md FROM {rows} GROUP BY 1),
     spine AS (SELECT cast(unnest(generate_series((SELECT min(period) FROM b)::timestamp, (SELECT max(period) FROM b)::timestamp, INTERVAL {step})) as date) AS period),
     t AS (SELECT period, coalesce(s, 0) AS value, a, coalesce(c, 0) AS c, lo, hi, md FROM spine LEFT JOIN b USING (period))"""
 
 
 MONTHLY = series_sql("month", "1 MONTH")
+WHOLE_MONTHLY = series_sql("month", "1 MONTH", rows="whole")
 WEEK_BUCKET = "cast(date_trunc('week', d - INTERVAL 1 DAY) as date) + 7"
 GROWTH = "CASE WHEN {b} = 0 THEN NULL ELSE cast(value - {b} as double) / cast({b} as double) * 100.0 END"
 
 
+def whole(spark, sf):
+    return views.order_headers(spark, sf).select("purchased_at", "order_amount", "customer_id")
+
+
 def gapped(spark, sf):
-    orders = views.order_headers(spark, sf).filter(F.month("purchased_at") != 6)
-    return orders.select("purchased_at", "order_amount", "customer_id")
+    return whole(spark, sf).filter(F.month("purchased_at") != 6)
 
 
 def monthly(spark, sf):
     return ts.resample(gapped(spark, sf), "purchased_at", "order_amount", "monthly")
 
 
+def whole_monthly(spark, sf):
+    return ts.resample(whole(spark, sf), "purchased_at", "order_amount", "monthly")
+
+
 @query(
     "resample_monthly",
     f"""WITH {MONTHLY} SELECT period, strftime(period, '%b %Y') AS period_label, {dbl('value')} AS total, round({dbl('a')}, 4) AS average, c AS orders,
@@ -84,16 +93,16 @@ def ts_pop_growth(spark, sf):
 
 @query(
     "ts_rolling3",
-    f"WITH {MONTHLY} SELECT period, round(avg(value::double) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rolling_3_avg FROM t",
+    f"WITH {WHOLE_MONTHLY} SELECT period, round(avg(value::double) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rolling_3_avg FROM t",
 )
 def ts_rolling3(spark, sf):
-    series = monthly(spark, sf).withColumn("value", F.col("value").cast("double"))
+    series = whole_monthly(spark, sf).withColumn("value", F.col("value").cast("double"))
     return ts.with_growth(series, "monthly").select("period", F.round("rolling_3_avg", 2).alias("rolling_3_avg"))
 
 
-@query("ts_cumulative", f"WITH {MONTHLY} SELECT period, {dbl('sum(value) OVER (ORDER BY period)')} AS cumulative_total FROM t")
+@query("ts_cumulative", f"WITH {WHOLE_MONTHLY} SELECT period, {dbl('sum(value) OVER (ORDER BY period)')} AS cumulative_total FROM t")
 def ts_cumulative(spark, sf):
-    return ts.with_growth(monthly(spark, sf), "monthly").select("period", F.col("cumulative_total").cast("double").alias("cumulative_total"))
+    return ts.with_growth(whole_monthly(spark, sf), "monthly").select("period", F.col("cumulative_total").cast("double").alias("cumulative_total"))
 
 
 @query("ts_yoy", f"WITH {MONTHLY}, l AS (SELECT *, lag(value, 12) OVER (ORDER BY period) AS b FROM t) SELECT period, round({GROWTH.format(b='b')}, 6) AS yoy_growth_pct FROM l")
@@ -103,22 +112,22 @@ def ts_yoy(spark, sf):
 
 @query(
     "peak_period",
-    f"""WITH {MONTHLY}, l AS (SELECT *, lag(value) OVER (ORDER BY period) AS b FROM t), g AS (SELECT *, {GROWTH.format(b='b')} AS g FROM l)
+    f"""WITH {WHOLE_MONTHLY}, l AS (SELECT *, lag(value) OVER (ORDER BY period) AS b FROM t), g AS (SELECT *, {GROWTH.format(b='b')} AS g FROM l)
     SELECT (SELECT period FROM t ORDER BY value DESC, period LIMIT 1) AS peak, {dbl('max(value)')} AS peak_value, max(period) AS latest_period,
     round((SELECT g FROM g ORDER BY period DESC LIMIT 1), 6) AS latest_growth_pct FROM g""",
 )
 def peak_period(spark, sf):
-    out = ts.peak_period(monthly(spark, sf))
+    out = ts.peak_period(whole_monthly(spark, sf))
     return out.withColumns({"peak_value": F.col("peak_value").cast("double"), "latest_growth_pct": F.round("latest_growth_pct", 6)})
 
 
 @query(
     "quarter_vs_target",
-    f"""WITH {series_sql('quarter', '3 MONTH')} SELECT year(period) || 'Q' || quarter(period) AS quarter, {dbl('value')} AS actual,
+    f"""WITH {series_sql('quarter', '3 MONTH', rows='whole')} SELECT year(period) || 'Q' || quarter(period) AS quarter, {dbl('value')} AS actual,
     round({dbl('value')} * 0.92, 2) AS target FROM t""",
 )
 def quarter_vs_target(spark, sf):
-    return quarter_targets(ts.resample(gapped(spark, sf), "purchased_at", "order_amount", "quarterly"), 0.92)
+    return quarter_targets(ts.resample(whole(spark, sf), "purchased_at", "order_amount", "quarterly"), 0.92)
 
 
 def quarter_targets(series, factor):
@@ -129,7 +138,7 @@ def quarter_targets(series, factor):
 
 @query(
     "forecast_linear",
-    f"""WITH {MONTHLY}, x AS (SELECT row_number() OVER (ORDER BY period) - 1 AS t, value::double AS v, period FROM t),
+    f"""WITH {WHOLE_MONTHLY}, x AS (SELECT row_number() OVER (ORDER BY period) - 1 AS t, value::double AS v, period FROM t),
     f AS (SELECT regr_slope(v, t) AS m, regr_intercept(v, t) AS c, count(*) AS n, max(period) AS last FROM x),
     s AS (SELECT stddev_pop(v - (m * t + c)) AS sd FROM x, f),
     h AS (SELECT unnest([1, 2, 3]) AS step), p AS (SELECT step, last, sd, m, greatest(0.0, m * (n - 1 + step) + c) AS y FROM f, s, h)
@@ -137,19 +146,19 @@ def quarter_targets(series, factor):
     CASE WHEN m > 0 THEN 'Upward' ELSE 'Downward' END AS trend FROM p""",
 )
 def forecast_linear(spark, sf):
-    out = ts.forecast(monthly(spark, sf), 3)
+    out = ts.forecast(whole_monthly(spark, sf), 3)
     return out.withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper")})
 
 
 @query(
     "anomaly_zscore",
-    f"""WITH {MONTHLY}, m AS (SELECT period, value::double AS v, avg(value::double) OVER () AS mu, stddev_samp(value::double) OVER () AS sd FROM t),
+    f"""WITH {WHOLE_MONTHLY}, m AS (SELECT period, value::double AS v, avg(value::double) OVER () AS mu, stddev_samp(value::double) OVER () AS sd FROM t),
     z AS (SELECT *, (v - mu) / sd AS z FROM m) SELECT period, CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS type,
     CASE WHEN z > 2.8 OR z < -2.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, v AS observed, round(mu, 2) AS expected,
     round((v - mu) / mu * 100.0, 6) AS deviation_pct, round(z, 6) AS z FROM z WHERE z > 2.0 OR z < -1.8""",
 )
 def anomaly_zscore(spark, sf):
-    out = ts.zscore_anomalies(monthly(spark, sf))
+    out = ts.zscore_anomalies(whole_monthly(spark, sf))
     return out.withColumns({"expected": F.round("expected", 2), "deviation_pct": F.round("deviation_pct", 6), "z": F.round("z", 6)})
 
 

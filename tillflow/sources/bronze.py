@@ -21,9 +21,10 @@ def audit_columns(df: DataFrame, system: str, version: str, ingested_at: str, so
     )
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Idempotent overwrite; partitioned tables replace only the partitions they bring.
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, only_brought: bool = False) -> None:
+    """Idempotent overwrite of a whole table, so that a rerun with fewer partitions leaves none behind.
 
+    With ``only_brought`` a partitioned table keeps the partitions that the rows do not name.
     Rows are rebalanced by the partition columns first: adaptive execution splits a large partition
     over several tasks and packs small ones, so the number of files follows the data and not
     tasks times partitions.
@@ -32,7 +33,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("compression", "snappy")
     if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic" if only_brought else "static").partitionBy(*partition_by)
     writer.parquet(path)
 
 
@@ -77,10 +78,10 @@ def manifest(tables: dict[str, DataFrame], partitions: dict[str, str]) -> DataFr
     )
 
 
-def write_quarantine(rejected: DataFrame, path: str) -> None:
-    """Partition by rejection date and batch: replaying a batch replaces its own rows, an empty batch
-    writes nothing."""
-    write_table(rejected, path, ["_rejection_date", "_processing_batch_id"])
+def write_quarantine(rejected: DataFrame, path: str, batch_id: str, rejected_at: str) -> None:
+    """One folder per rejection date and batch: replaying a batch replaces its own rows, also by none."""
+    own = f"{path}/_rejection_date={rejected_at[:10]}/_processing_batch_id={batch_id}"
+    write_table(rejected.drop("_rejection_date", "_processing_batch_id"), own)
 
 
 def append_history(records: DataFrame, path: str) -> None:

@@ -28,18 +28,22 @@ def normalize_header(df: DataFrame) -> DataFrame:
 
 
 def sanitize_names(names: list[str | None]) -> list[str]:
-    """Names without control characters, blanks replaced, cut at 128, repeats numbered."""
+    """Names without control characters, blanks replaced, at most 128 characters, repeats numbered.
+
+    A number that makes a taken name is passed over, and the name is cut to leave room for it. Names
+    differ beyond their case, as Spark resolves columns without regard to it.
+    """
     out: list[str] = []
-    seen: dict[str, int] = {}
+    taken: set[str] = set()
     for position, name in enumerate(names, start=1):
         clean = CONTROL.sub("", (name or "").strip()).strip() or f"unnamed_column_{position}"
-        clean = clean[:MAX_NAME]
-        if clean in seen:
-            seen[clean] += 1
-            out.append(f"{clean}_{seen[clean]}")
-        else:
-            seen[clean] = 0
-            out.append(clean)
+        free, number = clean[:MAX_NAME], 0
+        while free.lower() in taken:
+            number += 1
+            suffix = f"_{number}"
+            free = clean[: MAX_NAME - len(suffix)] + suffix
+        taken.add(free.lower())
+        out.append(free)
     return out
 
 
@@ -131,6 +135,6 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of each file's bytes."""
+    """SHA-256 of each file's bytes."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("fingerprint"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .bronze import write_table
 
 
@@ -39,8 +40,20 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str) -
 
 
 def backfill(recomputed: DataFrame, path: str, partition: str, first, last) -> None:
-    """Replace the partitions of a range; partitions outside stay untouched."""
-    write_table(recomputed.filter(F.col(partition).between(first, last)), path, [partition])
+    """Replace the partitions of a range, also those that now have no rows; partitions outside stay untouched.
+
+    The rows are stored first, so they may come from the table itself. What is collected are partition values.
+    """
+    spark, inside = recomputed.sparkSession, F.col(partition).between(first, last)
+    staged = materialize(recomputed.filter(inside), "backfill")
+    write_table(staged, path, [partition], only_brought=True)
+
+    def values(df: DataFrame) -> set:
+        return {r[0] for r in df.select(partition).distinct().collect()}
+
+    for value in values(spark.read.schema(staged.schema).parquet(path).filter(inside)) - values(staged):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def save_version(df: DataFrame, root: str, dataset: str, version: int, recipe: list[dict]) -> None:

@@ -30,8 +30,8 @@ WINDOW, SLIDE = "10 minutes", "5 minutes"
 
 def fact_to_events(fact: DataFrame) -> DataFrame:
     """Sales fact rows as JSON events: the id is a hash of order and item, so replays repeat it."""
-    def short(c: str, unknown: str) -> Column:
-        return F.substring(F.coalesce(F.col(c).cast("string"), F.lit(unknown)), 1, 32)
+    def known(c: str, unknown: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(unknown))
 
     fields = F.struct(
         event_id(F.col("order_id"), F.col("order_item_id")).alias("event_id"),
@@ -39,9 +39,9 @@ def fact_to_events(fact: DataFrame) -> DataFrame:
         F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss").alias("event_timestamp"),
         F.col("order_id").cast("string").alias("order_id"),
         F.col("order_item_id").cast("int").alias("order_item_id"),
-        short("customer_key", "cust_unknown").alias("customer_id"),
-        short("product_key", "prod_unknown").alias("product_id"),
-        short("seller_key", "seller_unknown").alias("seller_id"),
+        known("customer_key", "cust_unknown").alias("customer_id"),
+        known("product_key", "prod_unknown").alias("product_id"),
+        known("seller_key", "seller_unknown").alias("seller_id"),
         F.coalesce(F.col("item_price").cast("double"), F.lit(0.0)).alias("price"),
         F.coalesce(F.col("freight_value").cast("double"), F.lit(0.0)).alias("freight_value"),
         F.coalesce(F.col("order_item_quantity").cast("int"), F.lit(1)).alias("quantity"),
@@ -95,17 +95,6 @@ def deduplicate(valid: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return valid.dropDuplicates(["event_id"])
 
 
-def _measures(distinct_orders: Column) -> list[Column]:
-    return [
-        F.count("event_id").alias("events_count"),
-        distinct_orders.alias("unique_orders_count"),
-        F.sum("quantity").alias("total_units_sold"),
-        F.sum("price").alias("total_product_revenue"),
-        F.sum("freight_value").alias("total_freight_revenue"),
-        F.sum("total_amount").alias("total_gross_revenue"),
-    ]
-
-
 def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     amounts = ("total_product_revenue", "total_freight_revenue", "total_gross_revenue")
     return df.select(
@@ -121,21 +110,19 @@ def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def sliding(events: DataFrame) -> DataFrame:
-    """10-minute windows every 5 minutes per status. An event counts in two windows, so sums over
-    windows are not totals. Distinct orders are exact on a batch and approximate on a stream."""
-    distinct = F.approx_count_distinct("order_id") if events.isStreaming else F.count_distinct("order_id")
-    keys = [F.window("event_timestamp", WINDOW, SLIDE).alias("w"), F.col("order_status")]
-    return _finish(events.groupBy(*keys).agg(*_measures(distinct)), ["order_status"])
-
+def order_parts(events: DataFrame, slide: str, keys: list[str]) -> DataFrame:
+    """Sums per (window, order): small enough to merge later, so distinct orders stay exact.
 
-def tumbling(events: DataFrame) -> DataFrame:
-    """10-minute windows without overlap and with exact distinct orders, on streams as well: events
-    are first folded per (window, order), then per window."""
-    per_order = events.groupBy(F.window("event_timestamp", WINDOW).alias("w"), "order_id").agg(
+    On a stream this is the only stateful fold; its states are read back and folded by ``fold_parts``.
+    """
+    return events.groupBy(F.window("event_timestamp", WINDOW, slide).alias("w"), "order_id", *keys).agg(
         F.count("event_id").alias("n"), F.sum("quantity").alias("q"), F.sum("price").alias("p"), F.sum("freight_value").alias("f"), F.sum("total_amount").alias("g")
     )
-    folded = per_order.groupBy(F.window(F.window_time("w"), WINDOW).alias("w") if events.isStreaming else F.col("w")).agg(
+
+
+def fold_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Window totals from parts that hold every (window, order) once."""
+    folded = parts.groupBy("w", *keys).agg(
         F.sum("n").alias("events_count"),
         F.count("order_id").alias("unique_orders_count"),
         F.sum("q").alias("total_units_sold"),
@@ -143,7 +130,23 @@ def tumbling(events: DataFrame) -> DataFrame:
         F.sum("f").alias("total_freight_revenue"),
         F.sum("g").alias("total_gross_revenue"),
     )
-    return _finish(folded, [])
+    return _finish(folded, keys)
+
+
+def merge_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of several batches, each over its own events, as one part per (window, order)."""
+    return parts.groupBy("w", "order_id", *keys).agg(*[F.sum(c).alias(c) for c in ("n", "q", "p", "f", "g")])
+
+
+def sliding(events: DataFrame) -> DataFrame:
+    """10-minute windows every 5 minutes per status. An event counts in two windows, so sums over
+    windows are not totals."""
+    return fold_parts(order_parts(events, SLIDE, ["order_status"]), ["order_status"])
+
+
+def tumbling(events: DataFrame) -> DataFrame:
+    """10-minute windows without overlap."""
+    return fold_parts(order_parts(events, WINDOW, []), [])
 
 
 def kpis(checked: DataFrame) -> DataFrame:
