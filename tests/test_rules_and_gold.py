@@ -56,6 +56,16 @@ def test_keep_one_is_independent_of_row_order(spark):
         assert rows(keep_one(df, ["customer_id"], [F.col("seen")]), "customer_id", "state") == [("c1", "SP"), ("c2", "MG")]
 
 
+def test_rows_without_a_key_are_rejected_one_by_one(spark):
+    from tillflow.operators import rules
+    from tillflow.plans import silver
+
+    data = [(None, "u", "1", "x", "SP"), (None, "u", "1", "x", "SP"), (" ", "u", "1", "x", "SP"), ("c1", "u", "1", "x", "SP"), ("c1", "u", "1", "x", "SP")]
+    raw = spark.createDataFrame(data, "customer_id string, customer_unique_id string, customer_zip_code_prefix string, customer_city string, customer_state string")
+    counts = rules.metrics(silver.customers(raw), "customers").first()
+    assert (counts.input_count, counts.valid_count, counts.quarantined_count) == (4, 1, 3)
+
+
 def test_keep_one_limits_a_hot_key_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     plan = keep_one(df, ["k"], [F.col("v")])._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,16 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") == 1).drop("_rn")
 
 
+def keep_one_keyed(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """As ``keep_one``, but every row with a NULL or blank key part stays.
+
+    Nothing says that such rows are copies of one another; rules reject and count them one by one. They
+    bypass the window, so however many there are, none is shuffled.
+    """
+    blank = reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) == "" for k in keys])
+    return keep_one(df.filter(~blank), keys, order).unionByName(df.filter(blank))
+
+
 def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Keys that occur more than once with their count, combined on the map side."""
     keys = keys or df.columns

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_timestamp, year_month
 from ..functions.numbers import money
 from ..functions.text import required
-from ..operators.dedup import keep_one
+from ..operators.dedup import keep_one_keyed
 from ..operators.integrity import probe
 from ..operators.rules import Rule, flag, valid
 from ..raw import STATES
@@ -50,7 +50,7 @@ def _total_order(df: DataFrame, first: list[str] | None = None) -> list[Column]:
 
 def categories(raw: DataFrame) -> DataFrame:
     clean = raw.withColumns(_trim("product_category_name", "product_category_name_english"))
-    unique = keep_one(clean, ["product_category_name"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["product_category_name"], _total_order(clean))
     return flag(
         unique,
         [
@@ -64,7 +64,7 @@ def customers(raw: DataFrame) -> DataFrame:
     clean = raw.withColumns(_trim("customer_id", "customer_unique_id", "customer_zip_code_prefix")).withColumns(
         {"customer_city": F.initcap(F.trim("customer_city")), "customer_state": F.upper(F.trim("customer_state"))}
     )
-    unique = keep_one(clean, ["customer_id"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["customer_id"], _total_order(clean))
     return flag(
         unique,
         [
@@ -79,7 +79,7 @@ def sellers(raw: DataFrame) -> DataFrame:
     clean = raw.withColumns(_trim("seller_id", "seller_zip_code_prefix")).withColumns(
         {"seller_city": F.initcap(F.trim("seller_city")), "seller_state": F.upper(F.trim("seller_state"))}
     )
-    unique = keep_one(clean, ["seller_id"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["seller_id"], _total_order(clean))
     return flag(
         unique,
         [
@@ -107,7 +107,7 @@ def products(raw: DataFrame, valid_categories: DataFrame) -> DataFrame:
         "product_volume_cm3",
         volume(F.col("product_length_cm"), F.col("product_height_cm"), F.col("product_width_cm")),
     )
-    unique = keep_one(clean, ["product_id"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["product_id"], _total_order(clean))
     lookup = valid_categories.select(
         F.col("product_category_name").alias("product_category_name_pt"), "product_category_name_english"
     )
@@ -179,7 +179,7 @@ def orders(raw: DataFrame, valid_customers: DataFrame) -> DataFrame:
     )
     clean = clean.withColumns(delivery_fields(*[F.col(c) for c in times]))
     # A line number, where the source has one, says which copy came first.
-    unique = keep_one(clean, ["order_id"], _total_order(clean, ["_line"])).drop("_line")
+    unique = keep_one_keyed(clean, ["order_id"], _total_order(clean, ["_line"])).drop("_line")
     checked = probe(unique, valid_customers, {"customer_id": "customer_id"}, "_customer_exists")
     bought, delivered = F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     return flag(
@@ -207,7 +207,7 @@ def order_items(raw: DataFrame, valid_orders: DataFrame, valid_products: DataFra
             "total_item_amount": (price + cost).cast("decimal(12,2)"),
         }
     )
-    unique = keep_one(clean, ["order_id", "order_item_id"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["order_id", "order_item_id"], _total_order(clean))
     checked = probe(unique, valid_orders, {"order_id": "order_id"}, "_order", carry=["order_year_month"])
     checked = probe(checked, valid_products, {"product_id": "product_id"}, "_product")
     checked = probe(checked, valid_sellers, {"seller_id": "seller_id"}, "_seller")
@@ -236,7 +236,7 @@ def payments(raw: DataFrame, valid_orders: DataFrame) -> DataFrame:
             "payment_value": money(F.col("payment_value")),
         }
     )
-    unique = keep_one(clean, ["order_id", "payment_sequential"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["order_id", "payment_sequential"], _total_order(clean))
     checked = probe(unique, valid_orders, {"order_id": "order_id"}, "_order")
     return flag(
         checked,
@@ -254,7 +254,7 @@ def reviews(raw: DataFrame, valid_orders: DataFrame) -> DataFrame:
         "review_score", F.col("review_score").try_cast("int")
     )
     clean = clean.withColumns(_parsed(raw, ["review_creation_date", "review_answer_timestamp"]))
-    unique = keep_one(clean, ["review_id", "order_id"], _total_order(clean))
+    unique = keep_one_keyed(clean, ["review_id", "order_id"], _total_order(clean))
     checked = probe(unique, valid_orders, {"order_id": "order_id"}, "_order")
     return flag(
         checked,

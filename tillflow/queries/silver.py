@@ -131,7 +131,7 @@ ORD = (
       CASE WHEN o_orderkey % 83 <> 0 THEN cast(bought as timestamp) END AS purchased,
       CASE WHEN o_orderstatus <> 'O' THEN cast(bought + days as timestamp) END AS delivered,
       cast(bought + 30 as timestamp) AS estimated, o_orderkey * 2 + cp AS line FROM ord_b),
-    ord_d AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY line) AS rn FROM ord_c),
+    ord_d AS (SELECT *, row_number() OVER (PARTITION BY order_id, CASE WHEN order_id = '' THEN line END ORDER BY line) AS rn FROM ord_c),
     ord AS (SELECT ord_d.*, strftime(purchased, '%Y-%m') AS order_year_month, cast(datediff('day', purchased, delivered) as integer) AS delivery_days,
       CASE WHEN delivered > estimated THEN true WHEN delivered IS NOT NULL THEN false END AS is_delayed,
       cv.customer_id IS NOT NULL AS customer_exists
