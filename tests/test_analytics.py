@@ -15,7 +15,7 @@ from tillflow.functions.text import mask_secrets, spreadsheet_safe
 from tillflow.operators import cleaning, compare, drill, kpis, profile, schema_infer, select
 from tillflow.operators import timeseries as ts
 from tillflow.operators.fill import fill_directional
-from tillflow.operators.ranking import exact_quantiles, half_split, head_sums
+from tillflow.operators.ranking import exact_quantiles, half_split, head_sums, numbered
 
 DIRTY = [
     (1, " Alice ", "HR", 50000.0, "2020-01-01", "X"),
@@ -145,6 +145,40 @@ def test_half_split_matches_a_sort(spark, n):
     assert (out.rows, out.first_sum, out.second_sum) == (n, sum(ordered[: n // 2]), sum(ordered[n // 2 :]))
 
 
+def test_half_split_by_text_ids_and_missing_ties(spark):
+    rng = random.Random(8)
+    for days in (1, 3):
+        data = [(dt.date(2020, 1, 1 + rng.randrange(days)), rng.choice([None, f"{rng.getrandbits(60):015x}"]), rng.randint(-50, 100)) for _ in range(301)]
+        out = half_split(spark.createDataFrame(data, "d date, k string, v bigint").repartition(6), "d", "k", "v").first()
+        ordered = [v for _, _, _, v in sorted((d, k is not None, k or "", v) for d, k, v in data)]
+        assert (out.rows, out.first_sum, out.second_sum) == (301, sum(ordered[:150]), sum(ordered[150:]))
+    assert half_split(spark.createDataFrame([], "d date, k string, v bigint"), "d", "k", "v").count() == 0
+
+
+def test_values_far_from_zero_are_cut(spark):
+    df = spark.range(1_700_000_000, 1_700_020_000, 1, 4).selectExpr("'a' AS g", "CAST(id AS double) AS v", "id")
+    assert list(exact_quantiles(df, ["g"], "v", [0.0, 0.37, 0.5, 1.0]).first().q) == pytest.approx([1.7e9, 1.7e9 + 0.37 * 19_999, 1.7e9 + 9999.5, 1.7e9 + 19_999], abs=1e-6)
+    assert head_sums(df, "id", {"few": F.lit(7)}).first().few_sum == sum(range(1_700_020_000 - 7, 1_700_020_000))
+
+
+def test_numbered_is_a_total_order(spark):
+    rng = random.Random(9)
+    data = [(rng.randint(0, 20), f"n{i:04d}") for i in range(400)]
+    out = numbered(spark.createDataFrame(data, "v int, name string").repartition(7), [F.col("v").desc(), F.col("name").asc()])
+    assert [r.name for r in out.orderBy("rank").collect()] == [n for _, n in sorted(data, key=lambda x: (-x[0], x[1]))]
+    assert sorted(r.rank for r in out.collect()) == list(range(1, 401))
+
+
+def test_alerts_for_returns_and_a_low_score(spark):
+    data = [(1, 100.0, 5.0, "a", "x"), (2, -30.0, 1.0, "b", "y"), (3, 90.0, 4.0, "c", "z")]
+    df = spark.createDataFrame(data, "id int, revenue double, profit double, account string, category string")
+    args = (df, ["id"], "revenue", "profit", "account", "category")
+    low = {r.alert: r.value for r in kpis.business_alerts(*args, score=F.lit(62.5)).collect()}
+    fine = {r.alert for r in kpis.business_alerts(*args, score=F.lit(80.0)).collect()}
+    assert (low["negative_revenue"], low["low_quality_score"]) == (1.0, 62.5)
+    assert "negative_revenue" in fine and "low_quality_score" not in fine and "low_quality_score" not in {r.alert for r in kpis.business_alerts(*args).collect()}
+
+
 def test_half_split_growth(spark):
     data = [(dt.date(2023, 1, i + 1), i, 100 if i < 3 else 200) for i in range(6)]
     out = compare.period_compare(spark.createDataFrame(data, "d date, k int, v int"), "d", "k", "v").first()

@@ -16,12 +16,11 @@ def leader(df: DataFrame, group: str, value: Column) -> DataFrame:
 
 
 def rank_groups(df: DataFrame, group: str, value: Column) -> DataFrame:
-    """Groups by descending sum, ties by name. The window numbers one row per group."""
-    from pyspark.sql import Window as W
+    """Groups by descending sum, ties by name; there may be as many groups as accounts."""
+    from .ranking import numbered
 
     totals = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(value).alias("revenue"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("revenue").desc(), F.col(group))
-    return totals.withColumn("rank", F.row_number().over(order))
+    return numbered(totals, [F.col("revenue").desc(), F.col(group).asc()])
 
 
 def month_share(df: DataFrame, month: str, value: Column) -> DataFrame:
@@ -44,8 +43,8 @@ CATEGORY_LIMIT = 60.0
 SCORE_LIMIT = 80.0
 
 
-def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, account: str, category: str) -> DataFrame:
-    """Alert rows for missing, duplicate and negative rows and for concentration.
+def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, account: str, category: str, score: Column | None = None) -> DataFrame:
+    """Alert rows for missing, duplicate and negative rows, for concentration and for a low quality score.
 
     Row-level counts ride along with the per-key fold that finds duplicates, account and category
     totals with their own folds; the three one-row results meet as scalars.
@@ -59,10 +58,11 @@ def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, ac
         F.count(F.lit(1)).alias("n"),
         flag(F.col(revenue).isNull() | F.col(profit).isNull()).alias("missing"),
         flag(F.col(profit) < 0).alias("losses"),
+        flag(F.col(revenue) < 0).alias("refunds"),
         F.sum(revenue).alias("total"),
     )
     rows = per_key.agg(
-        F.sum(F.col("n") - 1).alias("duplicates"), F.sum("missing").alias("missing"), F.sum("losses").alias("losses"), F.sum("total").alias("total")
+        F.sum(F.col("n") - 1).alias("duplicates"), F.sum("missing").alias("missing"), F.sum("losses").alias("losses"), F.sum("refunds").alias("refunds"), F.sum("total").alias("total")
     )
 
     def largest(group: str) -> Column:
@@ -72,6 +72,7 @@ def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, ac
         {
             "account_pct": F.round(percent_or_zero(largest(account), F.col("total")), 6),
             "category_pct": F.round(percent_or_zero(largest(category), F.col("total")), 6),
+            "score": score if score is not None else F.lit(None).cast("double"),
         }
     )
     return alert_rows(
@@ -80,6 +81,8 @@ def business_alerts(df: DataFrame, key: list[str], revenue: str, profit: str, ac
             ("WARNING", "missing_values", F.col("missing"), F.col("missing") > 0),
             ("WARNING", "duplicate_rows", F.col("duplicates"), F.col("duplicates") > 0),
             ("WARNING", "negative_profit", F.col("losses"), F.col("losses") > 0),
+            ("WARNING", "negative_revenue", F.col("refunds"), F.col("refunds") > 0),
+            ("WARNING", "low_quality_score", F.col("score"), F.col("score") < SCORE_LIMIT),
             ("WARNING", "account_concentration", F.col("account_pct"), F.col("account_pct") > ACCOUNT_LIMIT),
             ("WARNING", "category_concentration", F.col("category_pct"), F.col("category_pct") > CATEGORY_LIMIT),
         ],

@@ -3,8 +3,11 @@
 A rank over a whole table would need one global sort window. The operators here need only the
 rows around the wanted rank. Values are counted in monotone bins (a few thousand per octave, combined
 on the map side); a running sum over the bins, whose number does not grow with the rows, tells which
-bin holds the rank; only that bin's distinct values are then counted and walked. Every step is exact,
-ties included, and a value shared by a third of the rows is one counted value.
+bin holds the rank; only that bin's distinct values are then counted and walked, cut by cut. Every step is
+exact, ties included, and a value shared by a third of the rows is one counted value.
+
+Orders of any type (text ids, several columns) are cut by ``repartitionByRange`` instead, stored once with the
+number of the range, so that positions follow from one row per range.
 """
 
 from __future__ import annotations
@@ -13,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BINS_PER_OCTAVE = 4096
 _OCTAVES = 1100
+#: Even cuts of the values of one bin; numbers far from zero may all share a bin.
+CUTS = 4096
 
 
 def value_bin(value: Column) -> Column:
@@ -33,6 +40,42 @@ def finite(value: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
 
 
+def running_counts(counted: DataFrame, keys: list[str], value: str, down: bool = False) -> DataFrame:
+    """``counted`` (one row per keys and value, with ``_c``) with ``_run``: the counts up to and with the value.
+
+    The span of the values of a key is cut evenly and summed per cut first, so one task walks one cut only.
+    """
+    v = F.col(value).cast("double")
+    edges = counted.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    place = F.when(F.col("_high") > F.col("_low"), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * CUTS)).otherwise(F.lit(0))
+    placed = counted.join(edges, keys).withColumn("_cut", place.cast("bigint"))
+
+    def direction(name: str) -> Column:
+        return F.col(name).desc() if down else F.col(name).asc()
+
+    before = W.partitionBy(*keys).orderBy(direction("_cut")).rowsBetween(W.unboundedPreceding, -1)
+    cuts = placed.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_w"))
+    cuts = cuts.select(*keys, "_cut", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*keys, "_cut").orderBy(direction(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = F.col("_start") + F.sum("_c").over(inside)
+    return placed.join(cuts, [*keys, "_cut"]).withColumn("_run", run).drop("_low", "_high", "_cut", "_start")
+
+
+def ranged(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` stored with ``_part``: all rows of a smaller part come before those of a larger one."""
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the position of every row from 1 in a total order; no task sees more than one range."""
+    placed = ranged(df, order, "numbered")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return placed.join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles per key: ``keys..., n, q`` with ``q`` in the order of ``probs``.
 
@@ -63,8 +106,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     near = rows.join(F.broadcast(targets), [*keys, "_bin"])
     counted = near.groupBy(*keys, "_bin", "_before", "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    walk = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = counted.withColumn("_to", F.col("_before") + F.sum("_c").over(walk))
+    counted = running_counts(counted, [*keys, "_bin"], "_v").withColumn("_to", F.col("_before") + F.col("_run"))
     counted = counted.withColumn("_from", F.col("_to") - F.col("_c"))
     picks = []
     for i, p in enumerate(probs):
@@ -117,8 +159,8 @@ def head_sums(df: DataFrame, value: str, heads: dict[str, Column]) -> DataFrame:
     near = rows.join(F.broadcast(cut), "_bin")
     by_head = ["head", "k", "n", "total", "_before", "_sum_before"]
     counted = near.groupBy(*by_head, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    walk = W.partitionBy("head").orderBy(F.col("_v").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = counted.withColumn("_rest", F.col("k") - F.col("_before") - F.sum("_c").over(walk) + F.col("_c"))
+    counted = running_counts(counted, ["head"], "_v", down=True)
+    counted = counted.withColumn("_rest", F.col("k") - F.col("_before") - F.col("_run") + F.col("_c"))
     taken = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_rest")))
     solved = counted.groupBy(*by_head).agg(F.sum(F.col("_v") * taken).alias("_part"))
     solved = solved.withColumn("s", F.col("_sum_before") + F.col("_part"))
@@ -133,11 +175,11 @@ def half_split(df: DataFrame, moment: str, tie: str, value: str) -> DataFrame:
     """Sums of the first ``n // 2`` rows and of the rest, in the order (day of moment, tie, value).
 
     Days are summed first and walked by a running total (their number is bounded by the calendar).
-    Only the boundary day is looked into, by bins of the tie column, and only the boundary bin of
-    that day is walked by distinct (tie, value).
+    Only the boundary day is looked into: its distinct (tie, value) are cut into ranges, so ties may be of any
+    type that has an order, and only the boundary range is walked. NULL ties come first in their day.
     """
     rows = df.filter(F.col(moment).isNotNull()).select(
-        F.to_date(moment).alias("_d"), F.col(tie).alias("_t"), F.coalesce(F.col(value), F.lit(0)).alias("_v"), value_bin(F.col(tie)).alias("_b")
+        F.to_date(moment).alias("_d"), F.col(tie).alias("_t"), F.coalesce(F.col(value), F.lit(0)).alias("_v")
     )
     everything = W.partitionBy(F.lit(0))
 
@@ -145,27 +187,26 @@ def half_split(df: DataFrame, moment: str, tie: str, value: str) -> DataFrame:
         running = everything.orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
         return grouped.withColumns({"_to": F.sum("_c").over(running), "_sum_to": F.sum("_s").over(running)})
 
-    def count_by(frame: DataFrame, by: str) -> DataFrame:
-        return cumulate(frame.groupBy(by).agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s")), by)
-
-    days = count_by(rows, "_d").withColumns({"_n": F.sum("_c").over(everything), "_all": F.sum("_s").over(everything)})
-    days = days.withColumn("_half", F.floor(F.col("_n") / 2))
-
-    def cut(frame: DataFrame, by: str, need: Column, extra: list[str]) -> DataFrame:
+    def cut(frame: DataFrame, by: str, need: Column, extra: list[str]) -> Column:
         fields = F.struct(
             F.col(by).alias("at"), (F.col("_to") - F.col("_c")).alias("before"), (F.col("_sum_to") - F.col("_s")).alias("sum"), *extra
         )
-        return frame.filter(F.col("_to") >= need).agg(F.min_by(fields, F.col(by)).alias("cut"))
+        return frame.filter(F.col("_to") >= need).agg(F.min_by(fields, F.col(by)).alias("cut")).scalar()
 
     # Each cut is one row. It joins a frame as one scalar column, so its plan appears only where needed.
-    d = cut(days, "_d", F.col("_half"), ["_n", "_all", "_half"]).scalar()
-    bins = count_by(rows.filter(F.col("_d") == d["at"]), "_b").withColumn("_day", d)
+    days = cumulate(rows.groupBy("_d").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s")), "_d")
+    days = days.withColumns({"_n": F.sum("_c").over(everything), "_all": F.sum("_s").over(everything)})
+    days = days.withColumn("_half", F.floor(F.col("_n") / 2))
+    found = rows.sparkSession.range(1).select(cut(days, "_d", F.col("_half"), ["_n", "_all", "_half"]).alias("_day"))
+    d = materialize(found, "half-split-day").scalar()
+    day = rows.filter(F.col("_d") == d["at"]).groupBy("_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    day = ranged(day, [F.col("_t"), F.col("_v")], "half-split")
+    parts = day.groupBy("_part").agg(F.sum("_c").alias("_c"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    parts = cumulate(parts, "_part").withColumn("_day", d)
     need = F.col("_day._half") - F.col("_day.before")
-    spot = F.struct(F.col("_day.at").alias("_d"), F.col("_b"))
-    b = cut(bins.withColumns({"_spot": spot, "_need": need}), "_b", need, ["_spot", "_need", "_day"]).scalar()
-    last = rows.filter(F.struct("_d", "_b") == b["_spot"]).groupBy("_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    b = cut(parts.withColumn("_need", need), "_part", need, ["_need", "_day"])
     walk = everything.orderBy("_t", "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = last.withColumn("_bin", b)
+    last = day.filter(F.col("_part") == b["at"]).withColumn("_bin", b)
     last = last.withColumn("_rest", F.col("_bin._need") - F.col("_bin.before") - F.sum("_c").over(walk) + F.col("_c"))
     taken = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_rest")))
     part = last.agg(F.sum(F.col("_v") * taken).alias("_part"), F.first("_bin").alias("_bin"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent, percent_or_zero
-from ..operators.ranking import column_quantiles, head_sums
+from ..operators.ranking import column_quantiles, head_sums, numbered
 
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 INACTIVE_DAYS = 180
@@ -50,15 +49,15 @@ def inactivity(last_seen: DataFrame) -> DataFrame:
 
 
 def segment_summary(grouped: DataFrame, group: str) -> DataFrame:
-    """Share, margin and rank of each segment. ``grouped`` has one row per segment with revenue,
-    profit, quantity and transactions; segments are few, so the ranking window is small."""
-    whole = W.partitionBy(F.lit(0))
-    rank = F.row_number().over(whole.orderBy(F.col("revenue").desc(), F.col(group)))
-    return grouped.select(
+    """Share, margin and rank of each segment. ``grouped`` has one row per segment (category, region or account)
+    with revenue, profit, quantity and transactions."""
+    ranked = numbered(grouped, [F.col("revenue").desc(), F.col(group).asc()])
+    total = ranked.agg(F.sum("revenue")).scalar()
+    return ranked.select(
         group,
-        rank.alias("rank"),
+        "rank",
         F.col("revenue").cast("double").alias("revenue"),
-        F.round(percent(F.col("revenue"), F.sum("revenue").over(whole)), 6).alias("share_pct"),
+        F.round(percent(F.col("revenue"), total), 6).alias("share_pct"),
         F.col("profit").cast("double").alias("profit"),
         F.round(percent(F.col("profit"), F.col("revenue")), 6).alias("margin_pct"),
         F.col("transactions"),

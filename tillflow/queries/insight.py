@@ -353,13 +353,14 @@ def record_diff(spark, sf):
     return compare.record_diff(a, b, "o_orderkey", "o_orderkey", [("o_orderstatus", "o_orderstatus")], ["o_orderstatus"], ["o_orderstatus"])
 
 
-@query(
-    "category_shift",
-    f"""WITH {ITEMS}, {PRODUCTS}, t AS (SELECT category, item_price, year(delivered_at) AS y FROM items JOIN products USING (product_id)),
+SHIFT = f"""WITH {ITEMS}, {PRODUCTS}, t AS (SELECT category, item_price, year(delivered_at) AS y FROM items JOIN products USING (product_id)),
     a AS (SELECT category, {dbl('sum(item_price)')} AS v FROM t WHERE y = 1996 AND category <> 'PROMO' GROUP BY 1), b AS (SELECT category, {dbl('sum(item_price)')} AS v FROM t WHERE y = 1997 AND category <> 'SMALL' GROUP BY 1),
     j AS (SELECT coalesce(a.category, b.category) AS category, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y, CASE WHEN a.v IS NULL THEN 'New in B' WHEN b.v IS NULL THEN 'Only in A' ELSE 'Common' END AS status
-      FROM a FULL JOIN b ON a.category = b.category) SELECT category, x AS value_a, y AS value_b, round(y - x, 2) AS shift, round({pct_delta('x', 'y')}, 6) AS growth_pct, status FROM j""",
-)
+      FROM a FULL JOIN b ON a.category = b.category),
+    s AS (SELECT category, x AS value_a, y AS value_b, round(y - x, 2) AS shift, round({pct_delta('x', 'y')}, 6) AS growth_pct, status FROM j)"""
+
+
+@query("category_shift", f"{SHIFT} SELECT * FROM s")
 def category_shift(spark, sf):
     joined = views.order_items(spark, sf).join(views.products(spark, sf), "product_id")
     a = joined.filter((F.year("delivered_at") == 1996) & (F.col("category") != "PROMO"))
@@ -368,6 +369,11 @@ def category_shift(spark, sf):
     return out.withColumns({"shift": F.round("shift", 2), "growth_pct": F.round("growth_pct", 6)})
 
 
+@query("category_growth_top", f"{SHIFT} SELECT * FROM s ORDER BY growth_pct DESC, category LIMIT 3")
+def category_growth_top(spark, sf):
+    return compare.top_growing(category_shift(spark, sf))
+
+
 @query(
     "dimension_compare",
     f"""WITH {ITEMS}, {PRODUCTS}, t AS (SELECT category, item_price FROM items JOIN products USING (product_id)),

@@ -207,7 +207,7 @@ def period_compare(spark, sf):
 
 @query(
     "segment_rank",
-    f"""WITH {HEADERS}, {CUSTOMERS} SELECT segment, {dbl('sum(order_amount)')} AS revenue, cast(row_number() OVER (ORDER BY sum(order_amount) DESC, segment) as integer) AS rank
+    f"""WITH {HEADERS}, {CUSTOMERS} SELECT segment, {dbl('sum(order_amount)')} AS revenue, row_number() OVER (ORDER BY sum(order_amount) DESC, segment) AS rank
     FROM headers JOIN customers USING (customer_id) GROUP BY segment""",
 )
 def segment_rank(spark, sf):
@@ -326,22 +326,39 @@ def fill_direction(spark, sf):
 # --- summaries ---------------------------------------------------------------------------------
 
 
-@query(
-    "segment_summary",
-    f"""WITH {ITEMS}, {PRODUCTS}, g AS (SELECT category, sum(total_item_value) AS revenue, sum(item_price - freight_value) AS profit, count(*) AS transactions, sum(quantity) AS quantity
-    FROM items JOIN products USING (product_id) GROUP BY 1) SELECT category, cast(row_number() OVER (ORDER BY revenue DESC, category) as integer) AS rank, {dbl('revenue')} AS revenue,
+def summary_sql(group: str, joins: str, tables: str) -> str:
+    return f"""WITH {tables}, g AS (SELECT {group}, sum(total_item_value) AS revenue, sum(item_price - freight_value) AS profit, count(*) AS transactions, sum(quantity) AS quantity
+    FROM {joins} GROUP BY 1) SELECT {group}, row_number() OVER (ORDER BY revenue DESC, {group}) AS rank, {dbl('revenue')} AS revenue,
     round(100.0 * {dbl('revenue')} / {dbl('sum(revenue) OVER ()')}, 6) AS share_pct, {dbl('profit')} AS profit, round(100.0 * {dbl('profit')} / {dbl('revenue')}, 6) AS margin_pct,
-    transactions, quantity FROM g""",
-)
-def segment_summary(spark, sf):
-    joined = views.order_items(spark, sf).join(views.products(spark, sf), "product_id")
-    grouped = joined.groupBy("category").agg(
+    transactions, quantity FROM g"""
+
+
+def summary(lines, group: str):
+    grouped = lines.groupBy(group).agg(
         F.sum("total_item_value").alias("revenue"),
         F.sum(F.col("item_price") - F.col("freight_value")).alias("profit"),
         F.count(F.lit(1)).alias("transactions"),
         F.sum("quantity").alias("quantity"),
     )
-    return customers.segment_summary(grouped, "category")
+    return customers.segment_summary(grouped, group)
+
+
+@query("segment_summary", summary_sql("category", "items JOIN products USING (product_id)", f"{ITEMS}, {PRODUCTS}"))
+def segment_summary(spark, sf):
+    return summary(views.order_items(spark, sf).join(views.products(spark, sf), "product_id"), "category")
+
+
+@query("account_summary", summary_sql("customer_id", "lines", LINES))
+def account_summary(spark, sf):
+    headers = views.order_headers(spark, sf).select("order_id", "customer_id")
+    return summary(views.order_items(spark, sf).join(headers, "order_id"), "customer_id")
+
+
+@query("region_summary", summary_sql("region", "lines JOIN customers USING (customer_id)", f"{LINES}, {CUSTOMERS}"))
+def region_summary(spark, sf):
+    headers = views.order_headers(spark, sf).select("order_id", "customer_id")
+    lines = views.order_items(spark, sf).join(headers, "order_id")
+    return summary(lines.join(views.customers(spark, sf).select("customer_id", "region"), "customer_id"), "region")
 
 
 @query(
