@@ -307,9 +307,19 @@ def test_simhash(odd, none, hot, monkeypatch):
     if hot > 1:
         kept = simhash.drop_near_copies(odd)
         assert kept.columns == odd.columns and {d for d, _ in held(kept)} == {c for _, _, c in want}
+        assert kept.count() == len({find(i) for i in range(len(rows))})
         assert simhash.components(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    # Equal ids with other texts, equal rows, and components whose ids are all NULL.
+    rows = [(5, a), (5, a), (5, b), (3, b.upper()), (3, b.upper()), (None, c), (None, c), (None, c.title()), (None, a)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = held(kept)
+    assert len(found) == 3 and (5, a) in found and (3, b.upper()) in found and sum(d is None and t.lower() == c for d, t in found) == 1
+
+
 @pytest.mark.parametrize("hot", [24, 2])
 def test_links_of_close_fingerprints(spark, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)

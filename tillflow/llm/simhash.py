@@ -12,8 +12,8 @@ through their common neighbour in 65 rows a node, whatever the size of the key,
 
 Defined cases: NULL and blank texts have fingerprint zero and link like others; texts of fewer words than a
 shingle have one shingle of all their words; very long texts are read whole; NULL ids are passed over when the
-smallest id of a component is chosen; repeated rows get the same answer; an empty table gives an empty
-result; other columns are not read.
+smallest id of a component is chosen; repeated rows get the same answer, and where copies are dropped one row
+of them stays; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,15 +55,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> b
     return np.packbits(2 * counts > len(bits)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, extra: str | None = None) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. extra: a string column to carry along."""
+    carried = [extra] if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = b"".join([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(prints, dtype=">i8").astype("<i8"))], ["doc_id", "fp"])
+            fps = pa.array(np.frombuffer(prints, dtype=">i8").astype("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *[batch.column(c) for c in carried]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} string" for c in carried]]))
 
 
 def _mask(first: int, bits: int) -> int:
@@ -102,18 +105,38 @@ def links(nodes: DataFrame) -> DataFrame:
     return near.unionByName(through)
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """One row per distinct fingerprint: fp, smallest id that has it, root of its component."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    linked = roots(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id (smallest id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    linked = roots(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
+    nodes = rooted(prints)
+    least = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = nodes.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of every component; all columns stay as they are."""
-    kept = components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with one row of every component, that of the smallest id; all columns stay as they are.
+
+    NULL ids are larger than all others. Rows that share the smallest id are told apart by the MD5 of their text,
+    and of rows equal in both any one stays.
+    """
+    key, sha = F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    marked = docs.withColumns({"__key": key, "__sha": sha})
+    prints = materialize(fingerprints(marked, id_col, text_col, extra="__sha"), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__sha"))
+    # Rows of one fingerprint, a third of all maybe, are one row before the join.
+    per_print = prints.groupBy("fp").agg(first.alias("k"))
+    kept = per_print.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.__sha").alias("__digest")), "simhash-kept")
+    left = marked.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
+    tied = prints.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not tied.isEmpty():
+        left = left.dropDuplicates(["__key", "__sha"])
+    return left.drop("__key", "__sha")
