@@ -39,6 +39,8 @@ UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 MEMO_UNITS = 500_000
 #: Units that are encoded together; longer ones than LONG go one by one.
 TOGETHER = 40_000
+#: Characters of text that are cut into units at a time.
+GROUP_CHARS = 1_000_000
 LONG = 64
 START, BYTES, UNKNOWN = -1, -2, -3
 
@@ -284,7 +286,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
         for batch in batches:
-            found = [d for group in grouped([t or "" for t in batch.column("text").to_pylist()]) for d in model.digests(group)]
+            found = [d for group in grouped([t or "" for t in batch.column("text").to_pylist()], GROUP_CHARS) for d in model.digests(group)]
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
