@@ -2,8 +2,8 @@
 
 Every page becomes a tree of elements. One page per host, chosen by a hash, is its reference; every other page
 is aligned with it by simple tree matching, so a block of text has the same slot in all pages of the host.
-Texts are counted per slot over all pages. A text that fills its slot in more than half of the host's pages,
-and in MIN_PAGES at least, is template; what varies from page to page is content. Menus, headers, footers,
+Texts are counted per slot over all pages, copies of one page once. A text that fills its slot in more than half of
+the host's different pages, and in MIN_PAGES at least, is template; what varies from page to page is content. Menus, headers, footers,
 sidebars, notices, adverts, forms and comments can vary from page to page too, so elements that HTML or their
 class, id or role names as such never hold content, and where a page has a main part, content lies in it.
 
@@ -277,13 +277,15 @@ def slotted(html: str, reference: str) -> list[tuple[int, int, str]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, slots, hashes = [], [], []
-        for host, html, reference in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist()):
+        hosts, slots, hashes, digests = [], [], [], []
+        for host, html, reference, digest in zip(*[batch.column(c).to_pylist() for c in ("host", "html", "reference", "digest")]):
             for slot, h in {(s, h) for s, h, _ in slotted(html, reference or "") if s >= 0}:
                 hosts.append(host)
                 slots.append(slot)
                 hashes.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), pa.array(hashes, pa.int64())], ["host", "slot", "hash"])
+                digests.append(digest)
+        columns = [pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (slots, hashes, digests)]]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "hash", "digest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,18 +306,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    # The reference is any one page; only its id is compared, and the text of one page per host is kept.
-    chosen = rows.groupBy("host").agg(F.min(F.xxhash64("page_id", F.md5("html"))).alias("chosen"), F.count(F.lit(1)).alias("pages"))
+    digest = F.xxhash64(F.md5(F.coalesce(F.col(html_col), F.lit("")).cast("binary")))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"), digest.alias("digest"))
+    # The reference is any one page; only its digest is compared, and the text of one page per host is kept.
+    chosen = rows.select("host", "digest").distinct().groupBy("host").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("pages"))
     references = (
-        rows.withColumn("chosen", F.xxhash64("page_id", F.md5("html")))
-        .join(chosen, ["host", "chosen"])
+        rows.join(chosen, ["host", "digest"])
         .groupBy("host", "pages")
         .agg(F.first("html").alias("reference"))
     )
     references = materialize(references, "html-references")
-    counted = rows.join(references.where(F.col("pages") >= MIN_PAGES).select("host", "reference"), "host").select("host", "html", "reference")
-    counts = counted.mapInArrow(_counted, "host string, slot long, hash long").groupBy("host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.join(references.where(F.col("pages") >= MIN_PAGES).select("host", "reference"), "host").select("host", "html", "reference", "digest")
+    # Copies of a page are one page, here and in the number of pages.
+    counts = counted.mapInArrow(_counted, "host string, slot long, hash long, digest long").distinct().groupBy("host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
     fixed = counts.join(references.select("host", "pages"), "host").where((2 * F.col("n") > F.col("pages")) & (F.col("n") >= MIN_PAGES))
     # A slot has one text in more than half of the pages at most, so a host has as many as its reference has blocks.
     templates = fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
