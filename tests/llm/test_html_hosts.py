@@ -23,3 +23,22 @@ def test_copies_of_a_page_are_no_evidence(spark):
         assert found[i] == f"Title {n}\n\nText {n} goes on."
     rows = [(i, f"https://a.example/{i}", page(max(i, 3), "")) for i in range(7)]
     assert texts(spark, rows) == {i: f"Title {max(i, 3)}\n\nText {max(i, 3)} goes on." for i in range(7)}
+
+
+def test_empty_pages_and_two_layouts(spark):
+    def other(i):
+        return f"<html><body><table class='frame'><tr><td><div class='box'><p>Ask us anything</p></div><div class='body'><p>Story {i}</p></div></td></tr></table><p>Made with care</p></body></html>"
+
+    # Empty pages outnumber the others, so that any draw over all rows takes one; each layout has half of the rest.
+    rows = [(i, f"https://a.example/{i}", [None, "", " ", "<p></p>"][i % 4]) for i in range(100, 160)]
+    rows += [(i, f"https://a.example/{i}", page(i)) for i in range(8)] + [(i, f"https://a.example/{i}", other(i)) for i in range(8, 16)]
+    found = texts(spark, rows)
+    assert {found[i] for i in range(100, 160)} == {""}
+    for i in range(8):
+        assert found[i] == f"Title {i}\n\nText {i} goes on." and found[i + 8] == f"Story {i + 8}"
+
+
+def test_rare_layouts_go_with_the_largest(spark):
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(8)] + [(8, "https://a.example/8", page(8).replace("<article>", "<section></section><article>"))]
+    found = texts(spark, rows)
+    assert all(found[i] == f"Title {i}\n\nText {i} goes on." for i in range(9))

@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Every page becomes a tree of elements. One page per host, chosen by a hash, is its reference; every other page
-is aligned with it by simple tree matching, so a block of text has the same slot in all pages of the host.
-Texts are counted per slot over all pages, copies of one page once. A text that fills its slot in more than half of
-the host's different pages, and in MIN_PAGES at least, is template; what varies from page to page is content. Menus, headers, footers,
+Every page becomes a tree of elements. Pages of a host with the same containers (paths of sections and of named
+elements outside the main part, repeats and digits ignored) have one layout; layouts of fewer than MIN_PAGES different
+pages go with the largest layout of their host. One page per layout, chosen by a hash, is the reference; every other
+page is aligned with its layout's reference by simple tree matching, so a block of text has the same slot in all of them.
+Texts are counted per slot over all pages, copies of one page once and pages without text never. A text that fills its
+slot in more than half of the layout's different pages, and in MIN_PAGES at least, is template; what varies is content.
+Menus, headers, footers,
 sidebars, notices, adverts, forms and comments can vary from page to page too, so elements that HTML or their
 class, id or role names as such never hold content, and where a page has a main part, content lies in it.
 
-A host may hold a third of all pages: counts are combined before the shuffle, and the reference of a host is
+A host may hold a third of all pages: counts are combined before the shuffle, and the references of its layouts are
 the small side of the join, so adaptive execution splits a busy host. Pages are never collected per host.
 
 Defined cases: NULL and empty html give the empty text; pages without a readable host share one nameless
@@ -55,6 +58,10 @@ AROUND = frozenset(
     "pagination pager widget contentinfo complementary".split()
 )
 
+#: Elements that make up a layout; others do if they have a name.
+SECTION = frozenset("body div section main article nav header footer aside table form center frameset".split())
+DIGITS = re.compile(r"\d+")
+
 TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[^a-z0-9]+")
@@ -170,6 +177,22 @@ def _mains(root: Element) -> list[Element]:
     return found or [root]
 
 
+def layout(root: Element) -> int:
+    """Hash of the set of container paths of a page."""
+    paths, todo = {"#page"}, [(root, "#page", 0)]
+    while todo:
+        element, path, depth = todo.pop()
+        for child in element.children:
+            if isinstance(child, str) or child.tag in INLINE or child.around or child.tag in RAW or child.tag in VOID:
+                continue
+            named = child.tag in SECTION or child.label != f"{child.tag} "
+            below = f"{xxh64_intdigest(path.encode())} {DIGITS.sub('#', child.label)}" if named else path
+            paths.add(below)
+            if child.tag not in MAIN and depth < DEEPEST:
+                todo.append((child, below, depth + 1))
+    return xxh64_intdigest("\n".join(sorted(paths)).encode()) >> 1
+
+
 def _form(element: Element, forms: dict) -> int:
     """Number of the shape of an element: label and shapes of its children; equal shapes, equal numbers."""
     todo = [element]
@@ -275,17 +298,31 @@ def slotted(html: str, reference: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the layout of a page and the digest of its blocks, NULL if it has none."""
+    for batch in batches:
+        layouts, digests = [], []
+        for html in batch.column("html").to_pylist():
+            root = parse(html)
+            found = [text for _, _, text in blocks(root)]
+            layouts.append(layout(root) if found else None)
+            digests.append(xxh64_intdigest("\n".join(found).encode()) >> 1 if found else None)
+        columns = [*batch.columns, pa.array(layouts, pa.int64()), pa.array(digests, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "layout", "digest"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, slots, hashes, digests = [], [], [], []
-        for host, html, reference, digest in zip(*[batch.column(c).to_pylist() for c in ("host", "html", "reference", "digest")]):
+        hosts, groups, slots, hashes, digests = [], [], [], [], []
+        for host, group, html, reference, digest in zip(*[batch.column(c).to_pylist() for c in ("host", "group", "html", "reference", "digest")]):
             for slot, h in {(s, h) for s, h, _ in slotted(html, reference or "") if s >= 0}:
                 hosts.append(host)
+                groups.append(group)
                 slots.append(slot)
                 hashes.append(h)
                 digests.append(digest)
-        columns = [pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (slots, hashes, digests)]]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "hash", "digest"])
+        columns = [pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (groups, slots, hashes, digests)]]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "group", "slot", "hash", "digest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,21 +343,29 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
-    digest = F.xxhash64(F.md5(F.coalesce(F.col(html_col), F.lit("")).cast("binary")))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"), digest.alias("digest"))
-    # The reference is any one page; only its digest is compared, and the text of one page per host is kept.
-    chosen = rows.select("host", "digest").distinct().groupBy("host").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("pages"))
-    references = (
-        rows.join(chosen, ["host", "digest"])
-        .groupBy("host", "pages")
-        .agg(F.first("html").alias("reference"))
-    )
-    references = materialize(references, "html-references")
-    counted = rows.join(references.where(F.col("pages") >= MIN_PAGES).select("host", "reference"), "host").select("host", "html", "reference", "digest")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
+    shaped = rows.mapInArrow(_shaped, "page_id long, url string, html string, host string, layout long, digest long")
+    # Pages without blocks have no layout: they are neither a reference nor counted.
+    draw = F.xxhash64(F.md5(F.col("html").cast("binary")))
+    different = shaped.where("digest IS NOT NULL").groupBy("host", "layout", "digest").agg(F.min(draw).alias("draw"))
+    different = materialize(different, "html-pages")
+    layouts = different.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("draw"))
+    largest = layouts.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("most"))
+    group = F.when(F.col("n") >= MIN_PAGES, F.col("layout")).otherwise(F.col("most.layout"))
+    grouped = materialize(layouts.join(largest, "host").select("host", "layout", "draw", group.alias("group")), "html-layouts")
+    # Only draws are compared; the text of one page per layout is kept.
+    drawn = grouped.where(F.col("layout") == F.col("group")).select("host", "draw", "group")
+    found = rows.withColumn("draw", draw).join(drawn, ["host", "draw"]).groupBy("host", "group").agg(F.first("html").alias("reference"))
+    members = grouped.select("host", "layout", "group")
+    counted = different.join(members, ["host", "layout"]).select("host", "group", "digest").distinct().groupBy("host", "group").agg(F.count(F.lit(1)).alias("pages"))
+    references = materialize(found.join(counted, ["host", "group"]).where(F.col("pages") >= MIN_PAGES), "html-references")
+    aligned = shaped.join(members.join(references, ["host", "group"]), ["host", "layout"]).select("host", "group", "html", "reference", "digest")
     # Copies of a page are one page, here and in the number of pages.
-    counts = counted.mapInArrow(_counted, "host string, slot long, hash long, digest long").distinct().groupBy("host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
-    fixed = counts.join(references.select("host", "pages"), "host").where((2 * F.col("n") > F.col("pages")) & (F.col("n") >= MIN_PAGES))
-    # A slot has one text in more than half of the pages at most, so a host has as many as its reference has blocks.
-    templates = fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
-    wrappers = materialize(references.join(templates, "host").select("host", "reference", "template"), "html-wrappers")
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "reference", "template").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    counts = aligned.mapInArrow(_counted, "host string, group long, slot long, hash long, digest long").distinct()
+    counts = counts.groupBy("host", "group", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
+    fixed = counts.join(references.select("host", "group", "pages"), ["host", "group"]).where((2 * F.col("n") > F.col("pages")) & (F.col("n") >= MIN_PAGES))
+    # A slot has one text in more than half of the pages at most, so a layout has as many as its reference has blocks.
+    templates = fixed.groupBy("host", "group").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
+    wrappers = members.join(references.join(templates, ["host", "group"]), ["host", "group"]).select("host", "layout", "reference", "template")
+    wrappers = materialize(wrappers, "html-wrappers")
+    return shaped.join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "reference", "template").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
