@@ -42,3 +42,22 @@ def test_rare_layouts_go_with_the_largest(spark):
     rows = [(i, f"https://a.example/{i}", page(i)) for i in range(8)] + [(8, "https://a.example/8", page(8).replace("<article>", "<section></section><article>"))]
     found = texts(spark, rows)
     assert all(found[i] == f"Title {i}\n\nText {i} goes on." for i in range(9))
+
+
+def test_names_of_containers_do_not_hide_the_text(spark):
+    story = "<h1>Title</h1><p>Text goes on.</p>"
+    whole = [
+        f"<body class='no-sidebar'><div class='has-sidebar'><article>{story}</article></div></body>",
+        f"<body class='ad-free sidebar'><div class='content-with-nav'>{story}</div><div class='sidebar'>Left</div></body>",
+        f"<div class='widget article-body'>{story}</div><div class='site-footer'>Foot</div>",
+        f"<div class='widget'><article>{story}<div class='comments'>No</div></article></div>",
+        f"<form id='form1'><main class='notice'>{story}</main></form>",
+        f"<html role='navigation'><body id='header'><div class='widget'>{story}</div></body></html>",
+        f"<article>{story}</article><div class='related'><article>Another</article></div><div class='ad'>Buy</div>",
+        f"<div class='post'>{story}<div class='post-comments'>No</div><div class='cookie-notice top'>No</div></div>",
+        f"<div>{story}</div><div class='comments'><article>No</article><article class='comment'>No</article></div>",
+    ]
+    found = texts(spark, [(i, f"https://a{i}.example/", h) for i, h in enumerate(whole)])
+    assert found == {i: "Title\n\nText goes on." for i in range(len(whole))}
+    formula = "<article><p>Let <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a+b</annotation></math> be.</p></article>"
+    assert texts(spark, [(1, "https://m.example/", formula)]) == {1: "Let a+b be."}

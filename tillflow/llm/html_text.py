@@ -8,7 +8,9 @@ Texts are counted per slot over all pages, copies of one page once and pages wit
 slot in more than half of the layout's different pages, and in MIN_PAGES at least, is template; what varies is content.
 Menus, headers, footers,
 sidebars, notices, adverts, forms and comments can vary from page to page too, so elements that HTML or their
-class, id or role names as such never hold content, and where a page has a main part, content lies in it.
+class, id or role names as such never hold content, and where a page has a main part, content lies in it. A name
+counts if a whole word of it says so ("sidebar", "site-footer"), not for a part of one ("has-sidebar") or beside a word
+for content ("widget article-body"). No name hides html, body, the only main part of a page, or all of its text.
 
 A host may hold a third of all pages: counts are combined before the shuffle, and the references of its layouts are
 the small side of the join, so adaptive execution splits a busy host. Pages are never collected per host.
@@ -38,10 +40,13 @@ DEEPEST = 200
 
 # Names of HTML elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp select".split())
-HIDDEN = frozenset("head script style textarea title noscript iframe template svg math object xmp select nav header footer aside form button dialog menu".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object xmp select".split())
+HIDDEN = frozenset("annotation annotation-xml head script style textarea title noscript iframe template svg object xmp select nav header footer aside form button dialog menu".split())
 MAIN = frozenset("article main".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -58,6 +63,16 @@ AROUND = frozenset(
     "pagination pager widget contentinfo complementary".split()
 )
 
+# Words that may stand beside those of AROUND in one compound, and words for content.
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons center column container content desktop fixed form global group header inner item items left line link links list main mobile outer page panel post posts "
+    "primary right row secondary section site slot small sticky text title top unit wrap wrapper".split()
+)
+CONTENT = frozenset("article body content entry main post story text".split())
+# Parts that list articles of others: these do not make them main parts.
+LISTS = frozenset("comment comments reply replies respond disqus discussion related recommended".split())
+NEVER = frozenset("#page html body".split())
+
 #: Elements that make up a layout; others do if they have a name.
 SECTION = frozenset("body div section main article nav header footer aside table form center frameset".split())
 DIGITS = re.compile(r"\d+")
@@ -77,7 +92,44 @@ class Element:
         self.tag, self.children, self.number, self.form = tag, [], -1, None
         names = " ".join("".join(m) for m in NAMED.findall(attributes)).lower() if "=" in attributes else ""
         self.label = f"{tag} {names}"
-        self.around = tag in HIDDEN or (bool(names) and not AROUND.isdisjoint(PART.split(names)))
+        self.around = tag in HIDDEN or (bool(names) and tag not in NEVER and _named_around(names))
+
+
+def _named_around(names: str) -> bool:
+    """Whether class, id and role say that an element is around the text."""
+    found = False
+    for name in names.split():
+        parts = [p for p in PART.split(name) if p and not p.isdigit()]
+        if AROUND.isdisjoint(parts):
+            if parts and parts[-1] in CONTENT:
+                return False
+        elif all(p in AROUND or p in BESIDE for p in parts):
+            found = True
+    return found
+
+
+def _cleared(root: Element) -> None:
+    """Names do not hide the only main part of a page, and the name of <main> or of what holds it counts for nothing."""
+    todo: list[tuple[Element, Element | None, bool, bool]] = [(root, None, False, False)]
+    clear = {tag: False for tag in MAIN}
+    held: dict[int, Element | None] = {}
+    mains = []
+    while todo:
+        element, parent, inside, listed = todo.pop()
+        held[id(element)] = parent
+        inside = inside or element.around
+        listed = listed or (element.around and not LISTS.isdisjoint(PART.split(element.label)))
+        if element.tag == "main" or (element.tag == "article" and not listed):
+            mains.append((element, inside))
+            clear[element.tag] |= not inside
+        # Parts that HTML itself puts around the text keep their main parts to themselves; a form may hold a page.
+        if element.tag not in HIDDEN or element.tag == "form":
+            todo.extend((c, element, inside, listed) for c in element.children if not isinstance(c, str))
+    for element, inside in mains:
+        if inside and (element.tag == "main" or not clear["article"]):
+            while element is not None and id(element) in held:
+                element.around = False
+                element = held[id(element)]
 
 
 def parse(html: str) -> Element:
@@ -119,9 +171,22 @@ def parse(html: str) -> Element:
             stack.append(element)
     if at < len(html):
         stack[-1].children.append(html[at:])
+    _cleared(root)
+    if not blocks(root):
+        _uncovered(root)
     return root
 
 
+def _uncovered(root: Element) -> None:
+    """Where names would hide all text of a page, only elements that HTML names are around it."""
+    todo = [root]
+    while todo:
+        element = todo.pop()
+        element.around = element.tag in HIDDEN
+        if not element.around:
+            todo.extend(c for c in element.children if not isinstance(c, str))
+
+
 def blocks(root: Element) -> list[tuple[Element, int, str]]:
     """(owner, number of the run in it, text) of every block of text that is not around the text."""
     mains = _mains(root)
