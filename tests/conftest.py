@@ -27,9 +27,3 @@ def sf():
     if not Path(SF).exists():
         pytest.skip("no test data")
     return SF
-
-
-def rows(df, *columns):
-    """Collected rows as sorted tuples."""
-    wanted = columns or df.columns
-    return sorted(tuple(r[c] for c in wanted) for r in df.collect())

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from tillflow.functions.numbers import compact_metric, pct_delta

@@ -7,7 +7,7 @@ import random
 from collections import deque
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from tillflow import raw
