@@ -14,9 +14,8 @@ The texts are shuffled once; the passes over them reuse that exchange. Numbers o
 the bytes of the table, so memory per task stays bounded.
 
 Defined cases: NULL and blank texts have no words and keep the hash of the empty text; texts shorter than a
-window lose nothing; NULL ids count as larger than all others; rows that share an id do not take words from
-each other; very long texts are read whole; an empty table gives an empty result; other columns are not
-read.
+window lose nothing; NULL ids count as the largest long; rows that share an id do not take words from each
+other; very long texts are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,10 +58,9 @@ class Words:
     """Word hashes of the texts of a chunk, in the order of ids."""
 
     def __init__(self, docs: pd.DataFrame):
-        ids = docs["doc_id"].fillna(NO_ID).astype("int64") if docs["doc_id"].isna().any() else docs["doc_id"].astype("int64")
-        order = np.lexsort((docs["text"].fillna("").to_numpy(dtype=object), ids.to_numpy()))
-        self.given = docs["doc_id"].iloc[order]
-        self.ids = ids.to_numpy()[order]
+        ids, unnamed = docs["doc_id"].to_numpy(dtype=np.int64), docs["unnamed"].to_numpy(dtype=bool)
+        order = np.lexsort((docs["text"].fillna("").to_numpy(dtype=object), ids, unnamed))
+        self.unnamed, self.ids = unnamed[order], ids[order]
         self.texts = [(t or "").encode() for t in docs["text"].where(docs["text"].notna(), "").iloc[order]]
         data = np.frombuffer(b"\n".join(self.texts) + b"\n", dtype=np.uint8)
         space = _SPACE[data]
@@ -249,7 +247,7 @@ def _remove(buckets: int, with_text: bool):
         gone = np.cumsum(gone)[:-1] > 0
         removed = np.bincount(words.doc, weights=gone, minlength=len(words.texts)).astype(np.int64)
         rows, at = [], 0
-        for given, text, n, lost in zip(words.given, words.texts, words.counts.tolist(), removed.tolist()):
+        for given, text, n, lost in zip(words.ids.tolist(), words.texts, words.counts.tolist(), removed.tolist()):
             kept = text.split()
             if lost:
                 kept = [w for w, g in zip(kept, gone[at : at + n].tolist()) if not g]
@@ -257,14 +255,17 @@ def _remove(buckets: int, with_text: bool):
             joined = b" ".join(kept)
             rows.append((given, n, lost, joined.decode() if with_text else None, sha256(joined).hexdigest()))
         out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"doc_id": "Int64"})
+        out["doc_id"] = pd.arrays.IntegerArray(words.ids.copy(), words.unnamed.copy())
+        return out
 
     return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (NULL unless wanted), kept_sha256."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # A NULL in a pandas group would turn all its ids into floats, so it is a flag beside a number.
+    named = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(named, F.lit(NO_ID)).alias("doc_id"), named.isNull().alias("unnamed"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = 1 + size // CHUNK_BYTES, 1 + size // BUCKET_BYTES
     texts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
