@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from loops import plain_roots
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -40,7 +41,8 @@ def ranked(rows):
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_equals_its_sql(spark, sf, key):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from read_parquet('{sf}/{name}.parquet')")
     df = QUERIES[key](spark, sf)
     columns = sorted(df.columns)
     result = con.sql(ORACLES[key])
@@ -227,6 +229,14 @@ def test_substrings(odd, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_substrings_keep_large_ids_beside_a_null_id(spark):
+    words = [f"w{i}" for i in range(30)]
+    text, big = " ".join(words), 2**53
+    rows = [(None, text), (big + 1, text), (big + 3, "x " + text), (5, None), (None, "a b")]
+    found = got(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)), "doc_id", "n_words", "n_removed")
+    assert found == ranked([(None, 30, 30), (big + 1, 30, 0), (big + 3, 31, 30), (5, 0, 0), (None, 2, 0)])
+
+
 def test_html(spark):
     page = "<html><body><nav><a>Menu {i}</a></nav><div class='ad'>Buy {i}</div><article><h1>Title {i} &amp; more</h1><p>Read our terms.</p><p><b>Text {i}<br>goes\n on<p>End {i}</p>{more}<section class='comments'><p>me {i}</p></section></article><footer>foot</footer></body></html>"
     rows = [(i, f"https://a.example/{i}", page.format(i=i, more="<p>extra</p>" * (i % 3))) for i in range(9)]
@@ -380,17 +390,7 @@ def test_pipeline(spark, sf):
     rows = [r for r in rows if verdicts[r["doc_id"]]]
     last = {r["text"]: r["doc_id"] for r in sorted(rows, key=lambda r: r["doc_id"])}
     rows = sorted((r for r in rows if last[r["text"]] == r["doc_id"]), key=lambda r: r["doc_id"])
-    prints = [plain_fingerprint(r["text"]) for r in rows]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = i, j
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                root[max(a, b)] = min(a, b)
+    root = plain_roots([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(rows, docs.schema)).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
