@@ -33,7 +33,7 @@ PLAIN, PSM, SPM = "plain", "psm", "spm"
 #: Of 100 texts so many keep their order, and of 100 others so many have the suffix first.
 PLAIN_PERCENT, SPM_PERCENT = 10, 20
 #: Characters of text handled at a time.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 400_000
 
 RESULT = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
