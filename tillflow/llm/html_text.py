@@ -35,6 +35,8 @@ from xxhash import xxh64_intdigest
 from tillflow.session import materialize
 
 MIN_PAGES = 4
+#: References of all hosts are sent to every task up to this size; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Levels of a tree that are matched; deeper elements have no slot.
 DEEPEST = 200
 
@@ -405,6 +407,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _small(frame: DataFrame, column: str) -> DataFrame:
+    """A stored frame with a hint to send it to all tasks, if its texts are no more than BROADCAST_BYTES; else as it is."""
+    size = frame.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
@@ -414,18 +422,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     draw = F.xxhash64(F.md5(F.col("html").cast("binary")))
     different = shaped.where("digest IS NOT NULL").groupBy("host", "layout", "digest").agg(F.min(draw).alias("draw"))
     different = materialize(different, "html-pages")
+    drawable = rows.withColumn("draw", draw)
     layouts = different.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("draw"))
     largest = layouts.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("most"))
     group = F.when(F.col("n") >= MIN_PAGES, F.col("layout")).otherwise(F.col("most.layout"))
     grouped = materialize(layouts.join(largest, "host").select("host", "layout", "draw", group.alias("group")), "html-layouts")
     # Only draws are compared; the text of one page per layout is kept.
     drawn = grouped.where(F.col("layout") == F.col("group")).select("host", "draw", "group")
-    found = rows.withColumn("draw", draw).join(drawn, ["host", "draw"]).groupBy("host", "group").agg(F.first("html").alias("reference"))
+    found = drawable.join(drawn, ["host", "draw"]).groupBy("host", "group").agg(F.first("html").alias("reference"))
     members = grouped.select("host", "layout", "group")
     counted = different.join(members, ["host", "layout"]).select("host", "group", "digest").distinct().groupBy("host", "group").agg(F.count(F.lit(1)).alias("pages"))
     references = materialize(found.join(counted, ["host", "group"]).where(F.col("pages") >= MIN_PAGES), "html-references")
-    aligned = shaped.join(members.join(references, ["host", "group"]), ["host", "layout"]).select("host", "group", "html", "reference", "digest")
-    # Copies of a page are one page, here and in the number of pages.
+    # Copies of a page are one page, here and in the number of pages: only the drawn one is aligned. Rows meet by page,
+    # not by host, so a host of any size is spread out, and the parsed layout comes from the stored rows.
+    told = different.join(members, ["host", "layout"]).select("host", "draw", "group", "digest")
+    aligned = drawable.join(told, ["host", "draw"]).join(_small(references, "reference"), ["host", "group"]).select("host", "group", "html", "reference", "digest")
     counts = aligned.mapInArrow(_counted, "host string, group long, slot long, hash long, digest long").distinct()
     counts = counts.groupBy("host", "group", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
     fixed = counts.join(references.select("host", "group", "pages"), ["host", "group"]).where((2 * F.col("n") > F.col("pages")) & (F.col("n") >= MIN_PAGES))
@@ -433,4 +444,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     templates = fixed.groupBy("host", "group").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
     wrappers = members.join(references.join(templates, ["host", "group"]), ["host", "group"]).select("host", "layout", "reference", "template")
     wrappers = materialize(wrappers, "html-wrappers")
-    return shaped.join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "reference", "template").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return shaped.join(_small(wrappers, "reference"), ["host", "layout"], "left").select("page_id", "url", "html", "reference", "template").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
