@@ -8,7 +8,7 @@ if it starts the unit or if the last token of the prefix before it and the candi
 their strings are encoded side by side. Ids are recovered backwards from the end.
 
 Whether a pair stays is decided by merging its characters once and remembered per worker process, as are
-encoded units; the latter are cleared at a fixed number of entries and with each task, which affects speed alone. The units of
+encoded units; the latter are cleared at a fixed number of entries, which affects speed alone. The units of
 an Arrow batch that are new are encoded together: position by position, all candidates of all units at once.
 
 Defined cases: NULL and the empty text have no ids and decode to the empty text. Characters without a piece
@@ -35,8 +35,8 @@ from .words import grouped
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
-#: Units that a task remembers from batch to batch; a worker that waits for its next task holds none.
-MEMO_UNITS = 150_000
+#: Units that a worker process remembers from batch to batch.
+MEMO_UNITS = 500_000
 #: Units that are encoded together; longer ones than LONG go one by one.
 TOGETHER = 40_000
 #: Characters of text that are cut into units at a time.
@@ -280,8 +280,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; texts pass whole, in Arrow batches."""
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; texts pass whole, in Arrow batches.
+
+    forget: clear the units with each task, where other work follows on the same workers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
@@ -292,7 +295,8 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        model.units.clear()
+        if forget:
+            model.units.clear()
 
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
