@@ -212,22 +212,22 @@ def two_arrivals(spark, sf, root, run):
 
 @query(
     "stream_late_route",
-    """WITH f AS (SELECT *, date_trunc('second', ts) AS t, ts < timestamp '2024-01-20' AND event_id % 100 <> 0 AS first_batch FROM events WHERE event_id % 59 <> 0),
-    m AS (SELECT max(t) AS newest FROM f WHERE first_batch) SELECT CASE WHEN NOT first_batch AND t < newest - INTERVAL 600 SECOND THEN 'late' ELSE 'on_time' END AS route, count(*) AS events
+    """WITH f AS (SELECT *, event_id % 59 = 0 AS broken, date_trunc('second', ts) AS t, ts < timestamp '2024-01-20' AND event_id % 100 <> 0 AS first_batch FROM events),
+    m AS (SELECT max(t) AS newest FROM f WHERE first_batch AND NOT broken)
+    SELECT CASE WHEN broken THEN 'undated' WHEN NOT first_batch AND t < newest - INTERVAL 600 SECOND THEN 'late' ELSE 'on_time' END AS route, count(*) AS events
     FROM (SELECT *, unnest(CASE WHEN event_id % 50 = 0 THEN [0, 1] ELSE [0] END) AS cp FROM f), m GROUP BY 1""",
 )
 def stream_late_route(spark, sf):
+    """Every message takes one of three routes, so their counts add up to all messages."""
     root = shared_dir(spark, "stream_late")
 
     def run():
         log = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{root}/log")
-        parsed = so.parse(raw.order_event_messages(log)).filter(F.col("event_timestamp").isNotNull())
-        so.run_batches(parsed, so.route_late(root), f"{root}/checkpoint")
+        so.run_batches(so.parse(raw.order_event_messages(log)), so.route_late(root), f"{root}/checkpoint")
 
     two_arrivals(spark, sf, root, run)
-    late = spark.read.parquet(f"{root}/late").select(F.lit("late").alias("route"))
-    on_time = spark.read.parquet(f"{root}/on_time").select(F.lit("on_time").alias("route"))
-    return late.unionByName(on_time).groupBy("route").agg(F.count(F.lit(1)).alias("events"))
+    routes = [spark.read.parquet(f"{root}/{r}").select(F.lit(r).alias("route")) for r in ("late", "on_time", "undated")]
+    return routes[0].unionByName(routes[1]).unionByName(routes[2]).groupBy("route").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("stream_restart", "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY 1")
@@ -243,3 +243,31 @@ def stream_restart(spark, sf):
     run()
     out = spark.read.parquet(f"{root}/data")
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("distinct_events"))
+
+
+#: The log spans a month and arrives in disorder here, so copies are held that long.
+DELAY = "60 days"
+
+
+def three_arrivals(spark, sf, name):
+    """The messages of the log in three arrivals, in disorder; the second of two copies comes one arrival later or earlier."""
+    root = shared_dir(spark, name)
+    copies = messages(spark, sf).groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))
+    sent = copies.withColumn("arrival", F.pmod(F.xxhash64("value") + F.col("c"), F.lit(3)))
+    for arrival in range(3):
+        sent.filter(F.col("arrival") == arrival).select("value").write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema("value string").parquet(f"{root}/log")
+        so.run_batches(so.changes(so.check(so.parse(stream)), DELAY), so.write_changes(root), f"{root}/checkpoint", "update")
+    return root
+
+
+@query("stream_kpis_across", KPI_SQL)
+def stream_kpis_across(spark, sf):
+    root = three_arrivals(spark, sf, "stream_kpis_across")
+    return so.merged_kpis(spark.read.parquet(f"{root}/orders"), spark.read.parquet(f"{root}/counts"))
+
+
+@query("stream_sliding_across", f"WITH {EV} {windowed_sql(SLIDES, 'order_status,')} GROUP BY w, order_status")
+def stream_sliding_across(spark, sf):
+    root = three_arrivals(spark, sf, "stream_sliding_across")
+    return shown(so.merged_sliding(spark.read.parquet(f"{root}/sliding")))

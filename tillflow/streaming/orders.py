@@ -6,9 +6,13 @@ batch twin of a streaming query is the same code on a static frame.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.dates import parse_timestamp, year_month
 from ..functions.keys import event_id
@@ -52,14 +56,15 @@ def fact_to_events(fact: DataFrame) -> DataFrame:
     return fact.select(F.to_json(fields).alias("value"))
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def parse(raw: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Typed events from the JSON in ``value``; the text stays, so a malformed event keeps its evidence.
 
     The fields leave the parsed struct through ``inline``: a filter on them stays above it. Fields
     selected from the struct would be inlined into the pushed filter, one parse of the text per rule.
+    carried: further columns to keep.
     """
-    text = raw.select(F.col("value").cast("string").alias("value"))
-    typed = text.select("value", F.inline_outer(F.array(F.from_json("value", EVENT_SCHEMA)))).withColumns(
+    text = raw.select(F.col("value").cast("string").alias("value"), *carried)
+    typed = text.select("value", *carried, F.inline_outer(F.array(F.from_json("value", EVENT_SCHEMA)))).withColumns(
         {"event_timestamp": parse_timestamp("event_timestamp"), "price": money(F.col("price")), "freight_value": money(F.col("freight_value"))}
     )
     return typed.withColumns(
@@ -88,11 +93,13 @@ def check(parsed: DataFrame) -> DataFrame:
 
 
 def deduplicate(valid: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """One event per id. On a stream the watermark comes first and bounds the state; the id is kept
-    as long as a copy can still arrive in time."""
+    """One event per id: of a batch the least copy, by time, then by text. On a stream, which must answer before later
+    copies come, the first to arrive; the watermark bounds the state. ``changes`` holds the least copy on a stream."""
     if valid.isStreaming:
         return valid.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return valid.dropDuplicates(["event_id"])
+    rest = [c for c in valid.columns if c not in ("event_id", "event_timestamp", "value")]
+    least = F.min(F.struct("event_timestamp", "value", *rest)).alias("_least")
+    return valid.groupBy("event_id").agg(least).select("event_id", "_least.*").select(*valid.columns)
 
 
 def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,11 +160,10 @@ def kpis(checked: DataFrame) -> DataFrame:
     """Counts and revenue of one batch: input, valid, quarantined, duplicates and headline figures."""
     ok = F.size(rules.IDS) == 0
     per_event = checked.groupBy(F.when(ok, F.col("event_id")).alias("_e"), ok.alias("_ok")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("order_id").alias("order_id"),
-        F.first("quantity").alias("quantity"),
-        F.first("total_amount").alias("total_amount"),
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("event_timestamp", "value", "order_id", "quantity", "total_amount")).alias("least")
     )
+    # One struct, so that the three belong to one copy: the least by time, then by text.
+    per_event = per_event.select("_ok", "n", "least.*")
     good = F.col("_ok")
     per_order = per_event.groupBy(F.when(good, F.col("order_id")).alias("_o"), "_ok").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("events"), F.sum("quantity").alias("q"), F.sum("total_amount").alias("g")
@@ -187,6 +193,126 @@ def kpis(checked: DataFrame) -> DataFrame:
     )
 
 
+# --- state across micro-batches -------------------------------------------------------------------
+
+CHANGES = "ok boolean, event_id string, value string, sign int, seen bigint"
+
+
+def changes(checked: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """What every micro-batch changes in the set of distinct valid events, as signed rows.
+
+    Of the copies of an event the least one counts, by time, then by text, so any order of arrival leads to the
+    same row. State per id holds that one copy and goes when the watermark has passed its copies by the delay. A
+    better copy gives two rows: the one it replaces with sign -1, itself with +1. Copies that change nothing have sign
+    0, rejected messages too; ``seen`` counts the messages behind a row. Sums of signed amounts over any batches are
+    therefore those of the distinct events, without reading earlier batches. Copies later than the watermark are dropped
+    by it, as by every operator with event time.
+    """
+    span = pd.Timedelta(delay)
+    ok = F.size(rules.IDS) == 0
+    rows = checked.withWatermark("event_timestamp", delay).select(
+        ok.alias("ok"),
+        # Rejected messages have no common id; their own hash spreads them over tasks.
+        F.when(ok, F.col("event_id")).otherwise(F.sha2(F.coalesce("value", F.lit("")), 256)).alias("key"),
+        F.when(ok, F.col("event_id")).alias("event_id"),
+        "event_timestamp",
+        "value",
+    )
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        good, _ = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        best, last, seen, out = before, before[2] if before else 0, 0, []
+        event_id = None
+        for frame in frames:
+            seen += len(frame)
+            event_id = frame["event_id"].iloc[0]
+            for t, value in zip(frame["event_timestamp"], frame["value"]):
+                if not good:
+                    out.append((False, None, value, 0, 1))
+                    continue
+                # Without a time first, as NULL is the least value.
+                at = -1 if pd.isna(t) else t.value // 1000
+                last = max(last, at)
+                if best is None or (at, value) < (best[0], best[1]):
+                    best = (at, value, last)
+        if good:
+            state.update((best[0], best[1], last))
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(span.total_seconds() * 1000) + 1)
+            if before is None or (best[0], best[1]) != (before[0], before[1]):
+                if before is not None:
+                    out.append((True, event_id, before[1], -1, 0))
+                out.append((True, event_id, best[1], 1, seen))
+            else:
+                out.append((True, event_id, None, 0, seen))
+        yield pd.DataFrame(out, columns=["ok", "event_id", "value", "sign", "seen"])
+
+    kept = "at bigint, value string, last bigint"
+    return rows.groupBy("ok", "key").applyInPandasWithState(step, CHANGES, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def signed_parts(events: DataFrame, groups: list[Column | str]) -> DataFrame:
+    """Signed sums per group and order of parsed changes."""
+    sign = F.col("sign")
+    return events.groupBy(*groups, "order_id").agg(
+        F.sum(sign).alias("n"),
+        F.sum(sign * F.col("quantity")).alias("q"),
+        *[F.sum(F.when(sign == -1, -F.col(c)).otherwise(F.col(c))).alias(a) for c, a in (("price", "p"), ("freight_value", "f"), ("total_amount", "g"))],
+    )
+
+
+def write_changes(root: str):
+    """Batch handler for ``changes``: rejected messages, signed events, window parts and counts below the batch id."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        overwrite_batch(batch, f"{root}/changes", batch_id)
+        stored = spark.read.schema(CHANGES).parquet(f"{root}/changes/batch_id={batch_id}")
+        overwrite_batch(stored.filter(~F.col("ok")).select("value"), f"{root}/quarantine", batch_id)
+        events = parse(stored.filter(F.col("sign") != 0), ("sign",))
+        overwrite_batch(signed_parts(events, [F.window("event_timestamp", WINDOW, SLIDE).alias("w"), "order_status"]), f"{root}/sliding", batch_id)
+        overwrite_batch(signed_parts(events, []), f"{root}/orders", batch_id)
+        counts = stored.groupBy("ok").agg(F.sum("seen").alias("seen"), F.sum("sign").alias("events"))
+        overwrite_batch(counts, f"{root}/counts", batch_id)
+
+    return handle
+
+
+def merged_sliding(parts: DataFrame) -> DataFrame:
+    """Sliding windows over all batches from their signed parts; an order whose events all moved away is none."""
+    keys = ["order_status"]
+    return fold_parts(merge_parts(parts, keys).filter(F.col("n") > 0), keys)
+
+
+def merged_kpis(orders: DataFrame, counts: DataFrame) -> DataFrame:
+    """The figures of ``kpis`` over all batches, duplicates across batches included."""
+    per = orders.groupBy("order_id").agg(*[F.sum(c).alias(c) for c in ("n", "q", "g")]).filter(F.col("n") > 0)
+    both = counts.select("ok", "seen", "events").unionByName(per.select("n", "q", "g"), allowMissingColumns=True)
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    ok, seen = F.col("ok"), F.col("seen")
+    totals = both.agg(
+        total(seen).alias("input_events"),
+        total(F.when(ok, F.col("events"))).alias("valid_events"),
+        total(F.when(~ok, seen)).alias("quarantined_events"),
+        (total(F.when(ok, seen)) - total(F.when(ok, F.col("events")))).alias("duplicate_events"),
+        total(F.col("g")).alias("_g"),
+        F.count("n").alias("unique_orders"),
+        total(F.col("q")).alias("units_sold"),
+    )
+    return totals.select(
+        "input_events",
+        "valid_events",
+        "quarantined_events",
+        "duplicate_events",
+        F.col("_g").cast("double").alias("gross_revenue"),
+        "unique_orders",
+        "units_sold",
+        F.coalesce(mean_money(F.col("_g"), F.col("unique_orders")), F.lit(0.0)).alias("average_order_value"),
+    )
+
+
 # --- sinks ----------------------------------------------------------------------------------------
 
 
