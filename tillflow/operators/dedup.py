@@ -22,11 +22,12 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def keep_one_keyed(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """As ``keep_one``, but every row with a NULL or blank key part stays.
 
-    Nothing says that such rows are copies of one another; rules reject and count them one by one. They
-    bypass the window, so however many there are, none is shuffled.
+    Nothing says that such rows are copies of one another; rules reject and count them one by one. Each is a
+    key of its own, by a number that no other row has, so the rows are read once and spread over all tasks.
     """
     blank = reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) == "" for k in keys])
-    return keep_one(df.filter(~blank), keys, order).unionByName(df.filter(blank))
+    numbered = df.withColumn("_own", F.when(blank, F.monotonically_increasing_id()))
+    return keep_one(numbered, [*keys, "_own"], order).drop("_own")
 
 
 def duplicate_groups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

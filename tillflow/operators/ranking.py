@@ -43,8 +43,10 @@ def finite(value: Column) -> Column:
 def running_counts(counted: DataFrame, keys: list[str], value: str, down: bool = False) -> DataFrame:
     """``counted`` (one row per keys and value, with ``_c``) with ``_run``: the counts up to and with the value.
 
-    The span of the values of a key is cut evenly and summed per cut first, so one task walks one cut only.
+    The span of the values of a key is cut evenly and summed per cut first, so one task walks one cut only. The counts
+    are used for the span, the sums and the walk, so they are stored once.
     """
+    counted = materialize(counted, "counted")
     v = F.col(value).cast("double")
     edges = counted.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
     place = F.when(F.col("_high") > F.col("_low"), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * CUTS)).otherwise(F.lit(0))
@@ -80,7 +82,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """Linear-interpolated quantiles per key: ``keys..., n, q`` with ``q`` in the order of ``probs``.
 
     Meant for a small number of keys (columns of a table, calendar periods). The join side that
-    names the bins to look into has at most ``2 * len(probs)`` rows per key, so it may be broadcast.
+    names the bins to look into has at most ``2 * len(probs)`` rows per key; Spark broadcasts it by its size.
     """
     rows = df.filter(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_bin", value_bin(F.col("_v")))
@@ -104,7 +106,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         wanted = wanted | holds(low, first, F.col("_to")) | holds(high, first, F.col("_to"))
     targets = bins.filter(wanted).select(*keys, "_bin", (F.col("_to") - F.col("_c")).alias("_before"), "n")
 
-    near = rows.join(F.broadcast(targets), [*keys, "_bin"])
+    near = rows.join(targets, [*keys, "_bin"])
     counted = near.groupBy(*keys, "_bin", "_before", "n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     counted = running_counts(counted, [*keys, "_bin"], "_v").withColumn("_to", F.col("_before") + F.col("_run"))
     counted = counted.withColumn("_from", F.col("_to") - F.col("_c"))
