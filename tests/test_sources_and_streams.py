@@ -11,7 +11,7 @@ from frames import rows
 from pyspark.sql import functions as F
 
 from tillflow import raw
-from tillflow.operators import audit, rules
+from tillflow.operators import audit, replay, rules
 from tillflow.plans.medallion import BatchRun
 from tillflow.queries import QUERIES
 from tillflow.queries.stream import batch_events
@@ -121,6 +121,62 @@ def test_lockout_matches_a_loop(spark):
     assert got == want
 
 
+def limited(data, limit, window):
+    """The limiter as a plain loop over (event_id, key, seconds) in order."""
+    out, seen = {}, {}
+    for i, k, s in data:
+        q = seen.setdefault(k, deque())
+        while q and q[0] <= s - window:
+            q.popleft()
+        out[i] = len(q) < limit
+        if out[i]:
+            q.append(s)
+    return out
+
+
+def timed(spark, data):
+    df = spark.createDataFrame(data, "event_id int, k string, s int")
+    return df.select("event_id", "k", F.timestamp_micros(F.col("s").cast("bigint") * 1_000_000).alias("ts")).repartition(5)
+
+
+@pytest.mark.parametrize("limit, gaps", [(5, [0, 1, 2, 3, 9]), (3, [0, 0, 4, 7]), (1, [30])])
+def test_rate_limit_of_a_run_without_a_pause(spark, limit, gaps):
+    """One key is busy for many blocks, NULL is a key; requests every 30 s against one in 60 s never forget their start."""
+    rng = random.Random(limit)
+    s, data = 30, [(9000, "hot", 0)] if limit == 1 else []
+    for i in range(1500):
+        s += rng.choice(gaps)
+        data.append((i, "hot" if rng.random() < 0.9 or limit == 1 else None, s))
+    got = {r.event_id: r.allowed for r in audit.rate_limit(timed(spark, data), ["k"], "ts", "event_id", limit, 60, block=2).collect()}
+    assert got == limited(data, limit, 60) and 0.01 < sum(got.values()) / len(got) < 0.99
+
+
+def test_unsettled_blocks_are_played_in_sequence(spark, monkeypatch):
+    """Blocks in which the phase of the accepted requests stays what it was on entry: no round settles them all."""
+    monkeypatch.setattr(replay, "ROUNDS", 1)
+    data = [(i, "hot", 20 + 25 * i) for i in range(400)] + [(1000 + i, "calm", 500 * i) for i in range(20)]
+    got = {r.event_id: r.allowed for r in audit.rate_limit(timed(spark, data), ["k"], "ts", "event_id", 1, 60, block=1).collect()}
+    assert got == limited(data, 1, 60)
+
+
+def test_lockouts_of_long_runs(spark):
+    rng = random.Random(3)
+    s, data, want, state = 0, [], {}, {}
+    for i in range(900):
+        s += rng.choice([0, 1, 7, 20, 40] if i < 700 else [10, 70])
+        k = rng.choice(["hot", "hot", "hot", None])
+        data.append((i, k, s))
+        first, n = state.get(k, (s, 0))
+        first, n = (s, 0) if s - first > 60 else (first, n)
+        state[k] = (first, n + 1)
+        want[i] = n + 1
+    found = audit.lockouts(timed(spark, data), ["k"], "ts", "event_id", 3, 60, block=2).collect()
+    assert {r.event_id: r.failed_count for r in found} == want
+    assert all((r.locked_until is not None) == (r.failed_count >= 3) for r in found)
+    assert audit.lockouts(timed(spark, data).limit(0), ["k"], "ts", "event_id", 3, 60).count() == 0
+    assert audit.rate_limit(timed(spark, data).limit(0), ["k"], "ts", "event_id", 3, 60).count() == 0
+
+
 def test_trailing_count_matches_a_loop(spark):
     data, df = log(spark, 3)
     got = {r.event_id: r.trailing_count for r in audit.trailing_count(df, ["k"], "ts", 60).collect()}

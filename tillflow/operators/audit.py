@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .fill import fill_directional
 from .neighbors import with_neighbor
+from .replay import block_of, replay
 
 MICROS = 1_000_000
 GENESIS = "0" * 64
+#: Windows of one block of a replay.
+BLOCK = 256
 
 
 def search(log: DataFrame, filters: dict[str, object], newest: list[Column], limit: int) -> DataFrame:
@@ -68,66 +71,76 @@ def segments(df: DataFrame, keys: list[str], moment: str, tie: str, seconds: int
     return fill_directional(marked, keys, [moment, tie], "segment", day)
 
 
-def _ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+def _named(df: DataFrame, keys: list[str], moment: str) -> DataFrame:
+    """With the key as one text, in which NULL is a value like others, and the time in microseconds."""
+    who = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    return df.withColumns({"_who": who, "_t": micros(moment)})
 
 
-def rate_limit(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int, seconds: int) -> DataFrame:
+def rate_limit(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int, seconds: int, block: int = BLOCK) -> DataFrame:
     """Replay of a sliding-window limiter in which only accepted requests count.
 
-    A run of requests whose trailing count never exceeds the limit is accepted as a whole without
-    leaving the JVM. Only busy runs are replayed in order; the replay streams Arrow batches and keeps
-    at most ``limit`` times per run in memory.
+    A request whose trailing count of all requests is within the limit is accepted whatever came before, without
+    leaving the JVM. The others depend on the window before them: the buckets of one window's length that hold them,
+    and the bucket before each, are replayed in blocks of ``block`` windows (see ``replay``), so even a key that never
+    pauses spreads over its blocks. ``moment`` must be known; ``tie`` orders equal times.
     """
-    runs = trailing_count(segments(df, keys, moment, tie, seconds), keys, moment, seconds)
-    busy = runs.groupBy(*keys, "segment").agg((F.max("trailing_count") > limit).alias("busy"))
-    rows = runs.drop("trailing_count").join(busy, [*keys, "segment"])
-    calm = rows.filter(~F.col("busy")).withColumn("allowed", F.lit(True)).drop("busy")
-    work = rows.filter("busy").drop("busy").withColumn("_t", micros(moment))
-    group = [*keys, "segment"]
     window = seconds * MICROS
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
-        for pdf in batches:
-            allowed = []
-            for run, t in zip(pdf[group].itertuples(index=False, name=None), pdf["_t"]):
-                if run != current:
-                    current, accepted = run, deque()
-                while accepted and accepted[0] <= t - window:
-                    accepted.popleft()
-                allowed.append(len(accepted) < limit)
-                if allowed[-1]:
-                    accepted.append(t)
-            yield pdf.assign(allowed=allowed).drop(columns="_t")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calm.schema.fields)
-    played = _ordered(work, group, ["_t", tie]).mapInPandas(replay, schema)
-    return calm.unionByName(played).drop("segment")
-
-
-def lockouts(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int, seconds: int) -> DataFrame:
+    counted = trailing_count(df, keys, moment, seconds, "_trailing")
+    rows = _named(counted, keys, moment).withColumn("_sure", F.col("_trailing") <= limit).drop("_trailing")
+    rows = materialize(rows.withColumn("_bucket", block_of(F.col("_t"), window)), "limit-rows")
+    near = F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("_bucket")
+    busy = materialize(rows.filter(~F.col("_sure")).select("_who", near).distinct(), "limit-busy")
+    calm = rows.join(busy, ["_who", "_bucket"], "left_anti").select(*df.columns, F.lit(True).alias("allowed"))
+    if busy.isEmpty():
+        return calm
+    work = materialize(rows.join(busy, ["_who", "_bucket"], "left_semi").drop("_bucket"), "limit-work")
+
+    def step(accepted: list[int], t: int, sure: bool) -> bool:
+        while accepted and accepted[0] <= t - window:
+            accepted.pop(0)
+        if sure or len(accepted) < limit:
+            accepted.append(t)
+            return True
+        return False
+
+    def live(state: Column, start: Column) -> Column:
+        return F.filter(state, lambda x: x > start - window)
+
+    played = replay(work, [tie], block * window, step, live, "allowed", "boolean")
+    return calm.unionByName(played)
+
+
+def lockouts(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int, seconds: int, block: int = BLOCK) -> DataFrame:
     """Failed attempts per account: the count restarts when the first failure is older than the
-    window; from the limit on, the account is locked for one window."""
-    runs = segments(df, keys, moment, tie, seconds).withColumn("_t", micros(moment))
-    group = [*keys, "segment"]
-    window = seconds * MICROS
+    window; from the limit on, the account is locked for one window.
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, count, first = None, 0, 0
-        for pdf in batches:
-            counts = []
-            for run, t in zip(pdf[group].itertuples(index=False, name=None), pdf["_t"]):
-                if run != current or t - first > window:
-                    current, count, first = run, 0, t
-                count += 1
-                counts.append(count)
-            yield pdf.assign(failed_count=counts)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields) + ", failed_count bigint"
-    played = _ordered(runs, group, ["_t", tie]).mapInPandas(replay, schema)
+    After a pause longer than the window the counter is surely empty. Runs between such pauses that last no longer
+    than the window are numbered on the JVM; only longer runs, in which the count restarts on the way, are replayed.
+    """
+    window = seconds * MICROS
+    runs = materialize(segments(_named(df, keys, moment), ["_who"], moment, tie, seconds), "lockout-runs")
+    spans = runs.groupBy("_who", "segment").agg((F.max("_t") - F.min("_t") > window).alias("_busy"))
+    marked = runs.join(spans, ["_who", "segment"])
+    place = F.row_number().over(W.partitionBy("_who", "segment").orderBy("_t", tie)).cast("bigint")
+    calm = marked.filter(~F.col("_busy")).select(*df.columns, "_t", place.alias("failed_count"))
+    work = marked.filter("_busy").select("_who", *df.columns, "_t", F.col("_t").alias("_at"), F.lit(False).alias("_sure"))
+    work = materialize(work, "lockout-work")
+
+    def step(state: list[int], t: int, sure: bool) -> int:
+        if not state or t - state[0] > window:
+            state[:] = [t, 0]
+        state[1] += 1
+        return state[1]
+
+    def live(state: Column, start: Column) -> Column:
+        return F.when(F.get(state, F.lit(0)) >= start - window, state)
+
+    if not work.isEmpty():
+        played = replay(work, [tie], block * window, step, live, "failed_count", "bigint")
+        calm = calm.unionByName(played.withColumnRenamed("_at", "_t"))
     until = F.when(F.col("failed_count") >= limit, F.timestamp_micros(F.col("_t") + window))
-    return played.withColumn("locked_until", until).drop("segment", "_t")
+    return calm.withColumn("locked_until", until).drop("_t")
 
 
 def content(columns: list[str]) -> Column:
@@ -135,6 +148,10 @@ def content(columns: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def _ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+
+
 def chain_log(log: DataFrame, chain: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Append previous and own hash to every record of each chain, as a log writer would.
 

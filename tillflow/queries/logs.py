@@ -61,13 +61,38 @@ def burst_detect(spark, sf):
     return audit.bursts(views.order_events(spark, sf).select("event_id", "user_id", "ts"), ["user_id"], "ts", 21600, 3).drop("ts")
 
 
-@query("rate_limit_replay")
+def limiter_sql(keys: str, limit: int, seconds: int) -> str:
+    """The limiter by recursion: one step takes the next request of every key."""
+    same = " AND ".join(f"r.{k} = e.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT event_id, event_type, user_id, n, [t] AS accepted, true AS allowed FROM e WHERE n = 1
+      UNION ALL SELECT event_id, event_type, user_id, n, CASE WHEN len(kept) < {limit} THEN list_append(kept, t) ELSE kept END, len(kept) < {limit}
+      FROM (SELECT e.event_id, e.event_type, e.user_id, e.n, e.t, list_filter(r.accepted, lambda x: x > e.t - {seconds * 1_000_000}) AS kept FROM r JOIN e ON {same} AND e.n = r.n + 1))
+    SELECT event_id, event_type, allowed FROM r"""
+
+
+@query("rate_limit_replay", limiter_sql("event_type", 10, 3600))
 def rate_limit_replay(spark, sf):
+    """Few keys, each of them busy: the replay goes by blocks of time."""
     events = views.order_events(spark, sf).select("event_id", "event_type", "ts")
     return audit.rate_limit(events, ["event_type"], "ts", "event_id", 10, 3600).select("event_id", "event_type", "allowed")
 
 
-@query("lockout_replay")
+@query("rate_limit_by_user", limiter_sql("event_type, user_id", 2, 5 * 86400))
+def rate_limit_by_user(spark, sf):
+    """The limiter keyed by action and user, two in five days."""
+    events = views.order_events(spark, sf).select("event_id", "event_type", "user_id", "ts")
+    return audit.rate_limit(events, ["event_type", "user_id"], "ts", "event_id", 2, 5 * 86400).select("event_id", "event_type", "allowed")
+
+
+@query(
+    "lockout_replay",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+    r AS (SELECT event_id, user_id, t, n, t AS first, 1::bigint AS failed_count FROM e WHERE n = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.t, e.n, CASE WHEN e.t - r.first > 86400000000 THEN e.t ELSE r.first END, CASE WHEN e.t - r.first > 86400000000 THEN 1 ELSE r.failed_count + 1 END
+      FROM r JOIN e ON r.user_id = e.user_id AND e.n = r.n + 1)
+    SELECT event_id, user_id, failed_count, CASE WHEN failed_count >= 3 THEN make_timestamp(t + 86400000000) END AS locked_until FROM r""",
+)
 def lockout_replay(spark, sf):
     failed = views.order_events(spark, sf).filter(F.col("event_type") == "error").select("event_id", "user_id", "ts")
     out = audit.lockouts(failed, ["user_id"], "ts", "event_id", 3, 86400)
