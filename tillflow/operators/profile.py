@@ -1,9 +1,7 @@
 """Profiles, outliers, invalid dates and quality scores of any table.
 
-Distinct counts of many columns in one ``agg`` would expand every row once per column. Here every
-column is grouped on its own, which a columnar source serves with one read of each column, and
-combined on the map side: what is shuffled is one entry per distinct value and task. Texts enter as
-their hash, whatever their length.
+Distinct values of all columns come from one read: cells become (column, value), combined on the map
+side, so what is shuffled is one entry per distinct value and task. Long texts enter as their hash.
 """
 
 from __future__ import annotations
@@ -17,6 +15,8 @@ from .rules import rate
 
 IQR_FACTOR = 1.5
 MIN_OUTLIER_VALUES = 8
+#: Bounds the cells that one row turns into.
+COLUMNS_PER_READ = 32
 
 # Weights of the four pillars, their penalties and the rating limits.
 WEIGHTS = {"completeness": 0.35, "uniqueness": 0.30, "validity": 0.20, "consistency": 0.15}
@@ -31,26 +31,44 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
+def _value_key(name: str, kind: str) -> str:
+    """SQL of a text that is equal for equal values of one column, and for those only.
+
+    Long texts enter as their hash, whose 64 characters no text kept as it is has; 0.0 and -0.0 are one value.
+    """
+    c = "`" + name.replace("`", "``") + "`"
+    if kind == "string":
+        return f"if(octet_length({c}) < 64, {c}, sha2({c}, 256))"
+    if kind == "binary":
+        return f"sha2({c}, 256)"
+    if kind in ("float", "double"):
+        return f"cast(cast({c} AS double) + 0.0D AS string)"
+    if kind == "timestamp":
+        return f"cast(unix_micros({c}) AS string)"
+    if kind.startswith(("array", "struct", "map")):
+        return f"sha2(to_json({c}, map('ignoreNullFields', 'false')), 256)"
+    return f"cast({c} AS string)"
+
+
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows, nulls and distinct values per column.
+    """Rows, nulls and distinct values per column, from one read of the table per ``COLUMNS_PER_READ`` columns.
 
-    Each column is grouped on its own: a columnar source then reads every column once, keys keep
-    their type (texts enter as their hash), and values are combined on the map side before anything is shuffled. The frame
-    should be stored (see ``materialize``) when much work stands behind it.
+    Cells become (column, value) and are combined on the map side: what is shuffled is one entry per distinct value
+    and task, whatever the number of rows that share it. The frame should be stored (see ``materialize``) when much
+    work stands behind it.
     """
     kinds = dict(df.dtypes)
+    names = list(columns or df.columns)
     out = None
-    for c in columns or df.columns:
-        name = f"`{c}`"
-        key = f"sha2({name}, 256)" if kinds[c] == "string" else name
-        counted = df.groupBy(F.expr(key).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        row = counted.selectExpr(
-            f"'{c}' AS column", "v", "n"
-        ).groupBy("column").agg(
+    for at in range(0, len(names), COLUMNS_PER_READ):
+        cells = [f"named_struct('column', {at + i}, 'v', {_value_key(c, kinds[c])})" for i, c in enumerate(names[at : at + COLUMNS_PER_READ])]
+        counted = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        rows = counted.groupBy("column").agg(
             F.sum("n").alias("row_count"), F.expr("coalesce(sum(if(v IS NULL, n, 0)), 0)").alias("null_count"), F.count("v").alias("unique_count")
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+        out = rows if out is None else out.unionByName(rows)
+    named = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("column") + 1)
+    return out.withColumn("column", named)
 
 
 def light_profile(df: DataFrame) -> DataFrame:
