@@ -1,7 +1,7 @@
 """Cleaning steps and recipes.
 
 Each step is a function from frame to frame without any action; statistics a step needs (a mean, a
-median, fences) enter the plan as scalar subqueries. ``changed_cells`` counts what a step did.
+median, fences) enter the plan as scalar subqueries. ``run_recipe`` also counts what every step did.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialize
 from .dedup import keep_one
 from .fill import fill_directional
 from .profile import IQR_FACTOR, column_counts, numeric_columns, outlier_bounds, outliers
@@ -215,13 +216,76 @@ def undo(original: DataFrame, recipe: list[dict]) -> tuple[DataFrame, list[dict]
     return apply_recipe(original, recipe[:-1])
 
 
-def changed_cells(before: DataFrame, after: DataFrame, step: str, columns: list[str]) -> DataFrame:
-    """Rows before and after a step and the filled cells per column on both sides."""
-    def fold(df: DataFrame, tag: str) -> Column:
-        return df.agg(F.struct(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in columns if c in df.columns]).alias(tag)).scalar()
+#: Steps that read the whole frame for a statistic, or shuffle it.
+WHOLE_FRAME = ["impute_missing", "handle_outliers", "remove_duplicates"]
+STATISTICS = "step int, action string, rows_before bigint, rows_after bigint, rows_removed bigint, cells_changed bigint, columns_changed string, error string"
 
-    spark = before.sparkSession
-    a, b = fold(before, "a"), fold(after, "b")
-    base = spark.range(1).select(F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
-    base = base.select("step", F.col("a.rows").alias("rows_before"), F.col("b.rows").alias("rows_after"))
-    return base.withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
+
+def _changed(old: str, new: str, before: str, after: str) -> Column:
+    """Cells that a step changed; where the type changes, those that it emptied."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if before == after or (before in numbers and after in numbers):
+        return ~F.col(old).eqNullSafe(F.col(new))
+    return F.col(old).isNotNull() & F.col(new).isNull()
+
+
+def _observed(df: DataFrame, step: dict) -> tuple[DataFrame, Observation, list[str]]:
+    """The frame after a step, its counts, and the columns whose cells are compared."""
+    action, params = step["action"], dict(step.get("params", {}))
+    wanted = [params["column"]] if "column" in params else []
+    if action in ("strip_whitespace", "replace_placeholders"):
+        default = text_columns(df) if action == "strip_whitespace" else df.columns
+        wanted = params["columns"] = [c for c in (params.get("columns") or default) if c in df.columns]
+    kinds = dict(df.dtypes)
+    olds = {c: f"_was_{i}" for i, c in enumerate(wanted)}
+    after = STEPS[action](df.withColumns({o: F.col(c) for c, o in olds.items()}), **params)
+    now = dict(after.dtypes)
+    seen = Observation()
+    counts = [F.count_if(_changed(o, c, kinds[c], now[c])).alias(f"c{i}") for i, (c, o) in enumerate(olds.items())]
+    return after.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).drop(*olds.values()), seen, wanted
+
+
+def run_recipe(df: DataFrame, recipe: list[dict]) -> tuple[DataFrame, list[dict]]:
+    """The stored result of a recipe and what every step did: rows before, after and removed, cells changed, columns.
+
+    Counts are observed while the rows pass, so nothing is read again for them. Before a step that needs the whole frame
+    the rows are stored once: its statistic and the step read what is stored, and counts are always taken by the tasks
+    that write, of which Spark counts each once even when tasks are repeated. Steps that cannot be planned are recorded
+    and skipped. NULL is a missing value, never a placeholder that was replaced.
+    """
+    start = Observation()
+    df = df.observe(start, F.count(F.lit(1)).alias("rows"))
+    history: list[dict] = []
+    seen: list[tuple[dict, Observation, list[str]]] = []
+    for number, step in enumerate(recipe, start=1):
+        action = step.get("action")
+        entry = dict.fromkeys(("rows_before", "rows_after", "rows_removed", "cells_changed", "columns_changed", "error"))
+        entry = {"step": number, "action": action, **entry}
+        history.append(entry)
+        if action not in STEPS:
+            entry["error"] = "unknown operation"
+            continue
+        if action in WHOLE_FRAME:
+            df = materialize(df, "recipe")
+        try:
+            df, counts, columns = _observed(df, step)
+        except Exception as exc:  # noqa: BLE001 - the message goes into the history
+            entry["error"] = str(exc).splitlines()[0]
+            continue
+        seen.append((entry, counts, columns))
+    df = materialize(df, "recipe")
+    rows = start.get["rows"]
+    for entry, counts, columns in seen:
+        found = counts.get
+        cells = {c: found[f"c{i}"] for i, c in enumerate(columns)}
+        names = ",".join(c for c, n in cells.items() if n)
+        entry.update(rows_before=rows, rows_after=found["rows"], rows_removed=rows - found["rows"], cells_changed=sum(cells.values()), columns_changed=names)
+        rows = found["rows"]
+    return df, history
+
+
+def statistics(df: DataFrame, recipe: list[dict]) -> DataFrame:
+    """One row per step of ``run_recipe``."""
+    names = [part.split()[0] for part in STATISTICS.split(", ")]
+    history = run_recipe(df, recipe)[1]
+    return df.sparkSession.createDataFrame([tuple(e[n] for n in names) for e in history], STATISTICS)

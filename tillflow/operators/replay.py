@@ -76,7 +76,7 @@ def replay(rows: DataFrame, order: list[str], length: int, step: Step, live: Cal
     states = materialize(rows.select("_who", "_block").distinct().withColumn("_state", empty), "replay-states")
     # Only the end of a block with a next one matters.
     ahead = states.select("_who", (F.col("_block") - 1).alias("_block"))
-    leading = materialize(states.join(ahead, ["_who", "_block"], "left_semi"), "replay-leading")
+    leading = states.join(ahead, ["_who", "_block"], "left_semi")
 
     def played(part: DataFrame) -> DataFrame:
         return _ends(rows.join(part.select("_who", "_block"), ["_who", "_block"], "left_semi"), part, order, step)

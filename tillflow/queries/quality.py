@@ -307,3 +307,32 @@ def clean_recipe(spark, sf):
     ]
     out, _history = cleaning.apply_recipe(dirty(spark, sf), recipe)
     return out
+
+
+@query(
+    "clean_statistics",
+    f"""WITH {DIRTY}, a AS (SELECT *, trim(label, ' ' || chr(9)) AS stripped FROM dirty), b AS (SELECT *, CASE WHEN stripped NOT IN ('N/A', '-') THEN stripped END AS known FROM a),
+    m AS (SELECT median(amount) AS mid FROM dirty), c AS (SELECT *, coalesce(amount, mid) AS filled, try_cast(seen_on as timestamp) AS day FROM b, m),
+    q AS (SELECT quantile_cont(filled, 0.25) AS q1, quantile_cont(filled, 0.75) AS q3 FROM c), d AS (SELECT *, round(q1 - 1.5 * (q3 - q1), 9) AS lo, round(q3 + 1.5 * (q3 - q1), 9) AS hi FROM c, q),
+    e AS (SELECT count(*) AS n, count(CASE WHEN label <> stripped THEN 1 END) AS c1, count(CASE WHEN stripped IS NOT NULL AND known IS NULL THEN 1 END) AS c2, count(CASE WHEN upper(known) <> known THEN 1 END) AS c4,
+      count(*) - count(amount) AS c5, count(CASE WHEN filled < lo OR filled > hi THEN 1 END) AS c6, count(CASE WHEN seen_on IS NOT NULL AND day IS NULL THEN 1 END) AS c7, count(known) AS n8 FROM d),
+    f AS (SELECT count(*) AS n9 FROM (SELECT DISTINCT record_id, upper(known), least(greatest(filled, lo), hi), units, day, origin FROM d WHERE known IS NOT NULL)),
+    s AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS step, unnest(['strip_whitespace', 'replace_placeholders', 'no_such_step', 'change_case', 'impute_missing', 'handle_outliers', 'coerce', 'drop_missing', 'remove_duplicates']) AS action,
+      unnest([n, n, NULL, n, n, n, n, n, n8]) AS rows_before, unnest([n, n, NULL, n, n, n, n, n8, n9]) AS rows_after, unnest([c1, c2, NULL, c4, c5, c6, c7, 0, 0]) AS cells_changed,
+      unnest(['label', 'label', NULL, 'label', 'amount', 'amount', 'seen_on', '', '']) AS name, unnest([NULL, NULL, 'unknown operation', NULL, NULL, NULL, NULL, NULL, NULL]) AS error FROM e, f)
+    SELECT cast(step as integer) AS step, action, rows_before, rows_after, rows_before - rows_after AS rows_removed, cells_changed, CASE WHEN cells_changed = 0 THEN '' ELSE name END AS columns_changed, error FROM s""",
+)
+def clean_statistics(spark, sf):
+    """What every step of a recipe did to the rows and cells."""
+    recipe = [
+        {"action": "strip_whitespace"},
+        {"action": "replace_placeholders", "params": {"columns": ["label"]}},
+        {"action": "no_such_step"},
+        {"action": "change_case", "params": {"column": "label", "case_type": "upper"}},
+        {"action": "impute_missing", "params": {"column": "amount", "strategy": "median"}},
+        {"action": "handle_outliers", "params": {"column": "amount"}},
+        {"action": "coerce", "params": {"column": "seen_on", "target": "date"}},
+        {"action": "drop_missing", "params": {"columns": ["label"]}},
+        {"action": "remove_duplicates", "params": {"order": ["record_id"]}},
+    ]
+    return cleaning.statistics(dirty(spark, sf), recipe)
