@@ -72,6 +72,21 @@ def test_keep_one_limits_a_hot_key_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_rows_lost_between_layers_break_a_gate(spark):
+    from tillflow.operators.reconcile import layer_account
+
+    n = spark.range
+    full = layer_account("e", n(10), n(8), n(5), n(3))
+    assert rows(full) == [("e", 10, 2, 5, 3, 0, True)]
+    folded = spark.createDataFrame([(4,), (1,)], "samples long")
+    assert rows(layer_account("e", n(10), n(8), folded, n(3), "samples")) == rows(full)
+    assert rows(layer_account("e", n(0), n(0), folded.limit(0), n(0), "samples")) == [("e", 0, 0, 0, 0, 0, True)]
+    for lost in (layer_account("e", n(10), n(8), n(4), n(3)), layer_account("e", n(7), n(8), n(5), n(3))):
+        out = rules.gates(lost.select((~F.col("balanced")).cast("int").alias("unbalanced_entities")), {"unbalanced_entities": ("equal", 0)})
+        with pytest.raises(rules.GateError, match="unbalanced_entities"):
+            rules.enforce(out)
+
+
 def test_probe_does_not_multiply_children(spark):
     child = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string")
     parent = spark.createDataFrame([(1,), (1,), (3,)], "pk int")

@@ -254,6 +254,8 @@ def test_batch_run_is_repeatable_and_gated(spark, sf, tmp_path):
     assert {n: rows(df.select(sorted(df.columns))) for n, df in reports.items() if n != "gates"} == {n: r for n, r in first.items() if n != "gates"}
     assert spark.read.parquet(again.path("quarantine", "orders")).count() == rejected
     assert reports["reconciliation"].first().reconciliation_status == "EXACT_MATCH"
+    accounts = reports["accounting"].collect()
+    assert len(accounts) == 9 and all(a.balanced for a in accounts) and sum(a.rejected_rows for a in accounts) > 0 < sum(a.duplicate_rows for a in accounts)
     metric = reports["fact_metrics"].first()
     assert metric.grain_violations_count == 0 and metric.fact_row_count > 0
 

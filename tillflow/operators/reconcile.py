@@ -29,6 +29,34 @@ def revenue_reconciliation(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+def layer_account(entity: str, landed: DataFrame, checked: DataFrame, stored: DataFrame, rejected: DataFrame, weight: str | None = None) -> DataFrame:
+    """Where the rows of a landed table went, counted in the tables as they are stored.
+
+    Landed rows are duplicates or checked, checked ones valid or rejected. ``weight`` is the column of a folded table
+    that says how many rows one row stands for. ``variance`` is what is missing (or too much), ``balanced`` whether
+    nothing is.
+    """
+    rows = F.count(F.lit(1))
+    valid = F.coalesce(F.sum(weight), F.lit(0)) if weight else rows
+    counts = landed.agg(rows.alias("landed_rows")).select(
+        F.lit(entity).alias("entity"),
+        "landed_rows",
+        checked.agg(rows.alias("n")).scalar().alias("checked_rows"),
+        stored.agg(valid.alias("n")).scalar().alias("valid_rows"),
+        rejected.agg(rows.alias("n")).scalar().alias("rejected_rows"),
+    )
+    variance, duplicates = F.col("checked_rows") - F.col("valid_rows") - F.col("rejected_rows"), F.col("landed_rows") - F.col("checked_rows")
+    return counts.select(
+        "entity",
+        "landed_rows",
+        duplicates.alias("duplicate_rows"),
+        "valid_rows",
+        "rejected_rows",
+        variance.alias("variance"),
+        ((variance == 0) & (duplicates >= 0)).alias("balanced"),
+    )
+
+
 def column_tests(df: DataFrame, key: list[str], not_null: list[str], non_negative: list[str]) -> DataFrame:
     """Violation counts of unique, not_null and non-negative tests in one pass.
 

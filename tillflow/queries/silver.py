@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import raw
 from ..operators import rules
+from ..operators.reconcile import layer_account
 from ..plans import gold, silver
 from ..session import materialize
 from .registry import query
@@ -408,8 +409,13 @@ def dq_report(spark, sf):
     UNION ALL SELECT 'row_variance', variance::double, 0.0, variance = 0 FROM v""",
 )
 def dq_gates(spark, sf):
-    counts = rules.metrics(lake_of(spark, sf).flagged("orders"), "orders")
-    counts = counts.withColumn("row_variance", F.expr("input_count - valid_count - quarantined_count"))
+    """Rows are counted where they are flagged and again in what is stored as valid and as rejected."""
+    landed = raw.orders(spark, sf)
+    flagged = materialize(lake_of(spark, sf).flagged("orders"), "gate-flagged")
+    valid = materialize(rules.valid(flagged), "gate-valid")
+    rejected = materialize(rules.quarantine(flagged, "silver_orders", "batch", "2024-02-01 00:00:00"), "gate-rejected")
+    account = layer_account("orders", landed, flagged, valid, rejected)
+    counts = rules.metrics(flagged, "orders").withColumn("row_variance", account.select("variance").scalar())
     return rules.gates(counts, {"quarantine_pct": ("max", 1.0), "input_count": ("min", 1), "row_variance": ("equal", 0)})
 
 

@@ -78,10 +78,13 @@ def manifest(tables: dict[str, DataFrame], partitions: dict[str, str]) -> DataFr
     )
 
 
+def quarantine_folder(path: str, batch_id: str, rejected_at: str) -> str:
+    return f"{path}/_rejection_date={rejected_at[:10]}/_processing_batch_id={batch_id}"
+
+
 def write_quarantine(rejected: DataFrame, path: str, batch_id: str, rejected_at: str) -> None:
     """One folder per rejection date and batch: replaying a batch replaces its own rows, also by none."""
-    own = f"{path}/_rejection_date={rejected_at[:10]}/_processing_batch_id={batch_id}"
-    write_table(rejected.drop("_rejection_date", "_processing_batch_id"), own)
+    write_table(rejected.drop("_rejection_date", "_processing_batch_id"), quarantine_folder(path, batch_id, rejected_at))
 
 
 def append_history(records: DataFrame, path: str) -> None:
