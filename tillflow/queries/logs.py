@@ -91,12 +91,12 @@ def rate_limit_by_user(spark, sf):
     r AS (SELECT event_id, user_id, t, n, t AS first, 1::bigint AS failed_count FROM e WHERE n = 1
       UNION ALL SELECT e.event_id, e.user_id, e.t, e.n, CASE WHEN e.t - r.first > 86400000000 THEN e.t ELSE r.first END, CASE WHEN e.t - r.first > 86400000000 THEN 1 ELSE r.failed_count + 1 END
       FROM r JOIN e ON r.user_id = e.user_id AND e.n = r.n + 1)
-    SELECT event_id, user_id, failed_count, CASE WHEN failed_count >= 3 THEN make_timestamp(t + 86400000000) END AS locked_until FROM r""",
+    SELECT event_id, user_id, failed_count, CASE WHEN failed_count >= 3 THEN strftime(make_timestamp(t + 86400000000), '%Y-%m-%d %H:%M:%S.%f') END AS locked_until FROM r""",
 )
 def lockout_replay(spark, sf):
     failed = views.order_events(spark, sf).filter(F.col("event_type") == "error").select("event_id", "user_id", "ts")
     out = audit.lockouts(failed, ["user_id"], "ts", "event_id", 3, 86400)
-    return out.select("event_id", "user_id", "failed_count", "locked_until")
+    return out.select("event_id", "user_id", "failed_count", F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("locked_until"))
 
 
 def mask_sql(expr: str) -> str:
