@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import raw, views
@@ -11,10 +12,10 @@ from ..operators import rules
 from ..operators.select import text_columns
 from ..plans import gold, silver
 from ..session import shared_dir
-from ..sources import bronze, contract, files, versions, warehouse
+from ..sources import bronze, contract, files, splits, versions, warehouse
 from .registry import query, table
 from .silver import CUST, GEO, lake_of
-from .sqlbits import big, dbl
+from .sqlbits import big, dbl, leaf_sql, tree_sql
 
 ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -171,6 +172,50 @@ def delimiter_sniff(spark, sf):
     return out
 
 
+@query("csv_range_scan", "SELECT cast(doc_id as varchar) AS doc_id, '\"' || source || '\",;' || chr(10) || lang AS note, length(text) AS text_length FROM documents")
+def csv_range_scan(spark, sf):
+    """The same files as ``csv_scan_roundtrip``, read in byte ranges whatever their size."""
+    path = shared_dir(spark, "csv")
+    note = F.concat(F.lit('"'), "source", F.lit('",;\n'), "lang")
+    docs = table(spark, sf, "documents").select("doc_id", note.alias("note"), "text")
+    docs.write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    return splits.read_csv_ranges(spark, path).select("doc_id", "note", F.length("text").cast("bigint").alias("text_length"))
+
+
+@query("json_array_range_scan", "SELECT doc_id, source, lang, length(text) AS text_length, sha256(text) AS text_sha256 FROM documents")
+def json_array_range_scan(spark, sf):
+    """Whole documents written as JSON arrays on one line each, sixteen files, and read back in byte ranges."""
+    path = shared_dir(spark, "json-array")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    ordered = W.partitionBy("part").orderBy("doc_id")
+    rows = docs.select(F.pmod("doc_id", F.lit(16)).alias("part"), "doc_id", F.to_json(F.struct(*docs.columns)).alias("body"))
+    opening = F.when(F.row_number().over(ordered) == 1, "[").otherwise(",")
+    closing = F.when(F.lead("doc_id").over(ordered).isNull(), "]").otherwise("")
+    lines = rows.select("part", "doc_id", F.concat(opening, "body", closing).alias("value")).sortWithinPartitions("part", "doc_id")
+    lines.select("part", "value").write.option("lineSep", " ").partitionBy("part").text(path)
+    back = splits.read_json_ranges(spark, path)
+    return back.select("doc_id", "source", "lang", F.length("text").cast("bigint").alias("text_length"), F.sha2("text", 256).alias("text_sha256"))
+
+
+LINE_SQL = "cast(doc_id as varchar) || ' ' || replace(coalesce(text, ''), chr(10), ' ')"
+
+
+@query(
+    "file_tree_fingerprint",
+    f"""WITH rows_of AS (SELECT cast(doc_id % 4 as bigint) AS part, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS node, {LINE_SQL} AS line FROM documents),
+    {tree_sql(f"SELECT part, node, {leaf_sql(['line'])} AS digest FROM rows_of", "part", 16)}
+    SELECT part, (SELECT count(*) FROM t0 WHERE t0.part = t8.part) AS lines, digest AS fingerprint FROM t8""",
+)
+def file_tree_fingerprint(spark, sf):
+    """Fingerprints of four text files that hold all documents, one per line in order of their ids."""
+    path = shared_dir(spark, "lines")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "))
+    rows = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(4)).alias("part"), "doc_id", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    found = splits.file_fingerprints(spark, path, 16)
+    return found.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part"), "lines", "fingerprint")
+
+
 @query("sanitize_columns", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS name_1, c_nationkey AS unnamed_column_4 FROM customer")
 def sanitize_columns(spark, sf):
     messy = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").toDF(" id\x07", "name", "name ", " ")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions.text import SECRET_PATTERNS, mask_secrets
-from ..operators import audit, ops
+from ..operators import audit, ops, trees
+from ..session import materialize
 from .registry import query, table
-from .sqlbits import big
+from .sqlbits import big, leaf_sql, tree_sql
 
 SEVERITY = {"error": "HIGH", "signup": "WARNING", "purchase": "INFO", "click": "INFO", "view": "INFO"}
 SEVERITY_SQL = "CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END"
@@ -52,6 +53,22 @@ def hash_chain_check(spark, sf):
     return audit.verify_chain(tampered, ["user_id", "day"], FIELDS)
 
 
+@query(
+    "log_tree_check",
+    f"""WITH placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node FROM events),
+    {tree_sql(f"SELECT user_id, node, {leaf_sql(['event_id::varchar', 'event_type', 'user_id::varchar', 'props'])} AS digest FROM placed", "user_id", 16)},
+    forged AS (SELECT user_id, count(*) AS records, count(CASE WHEN event_id % 997 = 0 THEN 1 END) AS broken, min(CASE WHEN event_id % 997 = 0 THEN node END) AS first_broken FROM placed GROUP BY user_id)
+    SELECT user_id, digest AS root, records, broken, first_broken, broken = 0 AS valid FROM t8 JOIN forged USING (user_id)""",
+)
+def log_tree_check(spark, sf):
+    """A hash tree per user over the whole log; records whose number is a multiple of 997 are altered later."""
+    events = views.order_events(spark, sf).select(*FIELDS, "ts", F.date_trunc("day", "ts").alias("day"))
+    sealed = materialize(trees.seal_log(events, ["user_id"], "day", ["ts", "event_id"]), "sealed-log")
+    stored = trees.log_tree(sealed, ["user_id"], FIELDS, 16)
+    forged = sealed.withColumn("event_type", F.when(F.col("event_id") % 997 == 0, F.lit("forged")).otherwise(F.col("event_type")))
+    return trees.verify_log(forged, stored, ["user_id"], FIELDS, 16)
+
+
 @query(
     "burst_detect",
     """WITH t AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events) SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS trailing_count,

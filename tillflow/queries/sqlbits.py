@@ -57,3 +57,19 @@ def pct_delta(a: str, b: str) -> str:
         f"CASE WHEN {a} = 0 AND {b} = 0 THEN 0.0 WHEN {a} = 0 AND {b} > 0 THEN 100.0 "
         f"WHEN {a} = 0 THEN -100.0 ELSE ({b} - {a}) / abs({a}) * 100.0 END"
     )
+
+
+def leaf_sql(fields: list[str]) -> str:
+    """Digest of a hash tree's leaf over text fields."""
+    return "sha256('leaf:' || " + " || ".join(f"coalesce(length({f})::varchar || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def tree_sql(leaves: str, keys: str, fanout: int, height: int = 8) -> str:
+    """CTEs t0 to t{height} of a hash tree over ``leaves`` (keys, node, digest); lone nodes go up unchanged."""
+    out = [f"t0 AS ({leaves})"]
+    for level in range(height):
+        out.append(
+            f"t{level + 1} AS (SELECT {keys}, parent AS node, CASE WHEN count(*) = 1 THEN max(digest) ELSE sha256('node:' || string_agg(digest, '' ORDER BY node)) END AS digest "
+            f"FROM (SELECT *, node // {fanout} AS parent FROM t{level}) GROUP BY {keys}, parent)"
+        )
+    return ", ".join(out)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import splits
+
 DELIMITERS = [",", ";", "\t", "|"]
 BOM = "\ufeff"
 MAX_NAME = 128
@@ -18,11 +20,20 @@ class InputError(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All columns as text; quoted fields may span lines and double their quotes."""
+    """All columns as text; quoted fields may span lines and double their quotes.
+
+    Files longer than a split are read in byte ranges, as Spark's multi-line reader gives a file to one task.
+    """
+    if splits.largest_file(spark, path) > split_bytes(spark):
+        return normalize_header(splits.read_csv_ranges(spark, path, delimiter))
     options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "sep": delimiter}
     return normalize_header(spark.read.options(**options).csv(path))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 def normalize_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(BOM, "").strip() for c in df.columns])
 
@@ -73,8 +84,10 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     elif name.endswith((".jsonl", ".ndjson")):
         df = spark.read.json(path)
     elif name.endswith(".json"):
-        first = spark.read.text(path).filter(F.trim("value") != "").first()
-        df = spark.read.option("multiLine", bool(first) and first.value.lstrip().startswith("[")).json(path)
+        start = F.substring(F.regexp_replace("value", r"^[\x{FEFF}\s]+", ""), 1, 1)
+        first = spark.read.option("lineSep", "}").text(path).select(start.alias("c")).filter("c != ''").first()
+        array = bool(first) and first.c == "["
+        df = splits.read_json_ranges(spark, path) if array and splits.largest_file(spark, path) > split_bytes(spark) else spark.read.option("multiLine", array).json(path)
     else:
         raise InputError(f"unsupported file type: {path}")
     if not df.columns or df.isEmpty():
@@ -132,9 +145,3 @@ def fingerprint(df: DataFrame) -> DataFrame:
         F.bit_xor(row).alias("hash_xor"),
         F.sum(row.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
     ).withColumn("columns", F.lit(",".join(df.columns)))
-
-
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("fingerprint"))
