@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 import xxhash
 from loops import plain_roots
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -285,6 +286,37 @@ def test_mixing(odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0
 
 
+def test_mixing_chances_are_unequal_and_decide(spark):
+    """Inclusion rates fit the chances, and order by u alone would take other documents."""
+    size = F.expr("cast(pow(2, id % 8) as int)")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 == 0, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("source"), F.repeat(F.lit("w "), size).alias("text"))
+    docs = docs.withColumn("__copy", F.lit("mine")).withColumn("row", F.lit(2))
+    share = dict(weights=(1, 3, 3), total=0.9)
+    _, decided = mixing.plan(docs, "doc_id", "text", "source", (1, 3, 3), 0.9, 2, "mix-1")
+    chance = {(r["source"], r["bits"]): (r["whole"], r["p"], r["source_size"], r["target"]) for r in decided.collect()}
+    rows = [(r["source"], r["doc_id"], r["size"], r["copies"]) for r in mixing.mix(docs, **share).join(docs.select("doc_id", "source"), "doc_id").collect()]
+    held, extra, words = Counter(), Counter(), Counter()
+    for source, _, n, copies in rows:
+        key = source, n.bit_length()
+        held[key] += 1
+        extra[key] += copies - chance[key][0]
+        words[source] += copies * n
+    assert max(abs(extra[k] / held[k] - chance[k][1]) * held[k] ** 0.5 for k in held) < 2.5
+    assert len({p for _, p, _, _ in chance.values() if 0 < p < 1}) > 16
+    for (source, bits), (whole, p, total, target) in chance.items():
+        assert abs(words[source] - target) <= 128 and (p in (0, 1) or 0 < p < 1)
+        tops = [q for (s, _), (_, q, _, _) in chance.items() if s == source and 0 < q < 1]
+        assert not 0 < p < 1 or abs(p / bits - min(tops) / min(b for (s, b), (_, q, _, _) in chance.items() if s == source and q == min(tops))) < 1e-9
+    ranked_by_u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.chance(F.col("doc_id")).alias("u")).collect()}
+    taken = [ranked_by_u[d] for s, d, n, c in rows if s == "c" and 0 < chance[s, n.bit_length()][1] < 1 and c > chance[s, n.bit_length()][0]]
+    left = [ranked_by_u[d] for s, d, n, c in rows if s == "c" and 0 < chance[s, n.bit_length()][1] < 1 and c == chance[s, n.bit_length()][0]]
+    assert max(taken) > min(left) + 0.05
+    other = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, **share, seed="mix-2").collect()}
+    assert sum(other[d] != c for _, d, _, c in rows) > 1000
+    mixed = mixing.mixed_rows(docs, **share)
+    assert mixed.columns == docs.columns and mixed.count() == sum(c for *_, c in rows) and {tuple(r) for r in mixed.select("__copy", "row").distinct().collect()} == {("mine", 2)}
+
+
 def plain_fingerprint(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

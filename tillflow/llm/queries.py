@@ -88,15 +88,23 @@ l AS (
   FROM w WINDOW p AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source NULLS LAST)),
 g AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT max(lv) FROM l WHERE lv * weight <= cap) * weight, cap::DOUBLE)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio FROM g),
+m AS (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size::DOUBLE AS rest FROM r),
+b AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM d),
+z AS (SELECT b.source, b.bits, m.rest, CAST(sum(b.size) AS BIGINT) AS words FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source WHERE b.size > 0 GROUP BY ALL),
+q AS (
+  SELECT *, (rest - coalesce(sum(words) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(bits * words) OVER (c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lv
+  FROM z WINDOW c AS (PARTITION BY source ORDER BY bits DESC)),
+i AS (SELECT *, greatest(0, least(1, coalesce(max(CASE WHEN lv * bits <= 1 THEN lv END) OVER (PARTITION BY source) * bits, 1)))::DOUBLE AS p FROM q),
+f AS (SELECT source, bits, p, rest - coalesce(sum(CASE WHEN p >= 1 THEN words END) OVER (PARTITION BY source), 0)::DOUBLE AS rest FROM i),
 u AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.source, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest,
-    (('0x' || substr(md5('mix-1:' || d.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS x
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY x, doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM u WHERE size > 0 AND p > 0),
-c AS (SELECT doc_id, 1 AS extra FROM k WHERE 2 * reached - size <= 2 * rest)
-SELECT u.doc_id, u.size, u.source_size, u.target, CAST((u.whole + coalesce(c.extra, 0)) * u.size AS BIGINT) AS taken
-FROM u LEFT JOIN c ON c.doc_id = u.doc_id"""
+  SELECT b.doc_id, b.size, b.source, f.p, f.rest, (('0x' || substr(md5('mix-1:' || b.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS x
+  FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source AND b.bits = f.bits),
+o AS (SELECT *, (x / (1 - x)) / (p / (1 - p)) AS odds FROM u WHERE p > 0 AND p < 1),
+k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM o),
+e AS (SELECT doc_id FROM k WHERE 2 * reached - size <= 2 * rest UNION ALL SELECT doc_id FROM u WHERE p >= 1)
+SELECT d.doc_id, d.size, m.source_size, m.target, CAST((m.whole + CASE WHEN e.doc_id IS NULL THEN 0 ELSE 1 END) * d.size AS BIGINT) AS taken
+FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source LEFT JOIN e ON e.doc_id = d.doc_id"""
 
 
 @query("op8_mixing", MIXING_SQL)
