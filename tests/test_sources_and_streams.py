@@ -293,6 +293,27 @@ def test_batch_run_over_csv_files(spark, tmp_path):
     assert reports["reconciliation"].first().reconciliation_status == "EXACT_MATCH"
 
 
+def test_batch_run_refuses_unusable_files(spark, tmp_path):
+    paths = {entity: str(tmp_path / f"{entity}.csv") for entity in LANDING}
+    for entity, text in LANDING.items():
+        (tmp_path / f"{entity}.csv").write_text({"sellers": "", "reviews": text.splitlines()[0] + "\n"}.get(entity, text))
+    (tmp_path / "payments.csv").rename(tmp_path / "other.csv")
+    run = BatchRun(spark, str(tmp_path / "lake"), "b1", "2024-02-01 00:00:00")
+    with pytest.raises(files.InputError, match="payments: MISSING; reviews: NO_ROWS; sellers: EMPTY_FILE"):
+        run.run_files(paths, limit_pct=60.0)
+    for entity, text in LANDING.items():
+        (tmp_path / f"{entity}.csv").write_text(text.replace("seller_city", "town").replace("payment_value", "amount"))
+    with pytest.raises(files.InputError, match="payments: lacks payment_value; sellers: lacks seller_city|sellers: lacks seller_city; payments: lacks payment_value"):
+        run.run_files(paths, limit_pct=60.0)
+    assert not (tmp_path / "lake").exists()
+    for entity, text in LANDING.items():
+        (tmp_path / f"{entity}.csv").write_text(text)
+    run.run_files(paths, limit_pct=60.0)
+    assert run.read("bronze", "orders").select("_source_file").distinct().first()[0] == "orders.csv"
+    stamps = run.read("gold", "fact_sales").select(F.date_format("_processed_at", "yyyy-MM-dd HH:mm:ss")).distinct().collect()
+    assert [r[0] for r in stamps] == ["2024-02-01 00:00:00"] and len(run.read("gold", "fact_sales").columns) == 21
+
+
 def test_a_rerun_leaves_nothing_behind(spark, tmp_path):
     from tillflow.sources import bronze, versions
 

@@ -15,7 +15,7 @@ from ..session import shared_dir
 from ..sources import bronze, contract, files, splits, versions, warehouse
 from .registry import query, table
 from .silver import CUST, GEO, lake_of
-from .sqlbits import big, dbl, leaf_sql, tree_sql
+from .sqlbits import ITEMS, big, dbl, leaf_sql, tree_sql
 
 ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -353,21 +353,60 @@ CONTRACT = {
 }
 
 
-@query(
-    "contract_validate",
-    """WITH f AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), u AS (SELECT cast(sum(n - 1) as bigint) AS v FROM (SELECT count(*) AS n FROM f GROUP BY l_orderkey, l_linenumber)),
-    s AS (SELECT count(*) AS v FROM f WHERE l_suppkey % 31 = 0)
-    SELECT 'fact_sales' AS table_name, 'schema' AS "check", 'COMPATIBLE' AS status, 0::bigint AS violations UNION ALL SELECT 'fact_sales', 'unique:order_id,order_item_id', CASE WHEN v = 0 THEN 'PASSED' ELSE 'FAILED' END, v FROM u
-    UNION ALL SELECT 'fact_sales', 'reference:customer_id', 'PASSED', 0 UNION ALL SELECT 'fact_sales', 'reference:product_id', 'PASSED', 0
-    UNION ALL SELECT 'fact_sales', 'reference:seller_id', CASE WHEN v = 0 THEN 'PASSED' ELSE 'FAILED' END, v FROM s UNION ALL SELECT 'fact_sales', 'reference:order_date_key', 'PASSED', 0
-    UNION ALL SELECT 'dim_customer', 'schema', 'COMPATIBLE', 0 UNION ALL SELECT 'dim_customer', 'unique:customer_id', 'PASSED', 0 UNION ALL SELECT 'dim_product', 'schema', 'SCHEMA_MISMATCH', 1
-    UNION ALL SELECT 'dim_product', 'unique:product_id', 'PASSED', 0 UNION ALL SELECT 'dim_seller', 'schema', 'COMPATIBLE', 0 UNION ALL SELECT 'dim_seller', 'unique:seller_id', 'PASSED', 0
-    UNION ALL SELECT 'dim_date', 'schema', 'COMPATIBLE', 0 UNION ALL SELECT 'dim_date', 'unique:date_key', 'PASSED', 0 UNION ALL SELECT 'dim_location', 'schema', 'MISSING', 1""",
-)
-def contract_validate(spark, sf):
+def _keys_sql(table: str, key: str, columns: str, source: str) -> str:
+    return f"""SELECT '{table}' AS table_name, 'unique:{key}' AS "check", CASE WHEN v = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, v AS violations
+    FROM (SELECT cast(coalesce(sum(n - 1), 0) as bigint) AS v FROM (SELECT count(*) AS n FROM {source} GROUP BY {columns}))"""
+
+
+def _parent_sql(key: str, child: str, parent: str) -> str:
+    return f"""SELECT 'fact_sales', 'reference:{key}', CASE WHEN v = 0 THEN 'PASSED' ELSE 'FAILED' END, v FROM (SELECT count(*) AS v FROM f ANTI JOIN (SELECT DISTINCT {parent}) p ON p.k = f.{child})"""
+
+
+def _schema_sql(table: str, source: str) -> str:
+    return f"""SELECT '{table}', 'schema', CASE WHEN count(*) = 0 THEN 'EMPTY' ELSE 'COMPATIBLE' END, 0::bigint FROM {source}"""
+
+
+FINDINGS_SQL = f"""WITH f AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey), people AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+sellers AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 31 <> 0),
+days AS (SELECT unnest(generate_series(date_trunc('year', min(o_orderdate)), date_trunc('year', max(o_orderdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM orders),
+findings AS ({_keys_sql("fact_sales", "order_id,order_item_id", "l_orderkey, l_linenumber", "f")}
+  UNION ALL {_schema_sql("fact_sales", "f")} UNION ALL {_schema_sql("dim_customer", "people")} UNION ALL {_schema_sql("dim_seller", "sellers")} UNION ALL {_schema_sql("dim_date", "days")}
+  UNION ALL {_keys_sql("dim_customer", "customer_id", "c_custkey", "people")} UNION ALL {_keys_sql("dim_product", "product_id", "p_partkey", "part")}
+  UNION ALL {_keys_sql("dim_seller", "seller_id", "s_suppkey", "sellers")} UNION ALL {_keys_sql("dim_date", "date_key", "d", "days")}
+  UNION ALL {_parent_sql("customer_id", "o_custkey", "c_custkey AS k FROM people")} UNION ALL {_parent_sql("product_id", "l_partkey", "p_partkey AS k FROM part")}
+  UNION ALL {_parent_sql("seller_id", "l_suppkey", "s_suppkey AS k FROM sellers")} UNION ALL {_parent_sql("order_date_key", "o_orderdate::date", "d::date AS k FROM days")}
+  UNION ALL SELECT 'dim_product', 'schema', 'SCHEMA_MISMATCH', 1 UNION ALL SELECT 'dim_location', 'schema', 'MISSING', 1)"""
+
+
+def exported(spark, sf):
+    """The star with a column, a dimension and every 31st seller missing."""
     tables = star(spark, sf)
     tables["dim_seller"] = tables["dim_seller"].filter(F.col("seller_id") % 31 != 0)
-    return contract.validate(tables, CONTRACT)
+    return tables
+
+
+@query("contract_validate", f"{FINDINGS_SQL} SELECT * FROM findings")
+def contract_validate(spark, sf):
+    return contract.validate(exported(spark, sf), CONTRACT)
+
+
+@query(
+    "export_manifest",
+    f"""{FINDINGS_SQL}, {ITEMS}, held AS (SELECT i.* FROM items i JOIN orders ON i.order_id = o_orderkey)
+    SELECT 'retail_lake' AS target, '2024-02-01 00:00:00' AS generated_at, table_name, count(*) AS checks, count(CASE WHEN status NOT IN ('COMPATIBLE', 'PASSED') THEN 1 END) AS broken, cast(sum(violations) as bigint) AS violations,
+    (SELECT bool_and(status IN ('COMPATIBLE', 'PASSED')) FROM findings) AS exportable, (SELECT {dbl("sum(total_item_value)")} FROM held) AS total_gross_revenue, (SELECT {dbl("sum(freight_value)")} FROM held) AS total_freight_revenue,
+    (SELECT count(*) FROM held) AS total_fact_rows, (SELECT count(DISTINCT order_id) FROM held) AS total_distinct_orders FROM findings GROUP BY table_name""",
+)
+def export_manifest(spark, sf):
+    """The manifest of the same star, written, read back and counted per table."""
+    made = contract.export_manifest(exported(spark, sf), CONTRACT, "fact_sales", "retail_lake", "2024-02-01 00:00:00")
+    back = contract.write_manifest(made, shared_dir(spark, "manifest"))
+    rows = back.select("target", "generated_at", "exportable", "reconciled_metrics", F.explode("compatibility").alias("c"))
+    broken = F.count_if(~F.col("c.status").isin("COMPATIBLE", "PASSED"))
+    per_table = rows.groupBy("target", "generated_at", F.col("c.table_name").alias("table_name"), "exportable", "reconciled_metrics")
+    counted = per_table.agg(F.count(F.lit(1)).alias("checks"), broken.alias("broken"), F.sum("c.violations").alias("violations"))
+    metrics = ("total_gross_revenue", "total_freight_revenue", "total_fact_rows", "total_distinct_orders")
+    return counted.select("target", "generated_at", "table_name", "checks", "broken", "violations", "exportable", *[f"reconciled_metrics.{m}" for m in metrics])
 
 
 # --- incremental -------------------------------------------------------------------------------------

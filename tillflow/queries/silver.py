@@ -488,6 +488,7 @@ def build_fact(lake):
         gold.dim_customer(lake.valid("customers")),
         gold.dim_product(lake.valid("products")),
         gold.dim_seller(lake.valid("sellers")),
+        "2024-02-01 00:00:00",
     )
 
 
@@ -505,11 +506,11 @@ FACT = """fact AS (SELECT sha256(i.order_id || '||' || cast(i.order_item_id as v
     f"""{ITEMS_BASE}, {FACT} SELECT sales_fact_key, order_id, order_item_id, customer_key, product_key, seller_key, order_date_key, location_key, order_status,
     strftime(purchased, {TS}) AS order_purchase_timestamp, strftime(delivered, {TS}) AS order_delivered_customer_date,
     strftime(estimated, {TS}) AS order_estimated_delivery_date, delivery_days, is_delayed, order_item_quantity, {dbl('item_price')} AS item_price,
-    {dbl('freight_value')} AS freight_value, {dbl('gross_item_value')} AS gross_item_value, {dbl('total_item_value')} AS total_item_value, order_year_month FROM fact""",
+    {dbl('freight_value')} AS freight_value, {dbl('gross_item_value')} AS gross_item_value, {dbl('total_item_value')} AS total_item_value, order_year_month, '2024-02-01 00:00:00' AS _processed_at FROM fact""",
 )
 def fact_sales(spark, sf):
     out = build_fact(settled_lake(spark, sf))
-    times = ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date")
+    times = ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date", "_processed_at")
     amounts = ("item_price", "freight_value", "gross_item_value", "total_item_value")
     return out.withColumns({**{c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times}, **{c: F.col(c).cast("double") for c in amounts}})
 
