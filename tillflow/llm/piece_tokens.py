@@ -19,6 +19,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
@@ -283,7 +284,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; texts pass whole, in Arrow batches.
 
-    forget: clear the units with each task, where other work follows on the same workers.
+    forget: drop the model, its units and pair tables with each task, where other work follows on the same workers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,12 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         if forget:
+            # The waiting process would keep its pair tables and Arrow's free pages beside the executor's heap.
             model.units.clear()
+            _models.pop(model_path, None)
+            del model
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
