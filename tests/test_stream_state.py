@@ -41,3 +41,19 @@ def test_three_arrivals_equal_the_batch_twin(spark, tmp_path, twin, arrivals):
     assert rows(so.merged_sliding(read(f"{root}/sliding"))) == sliding
     assert rows(so.merged_kpis(read(f"{root}/orders"), read(f"{root}/counts"))) == kpis
     assert read(f"{root}/quarantine").count() == 3
+
+
+def test_ids_share_the_state_of_their_part(spark, tmp_path, monkeypatch):
+    """State rows, one Python call each, stay at the number of parts; ids leave a part one by one."""
+    monkeypatch.setattr(so, "STATE_PARTS", 3)
+    root = str(tmp_path)
+    days = [[message(f"a{i}", "2024-01-01 10:00:00", 2.0, "o1") for i in range(40)], [message(f"b{i}", "2024-01-03 10:00:00", 3.0, "o2") for i in range(20)], [message("b1", "2024-01-03 09:30:00", 1.0, "o3")]]
+    for values in days:
+        spark.createDataFrame([(v,) for v in values], "value string").write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema("value string").parquet(f"{root}/log")
+        query = so.run_batches(so.changes(so.check(so.parse(stream)), "1 hour"), so.write_changes(root), f"{root}/checkpoint", "update")
+        states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+        assert states and max(states) <= 3
+    signs = spark.read.parquet(f"{root}/changes").where("event_id = 'b1'").select("sign").collect()
+    assert sorted(r.sign for r in signs) == [-1, 1, 1]
+    assert rows(so.merged_kpis(spark.read.parquet(f"{root}/orders"), spark.read.parquet(f"{root}/counts")))[0][:4] == (61, 60, 0, 1)

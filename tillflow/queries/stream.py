@@ -253,9 +253,10 @@ def three_arrivals(spark, sf, name):
     """The messages of the log in three arrivals, in disorder; the second of two copies comes one arrival later or earlier."""
     root = shared_dir(spark, name)
     copies = messages(spark, sf).groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))
-    sent = copies.withColumn("arrival", F.pmod(F.xxhash64("value") + F.col("c"), F.lit(3)))
+    copies.withColumn("arrival", F.pmod(F.xxhash64("value") + F.col("c"), F.lit(3))).select("value", "arrival").write.partitionBy("arrival").parquet(f"{root}/sent")
     for arrival in range(3):
-        sent.filter(F.col("arrival") == arrival).select("value").write.mode("append").parquet(f"{root}/log")
+        stored = spark.read.schema("value string, arrival bigint").parquet(f"{root}/sent")
+        stored.filter(F.col("arrival") == arrival).select("value").write.mode("append").parquet(f"{root}/log")
         stream = spark.readStream.schema("value string").parquet(f"{root}/log")
         so.run_batches(so.changes(so.check(so.parse(stream)), DELAY), so.write_changes(root), f"{root}/checkpoint", "update")
     return root

@@ -6,6 +6,8 @@ batch twin of a streaming query is the same code on a static frame.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -196,62 +198,81 @@ def kpis(checked: DataFrame) -> DataFrame:
 # --- state across micro-batches -------------------------------------------------------------------
 
 CHANGES = "ok boolean, event_id string, value string, sign int, seen bigint"
+#: Parts that ids are dealt to. A call of Python takes all rows of a part, so calls do not grow with the ids.
+STATE_PARTS = 1024
+#: The time of an event without one: before all others, as NULL is the least value.
+NO_TIME = -(1 << 63)
+
+
+def _stored(held: dict[str, list]) -> bytes:
+    """Held copies of a part as bytes: id, time, text, newest time and time of leaving of each."""
+    return zlib.compress(json.dumps([[key, *copy] for key, copy in held.items()]).encode(), 1)
+
+
+def _held(data: bytes) -> dict[str, list]:
+    return {key: copy for key, *copy in json.loads(zlib.decompress(data))}
 
 
 def changes(checked: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """What every micro-batch changes in the set of distinct valid events, as signed rows.
 
     Of the copies of an event the least one counts, by time, then by text, so any order of arrival leads to the
-    same row. State per id holds that one copy and goes when the watermark has passed its copies by the delay. A
+    same row. State holds that one copy per id and lets it go when the watermark has passed its copies by the delay. A
     better copy gives two rows: the one it replaces with sign -1, itself with +1. Copies that change nothing have sign
     0, rejected messages too; ``seen`` counts the messages behind a row. Sums of signed amounts over any batches are
     therefore those of the distinct events, without reading earlier batches. Copies later than the watermark are dropped
-    by it, as by every operator with event time.
+    by it, as by every operator with event time. Ids share the state of their part, which has the time-out of the
+    first of them to leave.
     """
-    span = pd.Timedelta(delay)
+    span = int(pd.Timedelta(delay).total_seconds() * 1000)
     ok = F.size(rules.IDS) == 0
     rows = checked.withWatermark("event_timestamp", delay).select(
         ok.alias("ok"),
-        # Rejected messages have no common id; their own hash spreads them over tasks.
-        F.when(ok, F.col("event_id")).otherwise(F.sha2(F.coalesce("value", F.lit("")), 256)).alias("key"),
         F.when(ok, F.col("event_id")).alias("event_id"),
         "event_timestamp",
+        F.coalesce(F.unix_micros("event_timestamp"), F.lit(NO_TIME)).alias("at"),
         "value",
+        # Rejected messages have no common id; their own text spreads them over parts.
+        F.pmod(F.xxhash64(F.when(ok, F.col("event_id")).otherwise(F.col("value"))), F.lit(STATE_PARTS)).alias("part"),
     )
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good, _ = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get if state.exists else None
-        best, last, seen, out = before, before[2] if before else 0, 0, []
-        event_id = None
-        for frame in frames:
-            seen += len(frame)
-            event_id = frame["event_id"].iloc[0]
-            for t, value in zip(frame["event_timestamp"], frame["value"]):
+        now = state.getCurrentWatermarkMs()
+        held = _held(state.get[0]) if state.exists else {}
+        out: list[tuple] = []
+        found: dict[str, list] = {}
+        for frame in () if state.hasTimedOut else frames:
+            for good, event, at, value in zip(frame["ok"], frame["event_id"], frame["at"].tolist(), frame["value"]):
                 if not good:
                     out.append((False, None, value, 0, 1))
                     continue
-                # Without a time first, as NULL is the least value.
-                at = -1 if pd.isna(t) else t.value // 1000
-                last = max(last, at)
-                if best is None or (at, value) < (best[0], best[1]):
-                    best = (at, value, last)
-        if good:
-            state.update((best[0], best[1], last))
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(span.total_seconds() * 1000) + 1)
-            if before is None or (best[0], best[1]) != (before[0], before[1]):
-                if before is not None:
-                    out.append((True, event_id, before[1], -1, 0))
-                out.append((True, event_id, best[1], 1, seen))
-            else:
-                out.append((True, event_id, None, 0, seen))
+                # The least copy of this batch, the newest time and the number of messages.
+                copy = found.get(event)
+                if copy is None:
+                    found[event] = [at, value, max(0, at), 1]
+                    continue
+                if (at, value) < (copy[0], copy[1]):
+                    copy[0], copy[1] = at, value
+                copy[2], copy[3] = max(copy[2], at), copy[3] + 1
+        for event, (at, value, last, seen) in found.items():
+            before = held.get(event)
+            if before is not None:
+                last = max(last, before[2])
+            better = before is None or (at, value) < (before[0], before[1])
+            if better and before is not None:
+                out.append((True, event, before[1], -1, 0))
+            out.append((True, event, value if better else None, int(better), seen))
+            best = (at, value) if better else before[:2]
+            held[event] = [*best, last, max(last // 1000, now) + span + 1]
+        held = {event: copy for event, copy in held.items() if event in found or copy[3] >= now}
+        if held:
+            state.update((_stored(held),))
+            state.setTimeoutTimestamp(max(now + 1, min(copy[3] for copy in held.values())))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["ok", "event_id", "value", "sign", "seen"])
 
-    kept = "at bigint, value string, last bigint"
-    return rows.groupBy("ok", "key").applyInPandasWithState(step, CHANGES, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("part").applyInPandasWithState(step, CHANGES, "held binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def signed_parts(events: DataFrame, groups: list[Column | str]) -> DataFrame:
