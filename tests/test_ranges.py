@@ -101,6 +101,29 @@ def test_file_fingerprints_do_not_depend_on_ranges(spark, tmp_path):
     assert seen[0] == seen[1]
 
 
+def test_files_of_a_folder_are_one_text(spark, tmp_path, small_splits):
+    """A text in several files, each written by its own task, has the fingerprint of the whole."""
+    lines = [f"{i},{'x' * (i % 50)}" for i in range(400)]
+    for folder, cuts in (("one", [0, 400]), ("two", [0, 130, 131, 400])):
+        (tmp_path / folder).mkdir()
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / folder / f"part-{n:05d}.txt").write_text("".join(f"{x}\n" for x in lines[a:b]))
+    want = plain_root([hashlib.sha256(f"leaf:{len(x)}:{x}".encode()).hexdigest() for x in lines], 4)
+    found = splits.file_fingerprints(spark, f"{tmp_path}/*", 4, folders=True).collect()
+    assert sorted((r.path[-3:], r.lines, r.fingerprint) for r in found) == [("one", 400, want), ("two", 400, want)]
+
+
+def test_email_forms_agree():
+    import re
+
+    from tillflow.queries import basics
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("aZ0_.-@ é@.") for _ in range(draw.randrange(14))) for _ in range(4000)]
+    found = [bool(re.search(basics.EMAIL_FOUND, t)) for t in texts]
+    assert found == [bool(re.search(basics.EMAIL_ANY, t)) for t in texts] and 100 < sum(found) < 3900
+
+
 def test_log_tree_finds_changed_lost_and_added_records(spark):
     data = [(k, i, i // 7, f"e{i % 3}") for k in ("a", "b", None) for i in range(60 if k == "a" else 5)]
     log = spark.createDataFrame(data, "k string, i int, day int, body string").repartition(3)

@@ -207,13 +207,14 @@ LINE_SQL = "cast(doc_id as varchar) || ' ' || replace(coalesce(text, ''), chr(10
     SELECT part, (SELECT count(*) FROM t0 WHERE t0.part = t8.part) AS lines, digest AS fingerprint FROM t8""",
 )
 def file_tree_fingerprint(spark, sf):
-    """Fingerprints of four text files that hold all documents, one per line in order of their ids."""
+    """Fingerprints of four texts that hold all documents, one per line in order of their ids, each in files by range of ids."""
     path = shared_dir(spark, "lines")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "))
-    rows = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(4)).alias("part"), "doc_id", line.alias("value"))
-    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
-    found = splits.file_fingerprints(spark, path, 16)
-    return found.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part"), "lines", "fingerprint")
+    rows = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(4)).alias("part"), "doc_id", "text")
+    rows = rows.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id")
+    rows.select("part", line.alias("value")).write.partitionBy("part").text(path)
+    found = splits.file_fingerprints(spark, path, 16, folders=True)
+    return found.select(F.regexp_extract("path", r"part=(\d+)$", 1).cast("bigint").alias("part"), "lines", "fingerprint")
 
 
 @query("sanitize_columns", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS name_1, c_nationkey AS unnamed_column_4 FROM customer")

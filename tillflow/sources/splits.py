@@ -108,13 +108,17 @@ def read_json_ranges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(lines)
 
 
-def file_fingerprints(spark: SparkSession, path: str, fanout: int = FANOUT) -> DataFrame:
+def file_fingerprints(spark: SparkSession, path: str, fanout: int = FANOUT, folders: bool = False) -> DataFrame:
     """(path, lines, fingerprint): the root of a hash tree over each file's lines in order.
 
     It depends on the bytes and their order, not on the ranges the file was read in. A line is held in one
-    cell; whether the last line ends with a line feed makes no difference.
+    cell; whether the last line ends with a line feed makes no difference. With ``folders`` the files of one folder are
+    one text, in order of their names, and path is the folder.
     """
-    placed = numbered(pieces(spark, path, "\n"), AT, "block", ["seq"], "node")
+    lines = pieces(spark, path, "\n")
+    if folders:
+        lines = lines.withColumn("block", F.struct("path", "block")).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    placed = numbered(lines, AT, "block", ["seq"], "node")
     levels = tree(placed.select("path", "node", leaf(["value"]).alias("digest")), AT, fanout)
     count = levels[0].groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
     return count.join(levels[-1].select("path", F.col("digest").alias("fingerprint")), "path")
