@@ -27,7 +27,7 @@ def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; five-word shingles and their minimum hashes, not the bits of op9_simhash."""
+    """One document of each group stays: linked by fingerprints of five-word shingles, beyond their bits by minimum hashes."""
     return near_copies.drop_near_copies(docs)
 
 

@@ -61,3 +61,25 @@ def test_stage_drops_the_similar_documents(spark):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     kept = {r["doc_id"] for r in stage(spark, before, "/root/testdata/sf0.01").collect()}
     assert kept == {d for i, (d, _) in enumerate(rows) if root[i] == i} and len(kept) < len(rows)
+
+
+def test_close_fingerprints_link_without_a_shared_key(spark):
+    """Nodes with no minimum-hash key in common meet by their fingerprints and are decided by their similarity."""
+    from tillflow.llm import simhash
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    bits = lambda t: int.from_bytes(simhash.fingerprint(t, near_copies.SHINGLE), "big", signed=True)
+    texts = []
+    while not texts:
+        base = [word() for _ in range(300)]
+        pair = [" ".join(base), " ".join([*base[:-1], word()])]
+        if 0 < ((bits(pair[0]) ^ bits(pair[1])) & (2**64 - 1)).bit_count() <= 2:
+            texts = [*pair, " ".join(word() for _ in range(300))]
+    sets = [near_copies.shingles(t) for t in texts]
+    # The last one has the fingerprint of the first but not its shingles.
+    marks = [bits(texts[0]), bits(texts[1]), bits(texts[0])]
+    nodes = [(i, bytearray([i]), len(s), [i], b) for i, (s, b) in enumerate(zip(sets, marks))]
+    frame = spark.createDataFrame(nodes, "node long, fp binary, size long, keys array<long>, bits long")
+    prints = spark.createDataFrame([(bytearray([i]), bytearray(near_copies.packed(s))) for i, s in enumerate(sets)], "fp binary, set binary")
+    assert [tuple(r) for r in near_copies.linked(frame, prints).select("a", "b").collect()] == [(1, 0)]

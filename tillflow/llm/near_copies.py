@@ -1,10 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words are cut and lowered as in `simhash`; a shingle is five words, and a text of fewer words has one shingle of
-all of them. At a similarity of 0.8 the 64-bit fingerprints of two texts differ in about ten bits, too many for
-segments of so short a ring. So candidates come from minimum hashes instead: BANDS keys of WIDTH minimum hashes each.
-A pair of similarity s misses all keys with probability (1 - s^WIDTH)^BANDS: below 3e-9 at 0.8, less above. Every
-candidate is then decided by its exact similarity, so no pair below 0.8 links.
+all of them. Texts whose 64-bit fingerprints over these shingles differ in two bits or fewer are candidates by the ring of
+`simhash.links`. At a similarity of 0.8 fingerprints differ in about ten bits, too many for segments of so short a ring,
+so the pairs beyond come from minimum hashes: BANDS keys of WIDTH minimum hashes each. A pair of similarity s misses all
+keys with probability (1 - s^WIDTH)^BANDS: below 3e-9 at 0.8, less above. Every candidate of either kind is then decided
+by its exact similarity, so no pair below 0.8 links; what fingerprints linked is not paired again in keys of many nodes.
 
 Texts of equal shingle sets are one node. Nodes of a key of HOT nodes or fewer are all paired. In a larger key,
 for ROUNDS rounds one node is compared with all that it is not yet connected to, which connects a group of copies
@@ -31,6 +32,7 @@ from xxhash import xxh64_intdigest, xxh128_digest
 
 from tillflow.session import materialize
 
+from . import simhash
 from .components import roots
 
 SHINGLE = 5
@@ -98,8 +100,10 @@ def alike(a: bytes, b: bytes) -> bool:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        sets = [shingles(t) for t in texts]
         held = [packed(s) for s in sets]
+        bits = b"".join([simhash.fingerprint(t, SHINGLE) for t in texts])
         columns = [
             batch.column("doc_id"),
             batch.column("sha"),
@@ -107,8 +111,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([keys(s) for s in sets], pa.list_(pa.int64())),
             pa.array(held, pa.binary()),
+            pa.array(np.frombuffer(bits, dtype=">i8").astype("<i8")),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "fp", "size", "keys", "set"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "fp", "size", "keys", "set", "bits"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +153,26 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*same, hashes], ["node", "size", "label", "shingle"])
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or linked, each with the least node of its own and of a linked one.
+
+    Numbers of nodes are compared through one node per fingerprint, so copies make rows in proportion to their number.
+    """
+    least = materialize(nodes.groupBy("bits").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "near-bits")
+    equal = nodes.join(least.where("n > 1"), "bits").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select(F.col("bits").alias("fp"))).distinct()
+    near = near.join(least.select(F.col("bits").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("bits").alias("b"), F.col("least").alias("y")), "b")
+    return equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def prefixed(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of nodes of differing labels that may be similar enough, by prefix filtering.
 
     Similar sets share ALIKE / OF of the larger one at least, so with all shingles in one order, rarest first, each has a
     shared one among its first size - ALIKE * size / OF + 1. Texts that have a passage in common but rare shingles of
-    their own thus never meet. Nodes of a shingle's most frequent label are not paired among each other.
+    their own thus never meet. Of the shingles that a pair shares only the first must leave room for enough others behind
+    it on both sides, so a pair makes rows only where it does. Nodes of a shingle's most frequent label are not paired
+    among each other.
     """
     spelled = members.join(sets, "node").select("node", "size", "label", "set").mapInArrow(_spelled, "node long, size long, label long, shingle long")
     spelled = materialize(spelled, "near-shingles")
@@ -161,21 +180,25 @@ def prefixed(members: DataFrame, sets: DataFrame) -> DataFrame:
     rarest = W.partitionBy("node").orderBy("n", "shingle")
     first = F.col("size") - F.floor((ALIKE * F.col("size") + OF - 1) / OF) + 1
     firsts = spelled.join(counts, "shingle").withColumn("r", F.row_number().over(rarest)).where((F.col("r") <= first) & (F.col("n") > 1))
-    firsts = materialize(firsts.select("shingle", "node", "size", "label"), "near-firsts")
+    firsts = materialize(firsts.select("shingle", "node", "size", "label", "r"), "near-firsts")
     per = firsts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = firsts.join(most, "shingle")
     x, y = mixed.where(F.col("label") != F.col("most.label")).alias("x"), mixed.alias("y")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & _sized(F.col("x.size"), F.col("y.size")))
+    room = 1 + F.least(F.col("x.size") - F.col("x.r"), F.col("y.size") - F.col("y.r"))
+    enough = (ALIKE + OF) * room >= ALIKE * (F.col("x.size") + F.col("y.size"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & _sized(F.col("x.size"), F.col("y.size")) & enough)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def linked(nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): the root b of every node a that is not one. nodes: node, fp, size, keys; prints: fp and set, any rows."""
+    """(a, b): the root b of every node a that is not one. nodes: node, fp, size, keys, bits; prints: fp and set, any rows."""
+    close = materialize(by_fingerprint(nodes.select("node", "bits")), "near-close")
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(keyed.join(counts, "key"), "near-keys")
-    named = nodes.select("node", "fp").join(shared.select("node").distinct(), "node")
+    met = shared.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node")))
+    named = nodes.select("node", "fp").join(met.distinct(), "node")
     held = prints.join(named, "fp").groupBy("fp").agg(F.first("node").alias("node"), F.first("set").alias("set"))
     sets = materialize(held.select("node", "set"), "near-sets")
     groups = shared.where(F.col("n") <= HOT).groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("m"))
@@ -183,7 +206,7 @@ def linked(nodes: DataFrame, prints: DataFrame) -> DataFrame:
         f"""filter(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.node AS a, y.node AS b, x.size AS s, y.size AS t)))),
             p -> {OF} * least(p.s, p.t) >= {ALIKE} * greatest(p.s, p.t))"""
     )
-    edges = roots(confirmed(groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), sets))
+    edges = roots(confirmed(groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").unionByName(close), sets))
     members = shared.where(F.col("n") > HOT).select("key", "node", "size")
     if members.isEmpty():
         return edges
@@ -211,12 +234,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key, sha = F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     marked = docs.withColumns({"__key": key, "__sha": sha})
     rows = marked.select(F.col("__key").alias("doc_id"), F.col("__sha").alias("sha"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(_prints, "doc_id long, sha string, fp binary, size long, keys array<long>, set binary"), "near-prints")
+    prints = materialize(rows.mapInArrow(_prints, "doc_id long, sha string, fp binary, size long, keys array<long>, set binary, bits long"), "near-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("k")
     # Numbers are stored with the nodes: half the bytes of a fingerprint in every row of keys, pairs and labels.
-    nodes = prints.groupBy("fp").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = prints.groupBy("fp").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    rooted = linked(nodes.select("node", "fp", "size", "keys"), prints.select("fp", "set")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = linked(nodes.select("node", "fp", "size", "keys", "bits"), prints.select("fp", "set")).select(F.col("a").alias("node"), F.col("b").alias("root"))
     kept = nodes.select("node", "k").join(rooted, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     kept = materialize(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.sha").alias("__digest")), "near-kept")
     left = marked.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
