@@ -153,3 +153,17 @@ def test_centroid_city_is_most_frequent_then_alphabetical(spark):
     )
     out = rows(silver.centroids(df), "geolocation_zip_code_prefix", "geolocation_city", "latitude", "_coordinate_samples_count")
     assert out == [("1", "C", -11.0, 4), ("2", "Y", 0.5, 2)]
+
+
+def test_fact_joins_the_widest_dimension_last(spark):
+    """Keys of a dimension move along in every join after its own, so the customer's two come last."""
+    from tillflow.plans import gold
+
+    items = spark.createDataFrame([("o", 1, "p", "s", 1, 1, "2024-01")], "order_id string, order_item_id int, product_id string, seller_id string, price int, freight_value int, order_year_month string")
+    orders = spark.createDataFrame([("o", "c")], "order_id string, customer_id string")
+    for c in ("order_status", "order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date", "delivery_days", "is_delayed", "order_year_month"):
+        orders = orders.selectExpr("*", f"cast(null as {'timestamp' if c.endswith(('timestamp', 'date')) else 'string'}) AS {c}")
+    dims = [spark.createDataFrame([(k[0], "x", "y")], f"{k}_id string, {k}_key string, location_key string") for k in ("customer", "product", "seller")]
+    fact = gold.fact_sales(items, orders, *dims, "2024-02-01 00:00:00")
+    joins = [line for line in fact._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in line]
+    assert ["customer_id" in j for j in joins] == [True, False, False]
