@@ -183,6 +183,30 @@ def test_trailing_count_matches_a_loop(spark):
     assert got == {i: sum(1 for _, k2, s2 in data if k2 == k and s - 60 < s2 <= s) for i, k, s in data}
 
 
+def test_trailing_count_reads_a_row_once_however_dense_the_window(spark):
+    """A sliding frame would add up the whole window again for every row."""
+    data = [(i, "hot" if i % 3 else None, i // 40) for i in range(3000)]
+    counted = audit.trailing_count(timed(spark, data), ["k"], "ts", 60)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" in plan and "RangeFrame, -" not in plan
+    t = {}
+    for _, k, s in data:
+        t.setdefault(k, []).append(s)
+    assert {r.event_id: r.trailing_count for r in counted.collect()} == {i: sum(s - 60 < x <= s for x in t[k]) for i, k, s in data}
+
+
+def test_replay_takes_dense_requests_and_sends_no_arrays(spark):
+    """Thousands of requests in one window, at equal times too; states reach Python as text."""
+    data = [(i, "hot" if i % 7 else None, i // 25) for i in range(4000)]
+    got = {r.event_id: r.allowed for r in audit.rate_limit(timed(spark, data), ["k"], "ts", "event_id", 5, 60, block=1).collect()}
+    assert got == limited(data, 5, 60) and sum(got.values()) < 100
+    rows = spark.createDataFrame([("a", 0, 1, 7)], "_who string, _block bigint, _t bigint, event_id int")
+    states = spark.createDataFrame([("a", 0, [5])], "_who string, _block bigint, _state array<bigint>")
+    laid = replay._laid(rows, states, ["event_id"])
+    assert [r._state for r in laid.collect()] == ["[5]", None]
+    assert not [f.name for f in laid.schema.fields if f.dataType.typeName() == "array"]
+
+
 def test_hash_chain_finds_the_first_break(spark):
     data, df = log(spark, 4, 60)
     fields = ["event_id", "k"]

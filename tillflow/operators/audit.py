@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,15 +46,22 @@ def trailing_count(df: DataFrame, keys: list[str], moment: str, seconds: int, na
     """Rows of the same key in the ``seconds`` up to and including each row (older edge excluded).
 
     A key is cut into buckets as long as the window. Every row also visits the next bucket as
-    history, so each bucket is complete on its own and a hot key spreads over its buckets.
+    history, so each bucket is complete on its own and a hot key spreads over its buckets. History
+    is there from the start and leaves after the window, so one running sum counts a bucket, however
+    many rows a window holds. Rows of unknown time count themselves and their history.
     """
     width = seconds * MICROS
     t = micros(moment)
     bucket = F.floor(t / width)
-    visits = F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))
-    wide = df.withColumn("_t", t).withColumn("_visit", F.explode(visits)).withColumns({"_b": F.col("_visit.b"), "_own": F.col("_visit.own")})
-    frame = W.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-(width - 1), 0)
-    return wide.withColumn(name, F.count(F.lit(1)).over(frame)).filter("_own").drop("_t", "_visit", "_b", "_own")
+    own = F.struct(bucket.alias("b"), t.alias("at"), F.lit(1).alias("step"))
+    left = F.struct((bucket + 1).alias("b"), (t + F.lit(width)).alias("at"), F.lit(-1).alias("step"))
+    wide = df.withColumn("_visit", F.explode(F.array(own, left))).withColumns({"_b": F.col("_visit.b"), "_at": F.col("_visit.at"), "_step": F.col("_visit.step")})
+    inside = W.partitionBy(*keys, "_b").orderBy("_at")
+    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    history, unknown = F.count(F.when(F.col("_step") < 0, 1)).over(whole), F.count(F.lit(1)).over(whole)
+    here = F.sum("_step").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+    counted = wide.withColumn(name, F.when(F.col("_at").isNull(), unknown).otherwise(history + here))
+    return counted.filter("_step > 0").drop("_visit", "_b", "_at", "_step")
 
 
 def bursts(df: DataFrame, keys: list[str], moment: str, seconds: int, threshold: int) -> DataFrame:
@@ -94,15 +102,21 @@ def rate_limit(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int
     calm = rows.join(busy, ["_who", "_bucket"], "left_anti").select(*df.columns, F.lit(True).alias("allowed"))
     if busy.isEmpty():
         return calm
-    work = materialize(rows.join(busy, ["_who", "_bucket"], "left_semi").drop("_bucket"), "limit-work")
-
-    def step(accepted: list[int], t: int, sure: bool) -> bool:
-        while accepted and accepted[0] <= t - window:
-            accepted.pop(0)
-        if sure or len(accepted) < limit:
-            accepted.append(t)
-            return True
-        return False
+    work = materialize(rows.join(busy, ["_who", "_bucket"], "left_semi").drop("_bucket", "_sure"), "limit-work")
+
+    def step(accepted: list[int], times: list[int]) -> list[bool]:
+        allowed, i = [False] * len(times), 0
+        while i < len(times):
+            while accepted and accepted[0] <= times[i] - window:
+                accepted.pop(0)
+            if len(accepted) < limit:
+                accepted.append(times[i])
+                allowed[i] = True
+                i += 1
+            else:
+                # Nothing is accepted until the oldest one leaves.
+                i = bisect_left(times, accepted[0] + window, i)
+        return allowed
 
     def live(state: Column, start: Column) -> Column:
         return F.filter(state, lambda x: x > start - window)
@@ -124,14 +138,19 @@ def lockouts(df: DataFrame, keys: list[str], moment: str, tie: str, limit: int,
     marked = runs.join(spans, ["_who", "segment"])
     place = F.row_number().over(W.partitionBy("_who", "segment").orderBy("_t", tie)).cast("bigint")
     calm = marked.filter(~F.col("_busy")).select(*df.columns, "_t", place.alias("failed_count"))
-    work = marked.filter("_busy").select("_who", *df.columns, "_t", F.col("_t").alias("_at"), F.lit(False).alias("_sure"))
+    work = marked.filter("_busy").select("_who", *df.columns, "_t", F.col("_t").alias("_at"))
     work = materialize(work, "lockout-work")
 
-    def step(state: list[int], t: int, sure: bool) -> int:
-        if not state or t - state[0] > window:
-            state[:] = [t, 0]
-        state[1] += 1
-        return state[1]
+    def step(state: list[int], times: list[int]) -> list[int]:
+        counts, i = [], 0
+        while i < len(times):
+            if not state or times[i] - state[0] > window:
+                state[:] = [times[i], 0]
+            # The count runs up to the last failure within the window of the first.
+            end = bisect_right(times, state[0] + window, i)
+            counts.extend(range(state[1] + 1, state[1] + 1 + end - i))
+            state[1], i = state[1] + end - i, end
+        return counts
 
     def live(state: Column, start: Column) -> Column:
         return F.when(F.get(state, F.lit(0)) >= start - window, state)

@@ -12,8 +12,10 @@ Tasks stream Arrow batches and hold one state. A block begins with a row that ca
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,8 +26,8 @@ from ..session import materialize
 ROUNDS = 4
 STATE = "array<bigint>"
 
-#: Result of a row at a time in microseconds; the list is the state and is changed in place. The flag is the row's ``_sure``.
-Step = Callable[[list[int], int, bool], object]
+#: Results of consecutive rows at times in microseconds, in order; the first list is the state and is changed in place.
+Step = Callable[[list[int], list[int]], list]
 
 
 def block_of(t: Column, length: int) -> Column:
@@ -34,32 +36,49 @@ def block_of(t: Column, length: int) -> Column:
 
 
 def _laid(rows: DataFrame, states: DataFrame, order: list[str]) -> DataFrame:
-    """Rows behind the head of their block, every block in one task and in order."""
+    """Rows behind the head of their block, every block in one task and in order; states are JSON."""
     both = rows.withColumn("_state", F.lit(None).cast(STATE)).unionByName(states.select("_who", "_block", "_state"), allowMissingColumns=True)
-    return both.repartition("_who", "_block").sortWithinPartitions("_who", "_block", F.col("_state").isNull(), "_t", *order)
+    laid = both.repartition("_who", "_block").sortWithinPartitions("_who", "_block", F.col("_state").isNull(), "_t", *order)
+    # As text: a column of arrays makes up most of the time in which rows go to Python.
+    return laid.withColumn("_state", F.to_json("_state"))
+
+
+def _cutter() -> Callable[[pa.RecordBatch], Iterator[tuple[int | None, list[int]]]]:
+    """A function that cuts a batch into its blocks: (place of the head, times), in order; rows that go on with the
+    block before have no head. It is made here so that tasks get it with what they run."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[int]]]:
+        heads = np.flatnonzero(batch.column("_state").is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for head, end in zip([None, *heads], [*heads, batch.num_rows]):
+            start = 0 if head is None else head + 1
+            if head is not None or end:
+                yield head, batch.column("_t").slice(start, end - start).to_pylist()
+
+    return cut
 
 
 def _ends(rows: DataFrame, states: DataFrame, order: list[str], step: Step) -> DataFrame:
     """State of every block in ``states`` after its last row."""
-    columns = ["_who", "_block", "_t", "_sure", "_state"]
+    columns = ["_who", "_block", "_t", "_state"]
     kinds = [pa.string(), pa.int64(), pa.list_(pa.int64())]
+    cut = _cutter()
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
         for batch in batches:
             done = []
-            for who, block, t, sure, head in zip(*[batch.column(c).to_pylist() for c in columns]):
-                if head is None:
-                    step(current[2], t, sure)
-                else:
+            for head, times in cut(batch):
+                if head is not None:
                     if current:
                         done.append(current)
-                    current = (who, block, head)
+                    who, block, state = (batch.column(c)[head].as_py() for c in columns if c != "_t")
+                    current = (who, block, json.loads(state))
+                step(current[2], times)
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds)], ["_who", "_block", "_end"])
         if current:
             yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(current, kinds)], ["_who", "_block", "_end"])
 
-    slim = rows.select("_who", "_block", "_t", "_sure", *order)
+    slim = rows.select("_who", "_block", "_t", *order)
     laid = _laid(slim, states, order).select(*columns)
     return laid.mapInArrow(play, f"_who string, _block bigint, _end {STATE}")
 
@@ -67,8 +86,7 @@ def _ends(rows: DataFrame, states: DataFrame, order: list[str], step: Step) -> D
 def replay(rows: DataFrame, order: list[str], length: int, step: Step, live: Callable[[Column, Column], Column], name: str, kind: str) -> DataFrame:
     """``rows`` with the result of ``step`` as ``name`` (of SQL type ``kind``: boolean or bigint).
 
-    ``rows`` has ``_who`` (text, the key), ``_t`` (microseconds), ``_sure`` (passed to the step) and is stored, as every
-    round reads it. ``length`` is that of a block in microseconds. ``live`` cuts a state to what can matter at or after a
+    ``rows`` has ``_who`` (text, the key) and ``_t`` (microseconds) and is stored, as every round reads it. ``length`` is that of a block in microseconds. ``live`` cuts a state to what can matter at or after a
     moment; a state must be empty once a whole block without rows has passed.
     """
     rows = rows.withColumn("_block", block_of(F.col("_t"), length))
@@ -99,19 +117,20 @@ def replay(rows: DataFrame, order: list[str], length: int, step: Step, live: Cal
         again = changed.join(ahead, ["_who", "_block"], "left_semi")
         ends = materialize(ends.join(changed, ["_who", "_block"], "left_anti").unionByName(played(again)), "replay-ends")
 
-    kept = [f for f in rows.schema.fields if f.name not in ("_who", "_block", "_t", "_sure")]
+    kept = [f for f in rows.schema.fields if f.name not in ("_who", "_block", "_t")]
     arrow = {"boolean": pa.bool_(), "bigint": pa.int64()}[kind]
 
+    cut = _cutter()
+
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list[int] = []
         for batch in batches:
             got = []
-            for t, sure, head in zip(*[batch.column(c).to_pylist() for c in ("_t", "_sure", "_state")]):
-                if head is None:
-                    got.append(step(state, t, sure))
-                else:
-                    state = head
+            for head, times in cut(batch):
+                if head is not None:
+                    state = json.loads(batch.column("_state")[head].as_py())
                     got.append(None)
+                got.extend(step(state, times))
             columns = [batch.column(f.name) for f in kept] + [pa.array(got, arrow)]
             out = pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [name])
             yield out.filter(pc.is_null(batch.column("_state")))
