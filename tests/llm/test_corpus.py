@@ -142,6 +142,22 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.write_and_read(none, BYTES).count() == 0
 
 
+def test_words_are_asked_for_once_with_and_without_signs(monkeypatch):
+    """Signs behind a word make no new unit, ids stay those of the library, and a full memo keeps its first units."""
+    tokenizer, asked = token_files.UnitTokenizer(BYTES), []
+    units = tokenizer.units
+    monkeypatch.setattr(tokenizer, "units", lambda u: units(asked.extend(u) or u))
+    texts = ["word and word, word. (word) word!?! word's word'. 12. 12 wörd, wörd ﬁ. 中. ª, ²,", "word; and# Word. x.y, don't, don't.\nword,\nword", "word,,,,,, .. ,word e\u0301. _a. a_."]
+    assert tokenizer.encode(texts) == tokenizer.whole(texts)
+    assert [u.strip() for u in asked].count("word") == 2 and not [u for u in asked if u in (" word,", " word.", " word!?!", " wörd,", " and#")]
+    monkeypatch.setattr(token_files, "MEMO_UNITS", 4)
+    monkeypatch.setattr(token_files, "KEPT_UNITS", 2)
+    first = list(tokenizer.memo)[:2]
+    assert tokenizer.encode(texts[1:]) == tokenizer.whole(texts[1:])
+    assert list(tokenizer.memo)[:2] == first
+    assert tokenizer.encode(texts) == tokenizer.whole(texts)
+
+
 def test_units_of_random_strings():
     tokenizer, rng = token_files.tokenizer_at(BYTES), random.Random(1)
     parts = [" ", "  ", "\n", "a", "the", "é", "日本", "\t", "'s", "don't", "1", "22", "\r\n", "\xa0", ".", "!!", "<|endoftext|>", "\x1c", "　", "\x85"]

@@ -7,7 +7,8 @@ of consecutive documents: their ids, ids per document, the number of each docume
 few array operations.
 
 Encoding asks the tokenizer library for every distinct unit (a space or line feed and the characters up to
-the next one, between which no token can lie) once per batch and remembers units per worker process. Texts
+the next one, between which no token can lie) once per batch and remembers units per worker process. Signs at the end of a
+word are tokens of their own, so a word is asked for once with and without them. Texts
 with other white space, repeated spaces or line feeds, or special tokens go to the library whole.
 
 Defined cases: a NULL or empty text has the end id alone; NULL ids come first; rows that repeat an id follow
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from .simple8b import pack, unpack
 from .words import grouped
 
 BLOCK_IDS = 1 << 17
-#: Units that a worker process remembers from batch to batch, and units in one call of the library.
-MEMO_UNITS = 900_000
+#: Units that a worker process remembers from batch to batch, those it keeps beyond that, and units in one call of the library.
+MEMO_UNITS, KEPT_UNITS = 900_000, 300_000
 TOGETHER = 200
 #: White space other than the space and the line feed.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Signs that are cut from the end of a unit, at most TAIL of them, where they follow a letter below LATIN_END.
+SIGNS, TAIL, LATIN_END = '.,;:!?#*$%&|<>()"-', 3, "\u0250"
 BLOCKS = "part int, block int, n_ids long, n_docs int, doc_ids array<long>, counts binary, offsets binary, words binary"
 
 
@@ -51,6 +54,7 @@ class UnitTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # A token of a byte-level vocabulary is written with one character per byte.
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -81,6 +85,26 @@ class UnitTokenizer:
             return None
         return spread.split(" ")
 
+    def learned(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of units that the memo lacks, and of stems met on the way.
+
+        No token holds both a letter and a sign of SIGNS behind it, so a unit that ends in such signs has the ids of its
+        stem, often known already, and then theirs.
+        """
+        stems = {}
+        for u in new:
+            stem = u.rstrip(SIGNS)
+            if stem and 0 < len(u) - len(stem) <= TAIL and stem[-1] < LATIN_END and stem[-1].isalpha():
+                stems[u] = stem
+        asked = list({x for u in new if (x := stems.get(u, u)) not in self.memo})
+        found = dict(zip(asked, self.units([u if u[:1] == "\n" else " " + u for u in asked])))
+        for u, stem in stems.items():
+            tail = u[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole([tail])[0]
+            found[u] = (found.get(stem) or self.memo[stem]) + self.tails[tail]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self.units_of(t) for t in texts]
@@ -92,13 +116,13 @@ class UnitTokenizer:
         get = self.memo.get
         found = [None if units is None else list(map(get, units)) for units in cut]
         gaps = [[] if ids is None or None not in ids else [i for i, x in enumerate(ids) if x is None] for ids in found]
-        new = list({units[i] for units, places in zip(cut, gaps) for i in places})
-        learned = dict(zip(new, self.units([u if u[:1] == "\n" else " " + u for u in new])))
+        learned = self.learned({units[i] for units, places in zip(cut, gaps) for i in places})
         for units, ids, places in zip(cut, found, gaps):
             for i in places:
                 ids[i] = learned[units[i]]
         if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
+            # Those met first are the frequent ones for the most part.
+            self.memo = dict(islice(self.memo.items(), KEPT_UNITS))
         self.memo.update(learned)
         rest = iter(self.whole([t for t, u in zip(texts, cut) if u is None]))
         return [next(rest) if ids is None else b"".join(ids)[4:] for ids in found]
