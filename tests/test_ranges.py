@@ -71,6 +71,20 @@ def test_csv_in_ranges(spark, tmp_path, small_splits, delimiter, end):
     assert files.read_csv(spark, str(tmp_path), delimiter).columns == ["id", "text", "x"]
 
 
+@pytest.mark.parametrize("delimiter", [",", "|", "x", "]^"])
+def test_quoting_is_told_from_quotes_and_delimiters(spark, delimiter):
+    """Lines are read twice for their quoting, so no pattern goes over whole texts."""
+    draw = random.Random(len(delimiter))
+    parts = ['"', '""', delimiter, delimiter[:1], "x", "bc d", "é", " ", "\r"]
+    lines = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    marks = splits._marks(F.col("value"), delimiter)
+    first = [splits._left_open(F.concat(F.lit(q), c), delimiter) for c in (F.col("value"), marks) for q in ("", '"')]
+    rows = df.select(*first, F.length(marks)).collect()
+    assert all(r[0] == r[2] and r[1] == r[3] for r in rows) and 200 < sum(r[0] for r in rows) < 1800
+    assert all(r[4] <= 2 * sum(x.count(c) for c in {'"', *delimiter}) + 1 for r, x in zip(rows, lines))
+
+
 def test_json_array_in_ranges(spark, tmp_path, small_splits):
     draw = random.Random(3)
     parts = ["{", "}", "[", "]", '"', "\\", ",", "\n", "x", "ü", "}{"]

@@ -38,10 +38,16 @@ def joined_records(parts: DataFrame, separator: str) -> DataFrame:
     return held.select("path", "record", F.array_join(F.transform("_p", lambda p: p["value"]), separator).alias("value"))
 
 
-def _left_open(line: Column, delimiter: str) -> Column:
+def _marks(line: Column, delimiter: str) -> Column:
+    """The quotes and delimiters of a line, with one character for each run of others: all that tells of its quoting."""
+    other = next(c for c in "xyzabc" if c not in delimiter)
+    return F.regexp_replace(line, f'[^"{"".join(map(re.escape, delimiter))}]++', other)
+
+
+def _left_open(marks: Column, delimiter: str) -> Column:
     """Does a line that starts outside quotes end inside? Doubled quotes go first, then whole quoted fields."""
     d = re.escape(delimiter)
-    rest = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), f'(^|{d})"[^"]*"', "$1")
+    rest = F.regexp_replace(F.replace(marks, F.lit('""'), F.lit("")), f'(^|{d})"[^"]*"', "$1")
     return rest.rlike(f'(^|{d})"')
 
 
@@ -51,8 +57,11 @@ def csv_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
     A quote opens a field only at its start, so a quote within an unquoted field is text. Lines end with a line
     feed, with or without a carriage return before it. Blank lines outside quotes are skipped.
     """
-    lines = pieces(spark, path, "\n").withColumn("_off", _left_open(F.col("value"), delimiter))
-    lines = lines.withColumn("_on", _left_open(F.concat(F.lit('"'), "value"), delimiter))
+    lines = pieces(spark, path, "\n")
+    # A line without quotes ends as it starts; of others only quotes and delimiters matter, and lines are read twice.
+    quoted, marks = F.contains("value", F.lit('"')), _marks(F.col("value"), delimiter)
+    lines = lines.withColumn("_off", F.when(quoted, _left_open(marks, delimiter)).otherwise(False))
+    lines = lines.withColumn("_on", F.when(quoted, _left_open(F.concat(F.lit('"'), marks), delimiter)).otherwise(True))
     known = switches_before(lines, AT, "block", ["seq"], F.col("_off"), F.col("_on"), "inside").drop("_off", "_on")
     known = materialize(known.where(F.col("inside") | ~F.col("value").isin("", "\r")), "csv-lines")
     starts = sums_before(known, AT, "block", ["seq"], {"record": (~F.col("inside")).cast("long")})
