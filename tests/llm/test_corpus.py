@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -74,6 +75,37 @@ def test_pieces_of_random_strings():
         assert model.encode(text) == ids and digest[1] == sha256(",".join(map(str, ids)).encode()).hexdigest() and model.decode(ids) == library.decode(ids)
 
 
+def test_pieces_take_bounded_memory(monkeypatch):
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(40)) for _ in range(60)]
+    tracemalloc.start()
+    try:
+        model = piece_tokens.PieceModel(PIECES)
+        model.digests(texts)
+        assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(piece_tokens, "MEMO_UNITS", 50)
+    monkeypatch.setattr(piece_tokens, "KEPT_UNITS", 20)
+    monkeypatch.setattr(piece_tokens, "MEMO_PAIRS", 100)
+    for text in texts:
+        ids = library.encode(text)
+        assert model.encode(text) == ids and model.digests([text])[0][1] == sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert len(model.units) <= 50 + 40 and model.pairs.count <= 100 + 2000
+
+
+def test_pair_memo_grows_and_keeps():
+    memo, rng = piece_tokens.PairMemo(), random.Random(4)
+    want = {rng.randrange(1 << 31): rng.random() < 0.5 for _ in range(100_000)} | {0: True}
+    for key, yes in want.items():
+        memo.add(memo.place(key), key, yes)
+    keys = np.array(list(want), dtype=np.int64)
+    held = memo.slots[memo.places(keys)]
+    assert memo.count == len(want) and (held >> 1 == keys + 1).all() and [bool(h & 1) for h in held] == list(want.values())
+    assert all(memo.view[memo.place(k)] == 2 * (k + 1) + yes for k, yes in list(want.items())[:1000])
+    assert not memo.view[memo.place(1 << 32)] and memo.slots.nbytes <= 32 * len(want)
+
+
 def test_quality_of_odd_rows(odd, none):
     def features(text):
         words = WORD.findall(text or "")

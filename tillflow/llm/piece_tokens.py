@@ -8,8 +8,9 @@ if it starts the unit or if the last token of the prefix before it and the candi
 their strings are encoded side by side. Ids are recovered backwards from the end.
 
 Whether a pair stays is decided by merging its characters once and remembered per worker process, as are
-encoded units; the latter are cleared at a fixed number of entries, which affects speed alone. The units of
-an Arrow batch that are new are encoded together: position by position, all candidates of all units at once.
+encoded units; both are cut down at a fixed number of entries, which affects speed alone, so a worker's memory
+does not grow with the texts it has seen. The units of a group of texts that are new are encoded together:
+position by position, all candidates of all units at once.
 
 Defined cases: NULL and the empty text have no ids and decode to the empty text. Characters without a piece
 become byte pieces. Very long texts are encoded whole; a single unit of any length needs memory in
@@ -23,7 +24,7 @@ import gc
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -36,16 +37,66 @@ from .words import grouped
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
-#: Units that a worker process remembers from batch to batch.
-MEMO_UNITS = 500_000
+#: Units that a worker process remembers from group to group, about 300 bytes each, and those it keeps beyond that.
+MEMO_UNITS, KEPT_UNITS = 200_000, 100_000
+#: Pairs of tokens that it remembers, 16 to 32 bytes each.
+MEMO_PAIRS = 1_000_000
 #: Units that are encoded together; longer ones than LONG go one by one.
 TOGETHER = 40_000
-#: Characters of text that are cut into units at a time.
-GROUP_CHARS = 1_000_000
+#: Rows of a batch that are made strings at a time, and characters of text that are cut into units at a time.
+GROUP_ROWS, GROUP_CHARS = 1_000, 1_000_000
 LONG = 64
 START, BYTES, UNKNOWN = -1, -2, -3
 
 
+class PairMemo:
+    """Yes or no by a key from 0 to 2^60; a slot is zero or holds the key plus one and the answer in its last bit."""
+
+    MIX = 0x1E3779B97F4A7C15
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self._use(1 << 16)
+        self.count = 0
+
+    def _use(self, size: int) -> None:
+        self.slots = np.zeros(size, dtype=np.int64)
+        self.view = memoryview(self.slots)
+        self.mask = size - 1
+
+    def place(self, key: int) -> int:
+        """The slot that holds the key, or the free one where it belongs."""
+        at = ((key * self.MIX) >> 32) & self.mask
+        while (held := self.view[at]) and held >> 1 != key + 1:
+            at = (at + 1) & self.mask
+        return at
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """`place` of many keys."""
+        at = ((keys * self.MIX) >> 32) & self.mask
+        held = self.slots[at]
+        todo = np.flatnonzero((held != 0) & (held >> 1 != keys + 1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.slots[at[todo]]
+            todo = todo[(held != 0) & (held >> 1 != keys[todo] + 1)]
+        return at
+
+    def add(self, at: int, key: int, yes: bool) -> None:
+        """Put an answer into the key's own place."""
+        self.view[at] = 2 * (key + 1) + yes
+        self.count += 1
+        if 2 * self.count > len(self.slots):
+            held = self.slots[self.slots != 0]
+            self._use(2 * len(self.slots))
+            while len(held):
+                places = self.places((held >> 1) - 1)
+                self.slots[places] = held
+                held = held[self.slots[places] != held]
+
+
 class PieceModel:
     """Pieces of a BPE model file with byte fallback."""
 
@@ -74,10 +125,8 @@ class PieceModel:
         self.size = [len(p) for p in self.pieces]
         self.id_text = [str(i) for i in range(len(self.pieces))]
         self.piece_bytes = [p.replace(MARK, " ").encode() for p in self.pieces]
-        # Two bits per pair of tokens, a memory page per left token that occurs.
         self.width = 1 << (len(self.pieces) - 1).bit_length()
-        self.known = np.zeros((len(self.pieces) + 1) * self.width // 8, dtype=np.uint8)
-        self.stays = np.zeros_like(self.known)
+        self.pairs = PairMemo()
         self.units: dict[str, tuple[int, str, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -97,22 +146,25 @@ class PieceModel:
     def fits(self, left: int, right: int) -> bool:
         """True if the two tokens stay apart and whole side by side; left START: begin of the unit."""
         key = (left + 1) * self.width + right
-        at, bit = key >> 3, 1 << (key & 7)
-        if not self.known[at] & bit:
-            a, b = "" if left < 0 else self.pieces[left], self.pieces[right]
-            self.known[at] |= bit
-            if self.merged(a + b) == ([a, b] if a else [b]):
-                self.stays[at] |= bit
-        return bool(self.stays[at] & bit)
+        at = self.pairs.place(key)
+        held = self.pairs.view[at]
+        if held:
+            return bool(held & 1)
+        a, b = "" if left < 0 else self.pieces[left], self.pieces[right]
+        stays = self.merged(a + b) == ([a, b] if a else [b])
+        self.pairs.add(at, key, stays)
+        return stays
 
     def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """`fits` of many pairs."""
         key = (left + 1) * self.width + right
-        at, bit = key >> 3, (1 << (key & 7)).astype(np.uint8)
-        new = (self.known[at] & bit) == 0
-        for k in np.unique(key[new]).tolist():
-            self.fits(k // self.width - 1, k % self.width)
-        return (self.stays[at] & bit) != 0
+        held = self.pairs.slots[self.pairs.places(key)]
+        new = held == 0
+        if new.any():
+            for k in np.unique(key[new]).tolist():
+                self.fits(k // self.width - 1, k % self.width)
+            held[new] = self.pairs.slots[self.pairs.places(key[new])]
+        return (held & 1) != 0
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit: the prefix table, then the way back."""
@@ -198,6 +250,13 @@ class PieceModel:
         texts = self.id_text
         return len(ids), ",".join([texts[i] for i in ids]), self.decode_bytes(ids)
 
+    def bound(self) -> None:
+        """Cut down what has grown beyond its number of entries; the first units are the most frequent ones."""
+        if len(self.units) > MEMO_UNITS:
+            self.units = dict(islice(self.units.items(), KEPT_UNITS))
+        if self.pairs.count > MEMO_PAIRS:
+            self.pairs.clear()
+
     def learn(self, parts: Iterable[str]) -> None:
         """Encode the parts that are not known yet, in groups."""
         new = [p for p in parts if p not in self.units]
@@ -214,6 +273,7 @@ class PieceModel:
         """Ids of a whole text, without begin and end ids."""
         if not text:
             return []
+        self.bound()
         return [i for u in UNIT.findall(MARK + text.replace(" ", MARK)) for i in self.encode_unit(u)]
 
     def decode(self, ids: list[int]) -> str:
@@ -223,8 +283,7 @@ class PieceModel:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, hash of the ids, hash of the decoded text) of whole texts."""
-        if len(self.units) > MEMO_UNITS:
-            self.units.clear()
+        self.bound()
         cut = [parts_of(t) for t in texts]
         self.learn(set(chain.from_iterable(p for p in cut if p is not None)))
         out = []
@@ -290,7 +349,8 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
         for batch in batches:
-            found = [d for group in grouped([t or "" for t in batch.column("text").to_pylist()], GROUP_CHARS) for d in model.digests(group)]
+            parts = (batch.column("text").slice(lo, GROUP_ROWS).to_pylist() for lo in range(0, batch.num_rows, GROUP_ROWS))
+            found = [d for part in parts for group in grouped([t or "" for t in part], GROUP_CHARS) for d in model.digests(group)]
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
