@@ -6,7 +6,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from tillflow.functions.keys import event_id, surrogate_key
+from tillflow.functions.keys import event_id, packed, surrogate_key, unpacked
 from tillflow.operators import rules
 from tillflow.operators.dedup import keep_one
 from tillflow.operators.integrity import probe
@@ -167,3 +167,70 @@ def test_fact_joins_the_widest_dimension_last(spark):
     fact = gold.fact_sales(items, orders, *dims, "2024-02-01 00:00:00")
     joins = [line for line in fact._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in line]
     assert ["customer_id" in j for j in joins] == [True, False, False]
+
+
+def test_packed_keys_come_back(spark):
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest + "\n", digest[:63], digest[:31], digest[:16], "x", "é=", "", "\u0000", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("p", packed("t"))
+    got = df.select("i", F.octet_length("p").alias("n"), unpacked("p").alias("back")).orderBy("i").collect()
+    assert [r.back for r in got] == texts
+    assert [r.n == 32 for r in got] == [True, *[False] * 10]
+
+
+def fact_frames(spark, items, orders, *dims):
+    lines = spark.createDataFrame(items, "order_id string, order_item_id int, product_id string, seller_id string, price decimal(12,2), freight_value decimal(12,2), order_year_month string")
+    days = spark.createDataFrame(orders, "order_id string, customer_id string, order_purchase_timestamp timestamp").selectExpr(
+        "*", "'created' AS order_status", *[f"cast(null AS timestamp) AS order_{c}" for c in ("delivered_customer_date", "estimated_delivery_date")], "1 AS delivery_days", "false AS is_delayed", "'none' AS order_year_month"
+    )
+    names = ("customer", "product", "seller")
+    return lines, days, *[spark.createDataFrame(d, f"{n}_id string, {n}_key string" + ", location_key string" * (n == "customer")) for n, d in zip(names, dims, strict=True)]
+
+
+def test_fact_keeps_items_with_an_order_and_gives_keys_as_stored(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    day, hashed = datetime(2024, 1, 2), "0123456789abcdef" * 4
+    items = [(o, n, p, s, Decimal(1), Decimal(2), "2024-01") for o, n, p, s in [("a", 1, "p", "s"), ("a", 2, None, "t"), ("b", 1, "q", None), ("lost", 1, "p", "s"), (None, 1, "p", "s")]]
+    orders = [("a", "c", day), ("b", None, day), ("b", "d", day), ("empty", "c", day), (None, "c", day)]
+    frames = fact_frames(spark, items, orders, [("c", hashed, "place"), ("d", "plain", None), ("d", hashed.upper(), "")], [("p", hashed)], [("s", "key"), ("t", None)])
+    fact = gold.fact_sales(*frames, "2024-02-01 00:00:00")
+    got = fact.select("order_id", "order_item_id", "customer_key", "location_key", "product_key", "seller_key", "order_year_month").collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted(
+        [
+            ("a", 1, hashed, "place", hashed, "key", "2024-01"),
+            ("a", 2, hashed, "place", None, None, "2024-01"),
+            ("b", 1, None, None, None, None, "2024-01"),
+            ("b", 1, "plain", None, None, None, "2024-01"),
+            ("b", 1, hashed.upper(), "", None, None, "2024-01"),
+        ],
+        key=str,
+    )
+
+
+def test_fact_finds_customers_per_order_and_streams_items(spark):
+    """No item moves to its customer, and the join with orders keeps items, the side of many rows, streamed."""
+    fact = gold.fact_sales(*fact_frames(spark, [], [], [], [], []), "2024-02-01 00:00:00")
+    joins = [line.strip(" :+-") for line in fact._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    kinds = ["Join RightOuter, (order_id", "Join LeftOuter, (customer_id", "Join LeftOuter, (seller_id", "Join LeftOuter, (product_id"]
+    assert len(joins) == 4 and all(j.startswith(k) for j, k in zip(joins, kinds, strict=True))
+
+
+def test_written_frames_free_their_shuffles(spark):
+    import time
+
+    from tillflow.session import FREE_SHUFFLES, materialize
+
+    def shuffles():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (kept.apply(i).getName() for i in range(kept.size())) if name.startswith("shuffle_")}
+
+    df, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), shuffles()
+    set_to = spark.conf.get(FREE_SHUFFLES, None)
+    assert len(materialize(df, "freed", free_shuffles=True).collect()) == 7
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(FREE_SHUFFLES, None) == set_to
