@@ -207,6 +207,8 @@ def test_fact_keeps_items_with_an_order_and_gives_keys_as_stored(spark):
         ],
         key=str,
     )
+    numbered = gold.fact_sales(*frames[:3], frames[3].withColumn("product_key", F.lit(7)), frames[4], "2024-02-01 00:00:00")
+    assert {r.product_key for r in numbered.select("product_key").collect()} == {7, None}
 
 
 def test_fact_finds_customers_per_order_and_streams_items(spark):
